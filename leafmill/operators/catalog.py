@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmill.functions.common import any_of, contains_ignoring_case, count_true
@@ -124,7 +125,8 @@ def catalog_delete(dim: DataFrame, codes: DataFrame) -> DataFrame:
 
 def with_code_labels(df: DataFrame, code: str, table: list[tuple[str, str, str]]) -> DataFrame:
     """Display label and category of a code; the table is one of the fixed lists above."""
-    dim = df.sparkSession.createDataFrame(table, f"{code} string, label string, label_category string")
+    columns = [pa.array(values) for values in zip(*table)]
+    dim = df.sparkSession.createDataFrame(pa.table(columns, [code, "label", "label_category"]))
     return df.join(F.broadcast(dim), code, "left")
 
 

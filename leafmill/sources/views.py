@@ -219,7 +219,9 @@ VIEWS: dict[str, str | dict[str, str]] = {
                               CASE WHEN lang = 'en' THEN '.pdf' WHEN lang = 'fr' THEN '.PDF'
                                    ELSE '.txt' END, '?v=', n_chars) AS path,
                n_chars AS length,
-               concat('session_', n_chars % 8) AS session_id
+               concat(lang, '_', n_chars % 4) AS session_id,
+               CASE lang WHEN 'fr' THEN 'zone_extraction' WHEN 'de' THEN 'unknown'
+                    ELSE 'logo_detection' END AS mode
         FROM {documents}""",
     "merge_parts": """
         SELECT o_custkey AS merge_id, cast(o_orderkey AS INT) AS file_no,
