@@ -83,10 +83,11 @@ _SPLITS = r"""
 @query("plan_splits", ["J7"], _SPLITS + """
     SELECT doc_id, total_pages, part::INT AS part, a AS first_page, b AS last_page, b - a + 1 AS page_count,
            NULL AS error FROM good
-    UNION ALL SELECT doc_id, total_pages, NULL, NULL, NULL, NULL,
+    UNION ALL SELECT doc_id, total_pages, 0, 0, 0, 0,
            format('Invalid range {} (total pages: {})', label, total_pages) FROM bad""")
 def plan_splits(q: Inputs):
-    return ops.plan_splits(q.view("page_requests"), q.view("doc_pages"))
+    return ops.plan_splits(q.view("page_requests"), q.view("doc_pages")).fillna(
+        0, ["part", "first_page", "last_page", "page_count"])
 
 
 @query("split_pages", ["J7"], _SPLITS + """
