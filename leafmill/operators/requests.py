@@ -83,26 +83,39 @@ def match_requests_fifo(requests: DataFrame, completions: DataFrame) -> DataFram
 
     Per URL, in time order, let ``lead`` be completions minus requests so far. A
     completion is ignored exactly where ``lead`` reaches a new maximum above
-    zero; the others pair with requests by ordinal. The running values are taken
-    in hourly blocks, so a busy URL is spread over tasks, and the final join is
-    on (url, ordinal), which is unique on both sides.
+    zero; the others pair with requests by ordinal. Running values are taken in
+    hourly blocks, so a busy URL is spread over tasks, and the final join is on
+    (url, ordinal), which is unique on both sides.
     """
     events = (requests.select("url", "ts", "seq", F.lit(0).alias("done"),
                               F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("code"))
               .unionByName(completions.select("url", "ts", "seq", F.lit(1).alias("done"), "kind",
                                               F.col("status").alias("code"))))
     order = Ordered(["url"], ["ts", "seq"], F.date_trunc("hour", "ts"))
-    counted = order.running(events, "sum", closed=F.col("done"), opened=1 - F.col("done"))
-    peaks = order.running(counted, "max", peak=F.col("closed") - F.col("opened"))
-    ignored = F.greatest("peak", F.lit(0))
-    lead = F.col("closed") - F.col("opened")
-    # At a row, the peak before it is below the lead only when this row raised it.
-    rises = (F.col("done") == 1) & (lead == F.col("peak")) & (lead > 0)
-    staged = order.previous(peaks, peak_before=F.col("peak"))
-    fresh = rises & (F.coalesce("peak_before", F.lit(0)) < lead)
-    done = (staged.filter((F.col("done") == 1) & ~fresh)
-            .select("url", (F.col("closed") - ignored).alias("ordinal"), F.col("seq").alias("completion_seq"),
-                    "kind", "code"))
+    lead = F.col("closed_in") - F.col("opened_in")
+    staged = order.carry(
+        events,
+        {"closed_in": F.sum("done").over(order.upto),
+         "opened_in": F.sum(1 - F.col("done")).over(order.upto),
+         "lead_in": lead,
+         "peak_in": F.max("lead_in").over(order.upto),
+         "peak_was_in": F.lag("peak_in").over(order.local)},
+        {"closed_sum": F.sum("done"), "opened_sum": F.sum(1 - F.col("done")), "lead_top": F.max("lead_in")},
+        {"closed_was": F.coalesce(F.sum("closed_sum").over(order.earlier), F.lit(0)),
+         "opened_was": F.coalesce(F.sum("opened_sum").over(order.earlier), F.lit(0)),
+         "peak_block": F.col("closed_was") - F.col("opened_was") + F.col("lead_top"),
+         "peak_was": F.coalesce(F.max("peak_block").over(order.earlier), F.lit(0))})
+    base = F.col("closed_was") - F.col("opened_was")
+    # Completions ignored up to this row, and up to the row before it.
+    ignored = F.greatest(F.lit(0), F.col("peak_was"), base + F.col("peak_in"))
+    ignored_before = F.greatest(F.lit(0), F.col("peak_was"), base + F.col("peak_was_in"))
+    staged = staged.select(
+        "url", "ts", "seq", "done", "kind", "code", (F.col("closed_was") + F.col("closed_in")).alias("closed"),
+        (F.col("opened_was") + F.col("opened_in")).alias("opened"), ignored.alias("ignored"),
+        (ignored > ignored_before).alias("drop_it"))
+    done = staged.filter("done = 1 AND NOT drop_it").select(
+        "url", (F.col("closed") - F.col("ignored")).alias("ordinal"), F.col("seq").alias("completion_seq"),
+        "kind", "code")
     opened = staged.filter("done = 0").select("url", F.col("opened").alias("ordinal"), "seq", "ts")
     status = F.when(F.col("kind").isNull(), "pending").when(F.col("kind") == "failed", "failed").otherwise("completed")
     return opened.join(done, ["url", "ordinal"], "left").select(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmill.functions import text as rules
 from leafmill.functions.common import count_true
+from leafmill.plans.lineage import cut
 from leafmill.plans.ordered import Ordered, number_rows
 
 
@@ -86,6 +87,10 @@ def doc_url_counts(urls: DataFrame) -> DataFrame:
         F.min("url").alias("first_url"), F.max("url").alias("last_url"))
 
 
+def _new_table(row: Column, before: Column) -> Column:
+    return F.abs(row["columns"] - before["columns"]) > 1
+
+
 def table_rows(lines: DataFrame) -> DataFrame:
     """Table-like lines with the number of the table they belong to on their page.
 
@@ -97,12 +102,10 @@ def table_rows(lines: DataFrame) -> DataFrame:
     kept = (lines.select(*page, "line_no", F.trim("text").alias("row"))
             .filter(rules.looks_like_table(F.col("row")))
             .withColumn("columns", rules.column_count("row")))
-    staged = order.previous(kept, before=F.col("columns"))
-    starts = F.coalesce(F.abs(F.col("columns") - F.col("before")) > 1, F.lit(True))
-    runs = order.running(staged, "sum", run=starts.cast("int")).drop("before")
-    sizes = runs.groupBy(*page, "run").agg(F.count(F.lit(1)).alias("row_count")).filter("row_count >= 2")
-    numbered = number_rows(sizes, "table_number", Ordered(page, ["run"], F.floor(F.col("run") / 10000)))
-    return runs.join(numbered, page + ["run"]).drop("run")
+    runs = cut(order.segments(kept, ["columns"], _new_table).drop("prior", "starts", "position"))
+    sizes = runs.groupBy(*page, "segment").agg(F.count(F.lit(1)).alias("row_count")).filter("row_count >= 2")
+    numbered = number_rows(sizes, "table_number", Ordered(page, ["segment"], F.floor(F.col("segment") / 10000)))
+    return runs.join(numbered, page + ["segment"]).drop("segment")
 
 
 def table_blocks(lines: DataFrame) -> DataFrame:

@@ -1,0 +1,26 @@
+"""Cutting lineage where a frame feeds several branches."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into reliable storage, so that its readers share it and
+    a lost executor does not replay it.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Without
+    it a local session takes a scratch folder; a cluster session keeps the plan
+    as it is, because a machine-local folder would not be seen by all executors.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not folder and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="spark-")
+        if not folder:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

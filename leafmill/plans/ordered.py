@@ -3,22 +3,26 @@
 A plain window sends every row of a key to one task. Here a key is cut into
 blocks that follow the order (an hour, ten thousand lines, a thousand pages).
 Windows run inside (key, block); one small row per block carries the value in
-from the blocks before it. A hot key is then spread over its blocks.
+from the blocks before it. A hot key is then spread over its blocks, at the
+price of one more narrow read of the input.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 _MERGE = {
-    "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
+    "sum": lambda a, b: a + F.coalesce(b, F.lit(0)),
     "max": lambda a, b: F.greatest(a, b),
 }
 _AGG = {"sum": F.sum, "max": F.max}
 _BLOCK = "__block"
 
+Step = Callable[[WindowSpec], Column]
+
 
 class Ordered:
     """Rows grouped by ``keys`` and totally ordered by ``order`` within a key.
@@ -28,56 +32,87 @@ class Ordered:
 
     def __init__(self, keys: list[str], order: list[str], block: Column):
         self.keys, self.order, self.block = keys, order, block
+        self.cells = keys + [_BLOCK]
+        self.local = Window.partitionBy(*self.cells).orderBy(*order)
+        self.upto = self.local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        self.blocks = Window.partitionBy(*keys).orderBy(_BLOCK)
+        self.earlier = self.blocks.rowsBetween(Window.unboundedPreceding, -1)
+
+    def carry(self, df: DataFrame, local: dict[str, Column], totals: dict[str, Column],
+              before: dict[str, Column]) -> DataFrame:
+        """Rows with ``local`` columns and the ``before`` columns of their block.
+
+        ``local`` is computed row by row in a block, ``totals`` once per block,
+        ``before`` over the blocks of a key; each may use the names before it.
+        """
+        inside = df.withColumn(_BLOCK, self.block)
+        for name, value in local.items():
+            inside = inside.withColumn(name, value)
+        blocks = inside.groupBy(*self.cells).agg(*[v.alias(n) for n, v in totals.items()])
+        for name, value in before.items():
+            blocks = blocks.withColumn(name, value)
+        side = blocks.select(*[F.col(c).alias(f"__key_{c}") for c in self.cells], *before)
+        match = reduce(lambda a, b: a & b,
+                       [inside[c].eqNullSafe(side[f"__key_{c}"]) for c in self.cells])
+        return inside.join(side, match, "left").drop(_BLOCK, *[f"__key_{c}" for c in self.cells])
 
     def running(self, df: DataFrame, how: str, **values: Column) -> DataFrame:
         """Add ``name = how(value)`` from the first row of the key to this row."""
-        cells = self.keys + [_BLOCK]
-        local = Window.partitionBy(*cells).orderBy(*self.order).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        before = Window.partitionBy(*self.keys).orderBy(_BLOCK).rowsBetween(
-            Window.unboundedPreceding, -1)
-        staged = df.withColumn(_BLOCK, self.block)
-        for name, value in values.items():
-            staged = staged.withColumn(name, value)
-        totals = staged.groupBy(*cells).agg(*[_AGG[how](n).alias(f"__{n}") for n in values])
-        carry = totals.select(
-            *cells, *[_AGG[how](f"__{n}").over(before).alias(f"__{n}") for n in values])
-        inside = staged
-        for name in values:
-            inside = inside.withColumn(name, _AGG[how](name).over(local))
-        joined = self._attach(inside, carry)
+        agg = _AGG[how]
+        joined = self.carry(
+            df,
+            {n: agg(v).over(self.upto) for n, v in values.items()},
+            {f"__total_{n}": agg(v) for n, v in values.items()},
+            {f"__before_{n}": agg(f"__total_{n}").over(self.earlier) for n in values})
         return joined.withColumns(
-            {n: _MERGE[how](F.col(n), F.col(f"__{n}")) for n in values}
-        ).drop(_BLOCK, *[f"__{n}" for n in values])
-
-    def previous(self, df: DataFrame, **values: Column) -> DataFrame:
-        """Add ``name`` = the value on the row before this one in the key."""
-        cells = self.keys + [_BLOCK]
-        local = Window.partitionBy(*cells).orderBy(*self.order)
-        before = Window.partitionBy(*self.keys).orderBy(_BLOCK)
-        staged = df.withColumn(_BLOCK, self.block)
-        for name, value in values.items():
-            staged = staged.withColumn(name, value)
-        last = F.max(F.struct(*self.order, *values))
-        totals = staged.groupBy(*cells).agg(last.alias("__last"))
-        carry = totals.select(*cells, F.lag("__last").over(before).alias("__last"))
-        first = F.row_number().over(local) == 1
-        inside = staged.withColumn("__first", first)
-        for name in values:
-            inside = inside.withColumn(f"__{name}", F.lag(name).over(local)).drop(name)
-        joined = self._attach(inside, carry)
-        return joined.withColumns({
-            n: F.when(F.col("__first"), F.col("__last").getField(n)).otherwise(F.col(f"__{n}"))
-            for n in values
-        }).drop(_BLOCK, "__first", "__last", *[f"__{n}" for n in values])
-
-    def _attach(self, rows: DataFrame, carry: DataFrame) -> DataFrame:
-        names = self.keys + [_BLOCK]
-        side = carry.select(*[F.col(c).alias(f"__key_{c}") for c in names],
-                            *[c for c in carry.columns if c not in names])
-        match = reduce(lambda a, b: a & b,
-                       [rows[c].eqNullSafe(side[f"__key_{c}"]) for c in names])
-        return rows.join(side, match, "left").drop(*[f"__key_{c}" for c in names])
+            {n: _MERGE[how](F.col(n), F.col(f"__before_{n}")) for n in values}
+        ).drop(*[f"__before_{n}" for n in values])
+
+    def segments(self, df: DataFrame, values: list[str],
+                 breaks: Callable[[Column, Column], Column]) -> DataFrame:
+        """Cut each key where ``breaks(row, row before)`` holds, both given as
+        structs of ``values``; the first row of a key always starts a segment.
+
+        Adds ``prior`` (values of the row before), ``starts``, ``segment`` (from
+        1 per key) and ``position`` (from 1 per segment).
+        """
+        def cut(row: Column, prior: Column) -> Column:
+            return F.when(prior.isNull(), 1).otherwise(
+                F.coalesce(breaks(row, prior), F.lit(False)).cast("int"))
+
+        row, head = F.struct(*values), F.col("__head")
+        first, last = F.min(F.struct(*self.order, *self._extra(values))), F.max(F.struct(*self.order, *self._extra(values)))
+
+        def pick(edge: Column) -> Column:
+            return F.when(edge.isNotNull(), F.struct(*[edge.getField(v).alias(v) for v in values]))
+
+        joined = self.carry(
+            df,
+            {"__row": row,
+             "__prior": F.lag("__row").over(self.local),
+             "__no": F.row_number().over(self.local),
+             "__cut": F.when(F.col("__no") == 1, 0).otherwise(cut(F.col("__row"), F.col("__prior"))),
+             "__cuts": F.sum("__cut").over(self.upto),
+             "__at": F.max(F.when(F.col("__cut") == 1, F.col("__no"))).over(self.upto)},
+            {"__first": first, "__last": last, "__sum": F.sum("__cut"), "__rows": F.count(F.lit(1)),
+             "__late": F.max(F.when(F.col("__cut") == 1, F.col("__no")))},
+            {"__enter": pick(F.lag("__last").over(self.blocks)),
+             "__head": cut(pick(F.col("__first")), F.col("__enter")),
+             "__seen": F.coalesce(F.sum(F.col("__head") + F.col("__sum")).over(self.earlier), F.lit(0)),
+             "__skip": F.coalesce(F.sum("__rows").over(self.earlier), F.lit(0)),
+             "__open": F.when(F.col("__head") == 1, F.col("__skip") + 1),
+             "__from": F.max(F.greatest(F.col("__skip") + F.col("__late"), F.col("__open"))).over(self.earlier)})
+        begin = F.coalesce(F.col("__skip") + F.col("__at"), F.col("__open"), F.col("__from"))
+        top = F.col("__no") == 1
+        return (joined
+                .withColumn("prior", F.when(top, F.col("__enter")).otherwise(F.col("__prior")))
+                .withColumn("starts", F.when(top, head).otherwise(F.col("__cut")) == 1)
+                .withColumn("segment", F.col("__seen") + head + F.col("__cuts"))
+                .withColumn("position", F.col("__skip") + F.col("__no") - begin + 1)
+                .drop(*[c for c in joined.columns if c.startswith("__")]))
+
+    def _extra(self, values: list[str]) -> list[str]:
+        return [v for v in values if v not in self.order]
 
 
 def number_rows(df: DataFrame, name: str, ordered: Ordered) -> DataFrame:
@@ -91,8 +126,3 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column | str], n: int,
     before the shuffle, so a hot key does not gather in one task."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
-
-
-def best_row(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row per key, for tables where ties follow a declared order."""
-    return top_rows(df, keys, order, 1, "__rank").drop("__rank")

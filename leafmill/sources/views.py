@@ -293,11 +293,13 @@ VIEWS: dict[str, str | dict[str, str]] = {
                                  FROM {{lineitem}} GROUP BY l_orderkey) s ON o_orderkey = l_orderkey""",
     "t4": f"""
         SELECT o_custkey AS applicant, cast(year(o_orderdate) AS INT) AS year,
-               sum({_CENTS}) / 100.0e0 AS amount
+               cast(floor(sum({_CENTS}) / 100.0e0) AS BIGINT) / 1.0e0 AS amount
         FROM {{orders}} GROUP BY o_custkey, year(o_orderdate)""",
     "loans": """
         SELECT o_orderkey AS id, o_custkey AS applicant, c_mktsegment AS segment,
-               CASE WHEN o_orderkey % 41 = 0 THEN 0.0e0 ELSE o_totalprice END AS principal,
+               CASE WHEN o_orderkey % 41 = 0 THEN 0.0e0
+                    WHEN o_orderkey % 17 = 0 THEN 15600.0e0 * (1 + o_orderkey % 30)
+                    ELSE o_totalprice END AS principal,
                CASE WHEN o_orderkey % 29 = 0 THEN 0.0e0
                     ELSE floor(o_totalprice * (100 + o_orderkey % 60) / 100.0e0) END AS property_value,
                CASE WHEN o_orderkey % 17 = 0 THEN 0.0e0 ELSE (o_orderkey % 340) / 10.0e0 END AS annual_rate,
