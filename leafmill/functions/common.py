@@ -18,6 +18,18 @@ def first_match(arms: list[tuple[Column, object]], default=None) -> Column:
     return chain.otherwise(default)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often it is used.
+    Lambdas are interpreted, so a repeated sub-expression is repeated work."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def settle(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns through a one-row generator. Catalyst does not inline these
+    into later filters and projections, so a costly value is computed once."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def count_true(flag: Column) -> Column:
     return F.count(F.when(flag, 1))
 
