@@ -317,12 +317,12 @@ VIEWS: dict[str, str | dict[str, str]] = {
         FROM {customer}""",
     # Page images and page features.
     "page_images": _two(
-        """SELECT vec_id AS page_id, cast(label AS BIGINT) AS doc_id, cast(vec_id AS INT) AS page_num,
-                  8 AS width, 8 AS height,
+        """SELECT vec_id AS page_id, cast(floor(vec_id / 10.0e0) AS BIGINT) AS doc_id,
+                  cast(vec_id % 10 + 1 AS INT) AS page_num, 16 AS width, 4 AS height,
                   transform(embedding, e -> cast(least(255, floor(abs(cast(e AS DOUBLE)) * 800)) AS INT)) AS gray
            FROM {embeddings}""",
-        """SELECT vec_id AS page_id, cast(label AS BIGINT) AS doc_id, cast(vec_id AS INT) AS page_num,
-                  8 AS width, 8 AS height,
+        """SELECT vec_id AS page_id, cast(floor(vec_id / 10.0e0) AS BIGINT) AS doc_id,
+                  cast(vec_id % 10 + 1 AS INT) AS page_num, 16 AS width, 4 AS height,
                   [cast(least(255, floor(abs(cast(e AS DOUBLE)) * 800)) AS INT) FOR e IN embedding] AS gray
            FROM {embeddings}"""),
     "page_features": """
@@ -333,12 +333,15 @@ VIEWS: dict[str, str | dict[str, str]] = {
         FROM {doc_pages}""",
     "page_scans": """
         SELECT doc_id, page_num, cast(60 + length(text) % 300 AS INT) AS dpi,
+               cast(600 + length(text) % 2800 AS INT) AS width, cast(900 + (length(text) * 7) % 2500 AS INT) AS height,
+               CASE WHEN length(text) % 3 = 0 THEN cast(72 + length(text) % 251 AS INT) END AS dpi_x,
+               CASE WHEN length(text) % 3 = 0 THEN cast(73 + length(text) % 240 AS INT) END AS dpi_y,
                (length(text) % 700) / 2.0e0 AS blur_score, length(text) % 11 = 0 AS too_dark,
                length(text) % 11 = 1 AS too_bright, length(text) % 7 = 0 AS low_contrast,
                (cast(length(text) % 200 AS INT) - 100) / 10.0e0 AS skew_angle
         FROM {doc_pages}""",
     "page_ink": """
-        SELECT doc_id, page_num, (length(text) % 400) / 1.0e0 AS variance,
+        SELECT doc_id, page_num, ((length(text) * 7) % 4000) / 10.0e0 + 0.03e0 AS variance,
                (length(text) % 50) / 1000.0e0 AS density
         FROM {doc_pages}""",
     "card_scans": """
