@@ -342,7 +342,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
         FROM {doc_pages}""",
     "page_ink": """
         SELECT doc_id, page_num, ((length(text) * 7) % 4000) / 10.0e0 + 0.03e0 AS variance,
-               (length(text) % 50) / 1000.0e0 AS density
+               (length(text) % 50) / 1000.0e0 + 0.0003e0 AS density
         FROM {doc_pages}""",
     "card_scans": """
         SELECT l_orderkey AS doc_id, cast(l_linenumber AS INT) AS page_num,
