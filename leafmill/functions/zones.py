@@ -68,8 +68,8 @@ def line_zone_text(lines: Column, rows: Column, zone: Zone) -> Column:
     return _joined(F.transform(kept, cut))
 
 
-def with_zones(pages: DataFrame, table: dict[str, Zone]) -> DataFrame:
-    """(doc_id, page_num) with one text column per zone."""
+def with_zones(pages: DataFrame, table: dict[str, Zone], case=lambda text: text) -> DataFrame:
+    """(doc_id, page_num) with one text column per zone, in the given ``case``."""
     cells = let(F.split("text", "\n"), lambda lines: let(F.size(lines), lambda rows: F.struct(
-        *[line_zone_text(lines, rows, zone).alias(name) for name, zone in table.items()])))
+        *[case(line_zone_text(lines, rows, zone)).alias(name) for name, zone in table.items()])))
     return pages.select("doc_id", "page_num", F.inline(F.array(cells)))

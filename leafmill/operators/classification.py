@@ -22,9 +22,9 @@ def words_in_zones(pages: DataFrame, table: dict[str, zones.Zone]) -> DataFrame:
 def authority_documents(pages: DataFrame) -> DataFrame:
     """Pages issued by the tax authority with type, form number and confidence.
     The cheap issuer test drops other pages before any pattern is run."""
-    texts = zones.with_zones(pages, {**zones.AUTHORITY_ZONES, "corner": zones.CORNER_ZONE})
+    texts = zones.with_zones(pages, {**zones.AUTHORITY_ZONES, "corner": zones.CORNER_ZONE}, F.lower)
     issued = settle(texts, rules.issuer_flag(F.col("header")).alias("issuer")).filter("issuer.is_issuer")
-    body = F.lower(F.concat_ws(" ", *zones.AUTHORITY_ZONES))
+    body = F.concat_ws(" ", *zones.AUTHORITY_ZONES)
     typed = settle(issued, body.alias("body"))
     typed = settle(typed, rules.authority_type(F.col("body")).alias("best"))
     type_confidence = F.coalesce(F.least(0.5 + F.col("best.score") * 0.15, F.lit(0.95)), F.lit(0.0))
@@ -55,8 +55,8 @@ def confidence_summary(pages: DataFrame, hits: DataFrame, when_none: float) -> D
 def tax_forms(pages: DataFrame, word_boundary: bool = False) -> DataFrame:
     """Pages that are tax forms: a code in the corner, else the best content score."""
     texts = zones.with_zones(pages, {"corner": zones.CORNER_ZONE, "content": zones.CONTENT_ZONE,
-                                     "strip": zones.YEAR_STRIP_ZONE})
-    coded = settle(texts, rules.tax_form_code(F.col("corner")).alias("code"))
+                                     "strip": zones.YEAR_STRIP_ZONE}, F.lower)
+    coded = settle(texts.withColumn("mark", F.upper("corner")), rules.tax_form_code(F.col("mark")).alias("code"))
     scored = settle(coded, F.when(F.col("code").isNull(), rules.tax_form_by_content(
         F.col("content"), word_boundary)).alias("best"))
     found = scored.withColumn("form_type", F.coalesce("code", "best.name")).filter("form_type IS NOT NULL")
@@ -71,8 +71,8 @@ def tax_forms(pages: DataFrame, word_boundary: bool = False) -> DataFrame:
 
 def bank_statements(pages: DataFrame) -> DataFrame:
     """Bank named in the head of each document's first page."""
-    first = zones.with_zones(pages.filter("page_num = 1"), {"head": zones.BANK_ZONE})
-    staged = settle(first.withColumn("head", F.upper("head")), rules.bank(F.col("head")).alias("bank"))
+    first = zones.with_zones(pages.filter("page_num = 1"), {"head": zones.BANK_ZONE}, F.upper)
+    staged = settle(first, rules.bank(F.col("head")).alias("bank"))
     known = F.col("bank").isNotNull()
     return staged.select("doc_id", "bank", known.alias("is_bank_statement"),
                          F.when(known, 0.90).otherwise(0.0).alias("confidence"),
@@ -83,7 +83,7 @@ def fiscal_year_findings(pages: DataFrame) -> DataFrame:
     """One row per year mention and zone it falls in."""
     found = F.concat(*[rules.year_findings(F.col(name), name, order)
                        for order, name in enumerate(zones.FISCAL_ZONES)])
-    return zones.with_zones(pages, zones.FISCAL_ZONES).select("doc_id", "page_num", F.explode(found).alias("f")).select(
+    return zones.with_zones(pages, zones.FISCAL_ZONES, F.lower).select("doc_id", "page_num", F.explode(found).alias("f")).select(
         "doc_id", "page_num", "f.*")
 
 

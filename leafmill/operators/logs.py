@@ -73,15 +73,20 @@ def search_logs(logs: DataFrame, text: str) -> DataFrame:
 
 def issue_hits(logs: DataFrame) -> DataFrame:
     """One row per log and category it falls in, with the first pattern that matched.
-    Rules are unrolled into one projection; the log is never multiplied by a rule table."""
-    low = F.lower("text")
-    hits = []
-    for category, patterns in ISSUE_PATTERNS.items():
-        pattern = first_match([(F.regexp_like(low, F.lit(p)), F.lit(p)) for p in patterns])
-        hits.append(F.when(pattern.isNotNull(),
-                           F.struct(F.lit(category).alias("category"), pattern.alias("pattern"))))
-    return (logs.withColumn("hit", F.explode(F.array_compact(F.array(*hits))))
-            .select(*logs.columns, "hit.category", "hit.pattern"))
+
+    A log is tested once per category by the joined patterns; it is never
+    multiplied by a rule table. Which pattern it was is only asked of the hits,
+    and not at all when the caller drops that column.
+    """
+    staged = logs.withColumn("__low", F.lower("text"))
+    hits = [F.when(F.regexp_like("__low", F.lit("|".join(patterns))), F.lit(category))
+            for category, patterns in ISSUE_PATTERNS.items()]
+    found = staged.withColumn("category", F.explode(F.array_compact(F.array(*hits))))
+    pattern = first_match([
+        (F.col("category") == category, first_match(
+            [(F.regexp_like("__low", F.lit(p)), F.lit(p)) for p in patterns]))
+        for category, patterns in ISSUE_PATTERNS.items()])
+    return found.withColumn("pattern", pattern).drop("__low")
 
 
 def severity() -> Column:

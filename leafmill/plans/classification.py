@@ -62,7 +62,7 @@ _AUTHORITY = _zones({**zones.AUTHORITY_ZONES, "corner": zones.CORNER_ZONE}) + f"
     SELECT doc_id, page_num, {_KEYWORDS} AS matches, {_KEYWORDS} > 0 AS is_issuer,
            least(({_KEYWORDS}) / 2::DOUBLE, 0.95::DOUBLE) AS confidence FROM z""")
 def issuer_flags(q: Inputs):
-    heads = zones.with_zones(q.view("triage_pages"), {"header": zones.AUTHORITY_ZONES["header"]})
+    heads = zones.with_zones(q.view("triage_pages"), {"header": zones.AUTHORITY_ZONES["header"]}, F.lower)
     return heads.select("doc_id", "page_num", rules.issuer_flag(F.col("header")).alias("r")).select(
         "doc_id", "page_num", "r.*")
 

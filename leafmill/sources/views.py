@@ -85,6 +85,7 @@ _TENANT_SETTINGS = """
                     WHEN skey = 'blank_page_density_threshold' THEN concat('0.0', 1 + code %% 9)
                     ELSE cast(10 + code AS STRING) END AS svalue
         FROM (SELECT s_suppkey AS tenant, s_nationkey AS code, %s AS skey FROM {supplier}) k"""
+_FLAG = "CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END"
 _PADDED = "lpad(cast({} AS STRING), 2, '0')"
 _CENTS = "cast(round(o_totalprice * 100) AS BIGINT)"
 
@@ -201,19 +202,19 @@ VIEWS: dict[str, str | dict[str, str]] = {
                concat({_case(f"(doc_id * 7 + page_num) % {len(PAGE_HEADERS)}", PAGE_HEADERS)},
                       chr(10), text, chr(10), 'Page ', page_num, ' of ', 1 + doc_id % 9) AS text
         FROM {{doc_pages}}""",
-    "table_pages": """
+    "table_pages": f"""
         SELECT l_orderkey AS doc_id, cast(l_linenumber AS INT) AS line_no, 1 AS page_num,
-               CASE l_returnflag
-                 WHEN 'A' THEN concat(l_partkey, '  ', l_quantity, '  ', l_extendedprice)
-                 WHEN 'N' THEN concat('item ', l_partkey, ', qty ', cast(l_quantity AS INT))
-                 ELSE CASE WHEN l_linestatus = 'O'
+               CASE flag
+                 WHEN 3 THEN concat(l_partkey, '  ', l_quantity, '  ', l_extendedprice)
+                 WHEN 2 THEN concat('item ', l_partkey, ', qty ', cast(l_quantity AS INT))
+                 ELSE CASE WHEN open_line = 1
                            THEN concat(l_partkey, '  ', l_suppkey, '  a  b  ', cast(l_quantity AS INT))
                            ELSE 'plain words only' END END AS text
         FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey,
                      max(l_suppkey) AS l_suppkey, max(cast(l_quantity AS INT)) AS l_quantity,
                      max(cast(floor(l_extendedprice) AS INT)) AS l_extendedprice,
-                     max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus
-              FROM {lineitem} GROUP BY l_orderkey, l_linenumber) x""",
+                     max({_FLAG}) AS flag, max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS open_line
+              FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber) x""",
     "files": """
         SELECT doc_id, concat('/in/', source, '/', doc_id,
                               CASE WHEN lang = 'en' THEN '.pdf' WHEN lang = 'fr' THEN '.PDF'
@@ -349,15 +350,15 @@ VIEWS: dict[str, str | dict[str, str]] = {
                1.0e0 + max(cast(l_quantity AS INT)) / 50.0e0 AS aspect_ratio,
                max(l_discount) > 0.05e0 AS has_hologram, max(l_discount) * 10 AS hologram_conf,
                max(l_tax) > 0.04e0 AS has_barcode, max(l_tax) * 12 AS barcode_conf,
-               max(l_returnflag) = 'R' AS has_stripe, 0.8e0 AS stripe_conf,
+               max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AS has_stripe, 0.8e0 AS stripe_conf,
                max(l_suppkey) % 10 / 10.0e0 AS rounded_conf
         FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
-    "card_sides": """
+    "card_sides": f"""
         SELECT l_orderkey AS doc_id, cast(l_linenumber AS INT) AS page_num,
-               CASE max(l_returnflag) WHEN 'A' THEN 'recto' WHEN 'N' THEN 'verso'
+               CASE max({_FLAG}) WHEN 3 THEN 'recto' WHEN 2 THEN 'verso'
                     ELSE CASE WHEN max(l_suppkey) % 2 = 0 THEN 'unknown' ELSE 'recto' END END AS side,
                max(cast(l_quantity AS INT)) / 50.0e0 AS confidence
-        FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
+        FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber""",
     # Forms, detections, links.
     "form_fields": """
         SELECT l_orderkey AS doc_id, l_linenumber AS field_no,
