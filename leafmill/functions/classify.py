@@ -170,7 +170,7 @@ def tax_form_by_content(low: Column, word_boundary: bool = False) -> Column:
 
     def keyword(word: str) -> Column:
         if word_boundary:
-            return _found(low, r"(?<![\p{L}\p{N}])" + word + r"(?![\p{L}\p{N}])")
+            return _found(low, rf"\b{word}\b")
         return low.contains(word)
 
     return _best([(code, _sum([_found(low, p).cast("int") * 2 for p in patterns]

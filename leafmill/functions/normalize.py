@@ -6,6 +6,7 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 from leafmill.functions.common import col
 from leafmill.functions.text import collapse_spaces
@@ -106,7 +107,7 @@ def split_full_name(full: str | Column) -> Column:
         F.when(empty, "Empty name").alias("error"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def block_match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching blocks over the total length; no SQL function does this."""
     return pd.Series([

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from leafmill.functions import text as rules
 from leafmill.functions.common import count_true
@@ -12,7 +13,7 @@ from leafmill.plans.lineage import cut
 from leafmill.plans.ordered import Ordered, number_rows
 
 
-@F.udtf(returnType="matched_text string, position int")
+@F.udtf(returnType=StructType([StructField("matched_text", StringType()), StructField("position", IntegerType())]))
 class FindMatches:
     """Matches of a pattern that may match the empty string, which the
     split-based expression cannot place."""
@@ -91,24 +92,38 @@ def _new_table(row: Column, before: Column) -> Column:
     return F.abs(row["columns"] - before["columns"]) > 1
 
 
+_PAGE = ["doc_id", "page_num"]
+
+
+def _table_runs(lines: DataFrame) -> DataFrame:
+    """Table-like lines with the run of alike lines each belongs to. Other lines
+    are dropped before grouping."""
+    order = Ordered(_PAGE, ["line_no"], F.floor(F.col("line_no") / 10000))
+    kept = (lines.select(*_PAGE, "line_no", F.trim("text").alias("row"))
+            .filter(rules.looks_like_table(F.col("row")))
+            .withColumn("columns", rules.column_count("row")))
+    return order.segments(kept, ["columns"], _new_table).drop("prior", "starts", "position")
+
+
+def _table_spans(runs: DataFrame) -> DataFrame:
+    """Runs of two or more lines, numbered as the tables of their page."""
+    spans = cut(runs.groupBy(*_PAGE, "segment").agg(
+        F.count(F.lit(1)).alias("row_count"), F.min("line_no").alias("first_line"),
+        F.max("line_no").alias("last_line"), F.max("columns").alias("widest")).filter("row_count >= 2"))
+    return number_rows(spans, "table_number", Ordered(_PAGE, ["segment"], F.floor(F.col("segment") / 10000)))
+
+
 def table_rows(lines: DataFrame) -> DataFrame:
     """Table-like lines with the number of the table they belong to on their page.
 
-    Other lines are dropped before grouping. A table ends where the column count
-    moves by more than one; runs of a single line are not tables.
+    A table ends where the column count moves by more than one; runs of a single
+    line are not tables.
     """
-    page = ["doc_id", "page_num"]
-    order = Ordered(page, ["line_no"], F.floor(F.col("line_no") / 10000))
-    kept = (lines.select(*page, "line_no", F.trim("text").alias("row"))
-            .filter(rules.looks_like_table(F.col("row")))
-            .withColumn("columns", rules.column_count("row")))
-    runs = cut(order.segments(kept, ["columns"], _new_table).drop("prior", "starts", "position"))
-    sizes = runs.groupBy(*page, "segment").agg(F.count(F.lit(1)).alias("row_count")).filter("row_count >= 2")
-    numbered = number_rows(sizes, "table_number", Ordered(page, ["segment"], F.floor(F.col("segment") / 10000)))
-    return runs.join(numbered, page + ["segment"]).drop("segment")
+    runs = cut(_table_runs(lines))
+    numbered = _table_spans(runs).select(*_PAGE, "segment", "row_count", "table_number")
+    return runs.join(numbered, _PAGE + ["segment"]).drop("segment")
 
 
 def table_blocks(lines: DataFrame) -> DataFrame:
-    return table_rows(lines).groupBy("doc_id", "page_num", "table_number").agg(
-        F.count(F.lit(1)).alias("row_count"), F.min("line_no").alias("first_line"),
-        F.max("line_no").alias("last_line"), F.max("columns").alias("widest"))
+    """One row per table: number, rows, first and last line, widest row."""
+    return _table_spans(_table_runs(lines)).drop("segment")

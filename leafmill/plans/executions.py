@@ -6,7 +6,9 @@ from leafmill.functions.common import stamp
 from leafmill.operators import executions as ops
 from leafmill.registry import Inputs, query
 
-AS_OF = F.expr("TIMESTAMP_NTZ'2024-01-31 00:00:00'")
+
+def as_of():
+    return F.expr("TIMESTAMP_NTZ'2024-01-31 00:00:00'")
 
 
 @query("tool_health", ["S1", "Q1", "A3", "A4"], """
@@ -15,14 +17,14 @@ AS_OF = F.expr("TIMESTAMP_NTZ'2024-01-31 00:00:00'")
            round(avg(execution_time_ms) FILTER (created_at >= TIMESTAMP '2024-01-24'), 4) AS recent_avg_ms
     FROM tool_executions GROUP BY tool_name""")
 def tool_health(q: Inputs):
-    return ops.tool_health(q.view("tool_executions"), AS_OF)
+    return ops.tool_health(q.view("tool_executions"), as_of())
 
 
 @query("avg_time_by_tool", ["A3"], """
     SELECT tool_name, round(avg(execution_time_ms), 4) AS avg_time_ms FROM tool_executions
     WHERE created_at > TIMESTAMP '2024-01-31' - INTERVAL 7 DAY GROUP BY tool_name""")
 def avg_time_by_tool(q: Inputs):
-    return ops.avg_time_by_tool(q.view("tool_executions"), AS_OF)
+    return ops.avg_time_by_tool(q.view("tool_executions"), as_of())
 
 
 @query("success_by_tool", ["A4"], """

@@ -12,6 +12,14 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(path, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the session has cores, dealt out to all cores.
+    Large inputs have more splits than cores and are left as they are. Only for
+    bare scans: their split count is known without running anything."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int,
               parts: int, **options: str) -> DataFrame:
     """A relational table read in ``parts`` key ranges, so no single task pulls it all."""

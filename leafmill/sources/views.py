@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.sources.tables import read_table
+from leafmill.sources.tables import read_table, spread
 
 RAW = ("region nation customer supplier part orders lineitem events documents "
        "embeddings pages benchmark labels conversations").split()
@@ -415,7 +415,7 @@ def _text(name: str, engine: str) -> str:
 def spark_view(spark: SparkSession, path: str, name: str) -> DataFrame:
     sql = _text(name, "spark")
     inputs = {
-        dep: read_table(spark, path, dep) if dep in RAW else spark_view(spark, path, dep)
+        dep: spread(read_table(spark, path, dep)) if dep in RAW else spark_view(spark, path, dep)
         for dep in _names(sql)
     }
     return spark.sql(_spark_quote(sql) if isinstance(VIEWS[name], str) else sql, **inputs)
