@@ -242,12 +242,12 @@ VIEWS: dict[str, str | dict[str, str]] = {
                     WHEN 2 THEN 'o''neil  marie   roy' WHEN 3 THEN 'Madonna' WHEN 4 THEN '   '
                     WHEN 5 THEN concat('élise (', c_mktsegment, ') ducharme')
                     ELSE concat(c_name, ' smith jr') END AS name,
-               concat(1 + c_custkey % 200, ' ',
+               concat(1 + c_custkey % 10, ' ',
                       CASE c_custkey % 7 WHEN 0 THEN 'Avenue North' WHEN 1 THEN 'rue de l''Église Ouest'
                            WHEN 2 THEN 'Boulevard St-Laurent, Est' WHEN 3 THEN 'Montée  du Rang'
                            WHEN 4 THEN 'Street # 4' WHEN 5 THEN 'Chemin des Érables'
                            ELSE 'Streetcar Road South' END, ', ', c_mktsegment) AS address,
-               concat(1 + c_custkey % 200, ' ',
+               concat(1 + c_custkey % 10, ' ',
                       CASE c_custkey % 7 WHEN 0 THEN 'Ave. N' WHEN 1 THEN 'RUE EGLISE OUEST'
                            WHEN 2 THEN 'Boulevard Saint-Laurent' WHEN 3 THEN 'Montée du Rang'
                            WHEN 4 THEN 'Street #4' WHEN 5 THEN 'Ch. des Erables'
