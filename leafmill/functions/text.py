@@ -46,9 +46,16 @@ def last_line(text: str | Column) -> Column:
     return F.element_at(F.split(col(text), "\n"), -1)
 
 
+def match_context(text: Column, position: Column, matched: Column, width: int = 50) -> Column:
+    """Text around a match, ``width`` characters each way, newlines as spaces."""
+    first = F.greatest(position - width, F.lit(0))
+    size = position + F.length(matched) + width - first
+    return F.translate(F.substr(text, first + 1, size), "\n", " ")
+
+
 def match_positions(text: str | Column, pattern: str) -> Column:
-    """Array of struct(matched_text, position) for a pattern that never matches
-    the empty string. The gaps between matches give the 0-based positions."""
+    """Array of struct(matched_text, position, context) for a pattern that never
+    matches the empty string. The gaps between matches give the 0-based positions."""
     value = col(text)
     found = F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
     gaps = F.split(value, pattern, -1)
@@ -63,14 +70,9 @@ def match_positions(text: str | Column, pattern: str) -> Column:
 
     pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)),
                        lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["hits"])
-
-
-def match_context(text: Column, position: Column, matched: Column, width: int = 50) -> Column:
-    """Text around a match, ``width`` characters each way, newlines as spaces."""
-    first = F.greatest(position - width, F.lit(0))
-    size = position + F.length(matched) + width - first
-    return F.translate(F.substr(text, first + 1, size), "\n", " ")
+    placed = F.aggregate(pairs, start, step, lambda acc: acc["hits"])
+    return F.transform(placed, lambda hit: hit.withField(
+        "context", match_context(value, hit["position"], hit["matched_text"])))
 
 
 def urls(text: str | Column) -> Column:

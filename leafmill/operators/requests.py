@@ -77,21 +77,23 @@ def api_calls(requests: DataFrame, responses: DataFrame, api_base: str = "/api")
         .otherwise(F.col("status") == "completed").alias("ok"), "ts")
 
 
-def match_requests_fifo(requests: DataFrame, completions: DataFrame) -> DataFrame:
+def match_requests_fifo(requests: DataFrame, completions: DataFrame, key: str = "url",
+                        block: str = "hour") -> DataFrame:
     """Each completion closes the oldest open request of its URL; with none open
-    it is ignored. Requests left open stay pending.
+    it is ignored. Requests left open stay pending. ``key`` may name a request id
+    instead. ``block`` is the time span one task takes of a busy key.
 
-    Per URL, in time order, let ``lead`` be completions minus requests so far. A
+    Per key, in time order, let ``lead`` be completions minus requests so far. A
     completion is ignored exactly where ``lead`` reaches a new maximum above
     zero; the others pair with requests by ordinal. Running values are taken in
-    hourly blocks, so a busy URL is spread over tasks, and the final join is on
-    (url, ordinal), which is unique on both sides.
+    blocks of time, so a busy key is spread over tasks, and the final join is on
+    (key, ordinal), which is unique on both sides.
     """
-    events = (requests.select("url", "ts", "seq", F.lit(0).alias("done"),
+    events = (requests.select(key, "ts", "seq", F.lit(0).alias("done"),
                               F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("code"))
-              .unionByName(completions.select("url", "ts", "seq", F.lit(1).alias("done"), "kind",
+              .unionByName(completions.select(key, "ts", "seq", F.lit(1).alias("done"), "kind",
                                               F.col("status").alias("code"))))
-    order = Ordered(["url"], ["ts", "seq"], F.date_trunc("hour", "ts"))
+    order = Ordered([key], ["ts", "seq"], F.date_trunc(block, "ts"))
     lead = F.col("closed_in") - F.col("opened_in")
     staged = order.carry(
         events,
@@ -110,16 +112,16 @@ def match_requests_fifo(requests: DataFrame, completions: DataFrame) -> DataFram
     ignored = F.greatest(F.lit(0), F.col("peak_was"), base + F.col("peak_in"))
     ignored_before = F.greatest(F.lit(0), F.col("peak_was"), base + F.col("peak_was_in"))
     staged = staged.select(
-        "url", "ts", "seq", "done", "kind", "code", (F.col("closed_was") + F.col("closed_in")).alias("closed"),
+        key, "ts", "seq", "done", "kind", "code", (F.col("closed_was") + F.col("closed_in")).alias("closed"),
         (F.col("opened_was") + F.col("opened_in")).alias("opened"), ignored.alias("ignored"),
         (ignored > ignored_before).alias("drop_it"))
     done = staged.filter("done = 1 AND NOT drop_it").select(
-        "url", (F.col("closed") - F.col("ignored")).alias("ordinal"), F.col("seq").alias("completion_seq"),
+        key, (F.col("closed") - F.col("ignored")).alias("ordinal"), F.col("seq").alias("completion_seq"),
         "kind", "code")
-    opened = staged.filter("done = 0").select("url", F.col("opened").alias("ordinal"), "seq", "ts")
+    opened = staged.filter("done = 0").select(key, F.col("opened").alias("ordinal"), "seq", "ts")
     status = F.when(F.col("kind").isNull(), "pending").when(F.col("kind") == "failed", "failed").otherwise("completed")
-    return opened.join(done, ["url", "ordinal"], "left").select(
-        "seq", "url", "ts", "completion_seq", status.alias("status"), F.col("code").alias("response_status"))
+    return opened.join(done, [key, "ordinal"], "left").select(
+        "seq", key, "ts", "completion_seq", status.alias("status"), F.col("code").alias("response_status"))
 
 
 def har_entries(requests: DataFrame, responses: DataFrame) -> DataFrame:

@@ -38,14 +38,12 @@ def search_text(pages: DataFrame, pattern: str, case_sensitive: bool = False) ->
     if compiled.match("") or compiled.search(" "):
         found = pages.lateralJoin(
             FindMatches(F.col("text").outer(), F.lit(pattern), F.lit(int(flags))))
-        hit, at = F.col("matched_text"), F.col("position")
+        context = rules.match_context(F.col("text"), F.col("position"), F.col("matched_text"))
+        found = found.withColumn("context", context)
     else:
         mode = "(?U)" if case_sensitive else "(?iU)"
-        found = pages.select("doc_id", "page_num", "text",
-                             F.explode(rules.match_positions("text", mode + pattern)).alias("m"))
-        hit, at = F.col("m.matched_text"), F.col("m.position")
-    return found.select("doc_id", "page_num", hit.alias("matched_text"), at.alias("position"),
-                        rules.match_context(F.col("text"), at, hit).alias("context"),
+        found = pages.select("doc_id", "page_num", F.inline(rules.match_positions("text", mode + pattern)))
+    return found.select("doc_id", "page_num", "matched_text", "position", "context",
                         F.lit(None).cast("string").alias("error"))
 
 

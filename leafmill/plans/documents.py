@@ -174,6 +174,19 @@ def search_text(q: Inputs):
     return search.search_text(q.view("doc_pages"), SEARCH).drop("error")
 
 
+@query("search_text_udtf", ["Q3", "P7"], r"""
+    WITH g AS (SELECT doc_id, page_num, regexp_extract_all(text, '(?i)(?:tion)+') AS m,
+                      string_split_regex(text, '(?i)(?:tion)+') AS gaps FROM chat_pages),
+         e AS (SELECT doc_id, page_num, unnest(m) AS matched_text, unnest(gaps[1:len(m)]) AS gap,
+                      unnest(range(1, len(m) + 1)) AS i FROM g)
+    SELECT doc_id, page_num, matched_text, (sum(length(gap) + length(matched_text))
+           OVER (PARTITION BY doc_id, page_num ORDER BY i) - length(matched_text))::INT AS position FROM e""")
+def search_text_udtf(q: Inputs):
+    # This pattern also matches the empty string; the full matches are shown.
+    found = search.search_text(q.view("chat_pages"), "(?:tion)*")
+    return found.filter("matched_text <> ''").drop("context", "error")
+
+
 @query("search_summary", ["A24"], r"""
     SELECT doc_id, sum(n)::BIGINT AS total_matches, count(*) FILTER (n > 0) AS pages_with_matches,
            count(*) AS total_pages

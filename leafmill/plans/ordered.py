@@ -25,9 +25,10 @@ Step = Callable[[WindowSpec], Column]
 
 
 class Ordered:
-    """Rows grouped by ``keys`` and totally ordered by ``order`` within a key.
+    """Rows grouped by ``keys`` (never NULL) and totally ordered by ``order`` within a key.
 
-    ``block`` must never fall along the order, and must be bounded in rows.
+    ``block`` must never fall along the order, and must be bounded in rows: take
+    a finer one where a single key fills the default block.
     """
 
     def __init__(self, keys: list[str], order: list[str], block: Column):
@@ -52,8 +53,9 @@ class Ordered:
         for name, value in before.items():
             blocks = blocks.withColumn(name, value)
         side = blocks.select(*[F.col(c).alias(f"__key_{c}") for c in self.cells], *before)
-        match = reduce(lambda a, b: a & b,
-                       [inside[c].eqNullSafe(side[f"__key_{c}"]) for c in self.cells])
+        # Plain equality keeps the partitioning of the windows, so the rows are not
+        # shuffled again for this join; keys must therefore not be NULL.
+        match = reduce(lambda a, b: a & b, [inside[c] == side[f"__key_{c}"] for c in self.cells])
         return inside.join(side, match, "left").drop(_BLOCK, *[f"__key_{c}" for c in self.cells])
 
     def running(self, df: DataFrame, how: str, **values: Column) -> DataFrame:

@@ -43,7 +43,7 @@ def route_low_confidence(q: Inputs):
     SELECT user_id, strftime(min(ts), {_STAMP}) AS first_ts, strftime(max(ts), {_STAMP}) AS last_ts, count(*) AS events
     FROM s GROUP BY user_id, no""")
 def gap_sessions(q: Inputs):
-    return sessions.gap_sessions(q.table("events"), "6 hours").withColumns(
+    return sessions.gap_sessions(q.table("events"), 6 * 3600).withColumns(
         {"first_ts": stamp("first_ts"), "last_ts": stamp("last_ts")})
 
 

@@ -188,14 +188,16 @@ VIEWS: dict[str, str | dict[str, str]] = {
         """SELECT doc_id, unnest(range(1, len(ls) + 1))::INT AS line_no, unnest(ls) AS text
            FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {documents})"""),
     "doc_pages": _two(
-        """SELECT doc_id, cast(pos + 1 AS INT) AS page_num,
-                  array_join(slice(ls, pos * 10 + 1, 10), '\\n') AS text
-           FROM (SELECT doc_id, ls, explode(sequence(0, (size(ls) - 1) div 10)) AS pos
-                 FROM (SELECT doc_id, split(text, '\\n') AS ls FROM {documents}))""",
+        """SELECT doc_id, cast(pos + 1 AS INT) AS page_num, page AS text
+           FROM (SELECT doc_id, split(text, '\\n') AS ls FROM {documents})
+           LATERAL VIEW posexplode(transform(sequence(0, (size(ls) - 1) div 10),
+                                             i -> array_join(slice(ls, i * 10 + 1, 10), '\\n'))) AS pos, page""",
         """SELECT doc_id, (pos + 1)::INT AS page_num,
                   array_to_string(ls[pos * 10 + 1:pos * 10 + 10], chr(10)) AS text
            FROM (SELECT doc_id, ls, unnest(range(0, (len(ls) - 1) // 10 + 1)) AS pos
                  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {documents}))"""),
+    "chat_pages": """
+        SELECT conv_id AS doc_id, cast(turn + 1 AS INT) AS page_num, text FROM {conversations}""",
     # Pages headed by triage vocabulary; the prose of the document follows.
     "triage_pages": f"""
         SELECT doc_id, page_num,

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmill.plans.ordered import Ordered
 
 
-def gap_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Sessions per user closed by a quiet gap, for batch or watermarked stream."""
-    return (events.groupBy("user_id", F.session_window("ts", gap).alias("s"))
-            .agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-            .select("user_id", "first_ts", "last_ts", "events"))
+def _session_columns(grouped) -> DataFrame:
+    return grouped.agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def stream_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+def gap_sessions(events: DataFrame, gap_seconds: int = 1800, block: str = "day") -> DataFrame:
+    """Sessions per user closed by a quiet gap. The static form cuts a busy user's
+    events into blocks, which a session window would keep in one task."""
+    def breaks(row: Column, prior: Column) -> Column:
+        return F.timestamp_diff("MICROSECOND", prior["ts"], row["ts"]) >= gap_seconds * 1_000_000
+
+    order = Ordered(["user_id"], ["ts", "event_id"], F.date_trunc(block, "ts"))
+    cut = order.segments(events.select("user_id", "ts", "event_id"), ["ts"], breaks)
+    return _session_columns(cut.groupBy("user_id", "segment")).select("user_id", "first_ts", "last_ts", "events")
+
+
+def stream_sessions(events: DataFrame, gap_seconds: int = 1800, delay: str = "10 minutes") -> DataFrame:
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return gap_sessions(timed, gap)
+    window = F.session_window("ts", f"{gap_seconds} seconds")
+    return _session_columns(timed.groupBy("user_id", window)).select("user_id", "first_ts", "last_ts", "events")
 
 
 def marked_sessions(events: DataFrame) -> DataFrame:

@@ -55,8 +55,8 @@ def test_low_confidence_queue(spark, q, tmp_path):
 
 def test_gap_sessions(spark, q, tmp_path):
     events = q.table("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    got, _ = _run(sessions.stream_sessions(_stream(spark, events, tmp_path / "in"), "6 hours"), tmp_path, "gs", "complete")
-    _same(got, sessions.gap_sessions(events, "6 hours"))
+    got, _ = _run(sessions.stream_sessions(_stream(spark, events, tmp_path / "in"), 6 * 3600), tmp_path, "gs", "complete")
+    _same(got, sessions.gap_sessions(events, 6 * 3600))
 
 
 def test_request_matching(spark, q, tmp_path):
