@@ -15,7 +15,7 @@ from leafmill import registry
 from leafmill.session import build_session
 
 HEADLINE = [
-    "tool_health", "dashboard_stats", "recent_tool_stats", "executions_with_category", "text_stats",
+    "tool_health", "dashboard_stats", "recent_tool_stats", "calls_by_category", "text_stats",
     "search_text", "page_numbers", "split_pages", "doc_urls", "table_blocks", "log_issues", "api_calls",
     "match_requests_fifo", "bug_hypotheses", "normalize_address", "parse_currency", "parse_date", "validate_sin",
     "loan_book", "income_history", "authority_documents", "tax_forms", "fiscal_year_vote", "image_metrics",

@@ -63,6 +63,15 @@ def with_category(df: DataFrame, catalog: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("subcategory", "category")})
 
 
+def calls_by_category(runs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Calls and successes per category. Runs are counted per tool before they
+    meet the catalog, so a busy tool is one row in the join."""
+    per_tool = runs.groupBy("tool_name").agg(
+        F.count(F.lit(1)).alias("calls"), count_true(F.col("success")).alias("successes"))
+    return with_category(per_tool, catalog).groupBy("category", "subcategory").agg(
+        F.sum("calls").alias("calls"), F.sum("successes").alias("successes"))
+
+
 def category_rollup(catalog: DataFrame) -> DataFrame:
     """Mapped tools per subcategory, per category and in all."""
     mapped = catalog.filter(F.col("category").isNotNull())

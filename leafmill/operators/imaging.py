@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmill.functions import imaging as rules
-from leafmill.functions.common import count_true, first_match
-from leafmill.operators.pages import page_totals
+from leafmill.functions.common import any_of, count_true, first_match
 from leafmill.plans.ordered import Ordered
 
 
@@ -90,24 +89,24 @@ def document_boundaries(features: DataFrame) -> DataFrame:
     reason comes first; a blank page that is not the last is not tested itself.
     Otherwise page-one marks, header changes and layout changes are averaged.
     """
-    staged = features.withColumn("layout", layout_parts()).join(page_totals(features), "doc_id")
-
     def reasons(row: Column, prior: Column) -> dict[str, Column]:
-        tested = ~(row["is_blank"] & (row["page_num"] < row["total_pages"]))
         return {
-            "page_one_detected": tested & row["is_page_one"],
-            "header_change": tested & row["header_changed"],
-            "layout_change": tested & (_distance(row["layout"], prior["layout"]) > 10),
+            "page_one_detected": row["is_page_one"],
+            "header_change": row["header_changed"],
+            "layout_change": F.coalesce(_distance(row["layout"], prior["layout"]) > 10, F.lit(False)),
         }
 
     def breaks(row: Column, prior: Column) -> Column:
-        hits = list(reasons(row, prior).values())
-        return prior["is_blank"] | hits[0] | hits[1] | hits[2]
+        return prior["is_blank"] | (~row["is_blank"] & any_of(list(reasons(row, prior).values())))
 
-    values = ["page_num", "is_blank", "is_page_one", "header_changed", "layout", "total_pages"]
-    cut = _page_order().segments(staged, values, breaks)
+    values = ["page_num", "is_blank", "is_page_one", "header_changed", "layout"]
+    cut = _page_order().segments(features.withColumn("layout", layout_parts()), values, breaks)
     row, prior = F.struct(*values), F.col("prior")
-    hits = reasons(row, prior)
+    tested = ~F.col("is_blank") | F.col("is_last")
+    hits = {name: tested & hit for name, hit in reasons(row, prior).items()}
+    # A blank last page is tested too; nothing follows it, so only its own row moves on.
+    late = ~F.col("starts") & F.col("is_blank") & any_of(list(hits.values()))
+    cut = cut.withColumn("segment", F.col("segment") + late.cast("int")).withColumn("starts", F.col("starts") | late)
     weights = dict(zip(hits, (0.80, 0.70, 0.60)))
     count = sum((h.cast("int") for h in hits.values()), F.lit(0))
     weight = sum((F.when(h, weights[n]).otherwise(0.0) for n, h in hits.items()), F.lit(0.0))

@@ -149,12 +149,14 @@ def expired_objects(files: DataFrame, as_of: Column, older_than_hours: int = 24)
 
 
 def admit_uploads(files: DataFrame, max_files: int = 50) -> DataFrame:
-    """Accept or refuse each uploaded file. Sessions are counted before names are tested."""
-    sizes = files.groupBy("session_id").agg(F.count(F.lit(1)).alias("session_files"))
+    """Accept or refuse each uploaded file. Sessions are counted before names are
+    tested; only the sessions over the limit are joined back."""
+    crowded = files.groupBy("session_id").agg(F.count(F.lit(1)).alias("session_files")).filter(
+        F.col("session_files") > max_files)
     reason = first_match([
-        (F.col("session_files") > max_files, F.lit(f"Maximum {max_files} files allowed")),
+        (F.col("session_files").isNotNull(), F.lit(f"Maximum {max_files} files allowed")),
         (~F.col("mode").isin(UPLOAD_MODES), F.lit("Invalid mode")),
         (~F.col("file_name").endswith(".pdf"), F.lit("Not a .pdf name")),
     ])
-    return (files.withColumn("file_name", object_name("path")).join(sizes, "session_id")
+    return (files.withColumn("file_name", object_name("path")).join(crowded, "session_id", "left")
             .withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()))

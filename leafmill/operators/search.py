@@ -100,7 +100,7 @@ def _table_runs(lines: DataFrame) -> DataFrame:
     kept = (lines.select(*_PAGE, "line_no", F.trim("text").alias("row"))
             .filter(rules.looks_like_table(F.col("row")))
             .withColumn("columns", rules.column_count("row")))
-    return order.segments(kept, ["columns"], _new_table).drop("prior", "starts", "position")
+    return order.segments(kept, ["columns"], _new_table).drop("prior", "starts", "position", "is_last")
 
 
 def _table_spans(runs: DataFrame) -> DataFrame:

@@ -7,13 +7,20 @@ from leafmill.registry import Inputs, query
 
 
 @query("executions_with_category", ["J1"], """
+    SELECT e.id, e.tool_name, coalesce(c.category, 'unknown') AS category,
+           coalesce(c.subcategory, 'unknown') AS subcategory
+    FROM tool_executions e LEFT JOIN tool_catalog c ON e.tool_name = c.tool_name""")
+def executions_with_category(q: Inputs):
+    return ops.with_category(q.view("tool_executions"), q.view("tool_catalog")).select(
+        "id", "tool_name", "category", "subcategory")
+
+
+@query("calls_by_category", ["J1"], """
     SELECT coalesce(c.category, 'unknown') AS category, coalesce(c.subcategory, 'unknown') AS subcategory,
            count(*) AS calls, count(*) FILTER (e.success) AS successes
     FROM tool_executions e LEFT JOIN tool_catalog c ON e.tool_name = c.tool_name GROUP BY 1, 2""")
-def executions_with_category(q: Inputs):
-    joined = ops.with_category(q.view("tool_executions"), q.view("tool_catalog"))
-    return joined.groupBy("category", "subcategory").agg(
-        F.count(F.lit(1)).alias("calls"), F.count(F.when(F.col("success"), 1)).alias("successes"))
+def calls_by_category(q: Inputs):
+    return ops.calls_by_category(q.view("tool_executions"), q.view("tool_catalog"))
 
 
 @query("category_rollup", ["A6"], """

@@ -76,7 +76,7 @@ class Ordered:
         structs of ``values``; the first row of a key always starts a segment.
 
         Adds ``prior`` (values of the row before), ``starts``, ``segment`` (from
-        1 per key) and ``position`` (from 1 per segment).
+        1 per key), ``position`` (from 1 per segment) and ``is_last`` (of the key).
         """
         def cut(row: Column, prior: Column) -> Column:
             return F.when(prior.isNull(), 1).otherwise(
@@ -102,6 +102,7 @@ class Ordered:
              "__head": cut(pick(F.col("__first")), F.col("__enter")),
              "__seen": F.coalesce(F.sum(F.col("__head") + F.col("__sum")).over(self.earlier), F.lit(0)),
              "__skip": F.coalesce(F.sum("__rows").over(self.earlier), F.lit(0)),
+             "__all": F.sum("__rows").over(Window.partitionBy(*self.keys)),
              "__open": F.when(F.col("__head") == 1, F.col("__skip") + 1),
              "__from": F.max(F.greatest(F.col("__skip") + F.col("__late"), F.col("__open"))).over(self.earlier)})
         begin = F.coalesce(F.col("__skip") + F.col("__at"), F.col("__open"), F.col("__from"))
@@ -111,6 +112,7 @@ class Ordered:
                 .withColumn("starts", F.when(top, head).otherwise(F.col("__cut")) == 1)
                 .withColumn("segment", F.col("__seen") + head + F.col("__cuts"))
                 .withColumn("position", F.col("__skip") + F.col("__no") - begin + 1)
+                .withColumn("is_last", F.col("__skip") + F.col("__no") == F.col("__all"))
                 .drop(*[c for c in joined.columns if c.startswith("__")]))
 
     def _extra(self, values: list[str]) -> list[str]:
