@@ -85,7 +85,6 @@ _TENANT_SETTINGS = """
                     WHEN skey = 'blank_page_density_threshold' THEN concat('0.0', 1 + code %% 9)
                     ELSE cast(10 + code AS STRING) END AS svalue
         FROM (SELECT s_suppkey AS tenant, s_nationkey AS code, %s AS skey FROM {supplier}) k"""
-_FLAG = "CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 2 ELSE 1 END"
 _PADDED = "lpad(cast({} AS STRING), 2, '0')"
 _CENTS = "cast(round(o_totalprice * 100) AS BIGINT)"
 
@@ -204,19 +203,16 @@ VIEWS: dict[str, str | dict[str, str]] = {
                concat({_case(f"(doc_id * 7 + page_num) % {len(PAGE_HEADERS)}", PAGE_HEADERS)},
                       chr(10), text, chr(10), 'Page ', page_num, ' of ', 1 + doc_id % 9) AS text
         FROM {{doc_pages}}""",
-    "table_pages": f"""
-        SELECT l_orderkey AS doc_id, cast(l_linenumber AS INT) AS line_no, 1 AS page_num,
-               CASE flag
-                 WHEN 3 THEN concat(l_partkey, '  ', l_quantity, '  ', l_extendedprice)
-                 WHEN 2 THEN concat('item ', l_partkey, ', qty ', cast(l_quantity AS INT))
-                 ELSE CASE WHEN open_line = 1
-                           THEN concat(l_partkey, '  ', l_suppkey, '  a  b  ', cast(l_quantity AS INT))
-                           ELSE 'plain words only' END END AS text
-        FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey,
-                     max(l_suppkey) AS l_suppkey, max(cast(l_quantity AS INT)) AS l_quantity,
-                     max(cast(floor(l_extendedprice) AS INT)) AS l_extendedprice,
-                     max({_FLAG}) AS flag, max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS open_line
-              FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber) x""",
+    "table_pages": """
+        SELECT user_id AS doc_id, cast(floor(day(ts) / 10.0e0) AS INT) + 1 AS page_num,
+               cast(event_id AS INT) AS line_no,
+               CASE event_type
+                 WHEN 'click' THEN concat(event_id, '  ', cast(floor(value) AS INT), '  ', user_id)
+                 WHEN 'view' THEN concat('item ', event_id, ', qty ', cast(floor(value) AS INT))
+                 WHEN 'purchase' THEN concat(event_id, '  ', user_id, '  a  b  ', cast(floor(value) AS INT))
+                 WHEN 'signup' THEN 'plain words only'
+                 ELSE concat('  total  ', cast(floor(value) AS INT), ' ') END AS text
+        FROM {events}""",
     "files": """
         SELECT doc_id, concat('/in/', source, '/', doc_id,
                               CASE WHEN lang = 'en' THEN '.pdf' WHEN lang = 'fr' THEN '.PDF'
@@ -348,29 +344,28 @@ VIEWS: dict[str, str | dict[str, str]] = {
                (length(text) % 50) / 1000.0e0 + 0.0003e0 AS density
         FROM {doc_pages}""",
     "card_scans": """
-        SELECT l_orderkey AS doc_id, cast(l_linenumber AS INT) AS page_num,
-               1.0e0 + max(cast(l_quantity AS INT)) / 50.0e0 AS aspect_ratio,
-               max(l_discount) > 0.05e0 AS has_hologram, max(l_discount) * 10 AS hologram_conf,
-               max(l_tax) > 0.04e0 AS has_barcode, max(l_tax) * 12 AS barcode_conf,
-               max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AS has_stripe, 0.8e0 AS stripe_conf,
-               max(l_suppkey) % 10 / 10.0e0 AS rounded_conf
-        FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
-    "card_sides": f"""
-        SELECT l_orderkey AS doc_id, cast(l_linenumber AS INT) AS page_num,
-               CASE max({_FLAG}) WHEN 3 THEN 'recto' WHEN 2 THEN 'verso'
-                    ELSE CASE WHEN max(l_suppkey) % 2 = 0 THEN 'unknown' ELSE 'recto' END END AS side,
-               max(cast(l_quantity AS INT)) / 50.0e0 AS confidence
-        FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber""",
+        SELECT user_id AS doc_id, cast(event_id AS INT) AS page_num,
+               1.0e0 + (cast(floor(value) AS INT) % 50) / 50.0e0 AS aspect_ratio,
+               event_type IN ('click', 'view') AS has_hologram, (event_id % 10) / 10.0e0 AS hologram_conf,
+               event_type IN ('view', 'purchase') AS has_barcode, (event_id % 7) / 7.0e0 AS barcode_conf,
+               event_type = 'signup' AS has_stripe, 0.8e0 AS stripe_conf,
+               (event_id % 6) / 6.0e0 AS rounded_conf
+        FROM {events}""",
+    "card_sides": """
+        SELECT user_id AS doc_id, cast(event_id AS INT) AS page_num,
+               CASE WHEN event_type IN ('click', 'purchase') THEN 'recto' WHEN event_type = 'error' THEN 'unknown'
+                    ELSE 'verso' END AS side, (event_id % 50) / 50.0e0 AS confidence
+        FROM {events}""",
     # Forms, detections, links.
     "form_fields": """
-        SELECT l_orderkey AS doc_id, l_linenumber AS field_no,
-               concat(CASE max(l_suppkey) % 4 WHEN 0 THEN 'Signature_' WHEN 1 THEN 'assigned_'
-                      ELSE 'name_' END, l_linenumber) AS name,
-               CASE max(l_partkey) % 5 WHEN 0 THEN '/Tx' WHEN 1 THEN '/Btn' WHEN 2 THEN '/Ch'
+        SELECT o_custkey AS doc_id, o_orderkey AS field_no,
+               concat(CASE o_orderpriority WHEN '1-URGENT' THEN 'Signature_' WHEN '2-HIGH' THEN 'assigned_'
+                      ELSE 'name_' END, o_orderkey) AS name,
+               CASE o_orderkey % 5 WHEN 0 THEN '/Tx' WHEN 1 THEN '/Btn' WHEN 2 THEN '/Ch'
                     WHEN 3 THEN '/Sig' ELSE '/Zz' END AS field_type,
-               CASE max(cast(l_quantity AS INT)) % 3 WHEN 0 THEN NULL WHEN 1 THEN trim(' ')
-                    ELSE concat('v', max(l_partkey)) END AS value
-        FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
+               CASE o_orderstatus WHEN 'F' THEN NULL WHEN 'O' THEN trim(' ')
+                    ELSE concat('v', o_orderkey) END AS value
+        FROM {orders}""",
     "detections": """
         SELECT p_partkey AS doc_id, p_size % 9 = 0 AS skip,
                CASE p_partkey % 6
