@@ -46,7 +46,7 @@ def confidence_summary(pages: DataFrame, hits: DataFrame, when_none: float) -> D
     """Per document: pages, hits, mean confidence or the value for no hits."""
     totals = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_pages"))
     found = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"),
-                                       F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+                                       F.round(F.avg("confidence"), 9).alias("mean_confidence"))
     return totals.join(found, "doc_id", "left").select(
         "doc_id", "total_pages", F.coalesce("hits", F.lit(0)).alias("hits"),
         F.coalesce("mean_confidence", F.lit(when_none)).alias("confidence"))
@@ -111,7 +111,7 @@ def fiscal_year_vote(pages: DataFrame, findings: DataFrame, as_of_year: int) ->
     return totals.join(winner, "doc_id", "left").select(
         "doc_id", "total_pages", F.col("w.year").alias("most_common_year"),
         F.coalesce("pages_found", F.lit(0)).alias("pages_found"),
-        F.round(F.coalesce(F.col("weight") / F.col("pages_found"), F.lit(0.70)), 6).alias("confidence"))
+        F.round(F.coalesce(F.col("weight") / F.col("pages_found"), F.lit(0.70)), 9).alias("confidence"))
 
 
 def first_types(counts: DataFrame, kind: str, n: int = 3) -> DataFrame:
@@ -122,4 +122,4 @@ def first_types(counts: DataFrame, kind: str, n: int = 3) -> DataFrame:
 def form_totals(forms: DataFrame) -> DataFrame:
     return forms.groupBy("form_type", "issuer").agg(
         F.count(F.lit(1)).alias("pages"), count_true(F.col("year").isNotNull()).alias("with_year"),
-        F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+        F.round(F.avg("confidence"), 9).alias("mean_confidence"))

@@ -37,7 +37,7 @@ def blank_summary(flags: DataFrame) -> DataFrame:
     count = count_true(blank)
     return flags.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("total_pages"), count.alias("blank_count"),
-        F.round(F.coalesce(F.avg(F.when(blank, F.col("confidence"))), F.lit(0.95)), 6).alias("confidence"),
+        F.round(F.coalesce(F.avg(F.when(blank, F.col("confidence"))), F.lit(0.95)), 9).alias("confidence"),
         F.when(count > 0, F.format_string("Skip %d pages", count)).otherwise("No blank pages detected").alias("message"))
 
 
@@ -136,7 +136,7 @@ def boundary_summary(boundaries: DataFrame) -> DataFrame:
     splits = count_true(F.col("is_split"))
     return boundaries.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("total_pages"), splits.alias("documents"),
-        F.round(F.when(splits > 1, F.avg("confidence")).otherwise(0.90), 6).alias("confidence"))
+        F.round(F.when(splits > 1, F.avg("confidence")).otherwise(0.90), 9).alias("confidence"))
 
 
 def pages_to_documents(pages: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def card_summary(sides: DataFrame, pairs: DataFrame) -> DataFrame:
     card = F.col("is_id_card")
     found = sides.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("total_pages"), count_true(card).alias("cards"),
-        F.round(F.coalesce(F.avg(F.when(card, F.col("confidence"))), F.lit(0.9)), 6).alias("confidence"))
+        F.round(F.coalesce(F.avg(F.when(card, F.col("confidence"))), F.lit(0.9)), 9).alias("confidence"))
     groups = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("groupings"),
                                          count_true(F.col("sides") == 2).alias("pairs"))
     return found.join(groups, "doc_id", "left").select(
@@ -196,7 +196,7 @@ def page_quality(scans: DataFrame) -> DataFrame:
 def quality_summary(quality: DataFrame) -> DataFrame:
     score = F.avg("quality_score")
     return quality.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("total_pages"), F.round(score, 4).alias("average_quality_score"),
+        F.count(F.lit(1)).alias("total_pages"), F.round(score, 9).alias("average_quality_score"),
         first_match([(score >= 85, F.lit("excellent")), (score >= 70, F.lit("good")),
                      (score >= 50, F.lit("acceptable"))], F.lit("poor")).alias("overall_quality"),
         F.bool_or("needs_preprocessing").alias("needs_preprocessing"))

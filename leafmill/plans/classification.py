@@ -82,7 +82,7 @@ def authority_type_counts(q: Inputs):
 _SUMMARY = """
     SELECT t.doc_id, total_pages, coalesce(n, 0) AS hits, coalesce(c, {none}::DOUBLE) AS confidence
     FROM (SELECT doc_id, count(*) AS total_pages FROM triage_pages GROUP BY doc_id) t
-    LEFT JOIN (SELECT doc_id, count(*) AS n, round(avg(confidence), 6) AS c FROM hits GROUP BY doc_id) h USING (doc_id)"""
+    LEFT JOIN (SELECT doc_id, count(*) AS n, round(avg(confidence), 9) AS c FROM hits GROUP BY doc_id) h USING (doc_id)"""
 
 
 @query("authority_summary", ["A18"], _AUTHORITY + _SUMMARY.format(none="0.85"))
@@ -136,7 +136,7 @@ def tax_form_summary(q: Inputs):
 
 @query("tax_form_totals", ["C3", "J11"], _FORMS + """
     SELECT form_type, issuer, count(*) AS pages, count(*) FILTER (year > 0) AS with_year,
-           round(avg(confidence), 6) AS mean_confidence FROM hits GROUP BY form_type, issuer""")
+           round(avg(confidence), 9) AS mean_confidence FROM hits GROUP BY form_type, issuer""")
 def tax_form_totals(q: Inputs):
     return ops.form_totals(ops.tax_forms(q.view("triage_pages")))
 
@@ -194,7 +194,7 @@ def page_fiscal_years(q: Inputs):
           QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, first_page) = 1),
     m AS (SELECT doc_id, count(*) AS pages_found, avg(confidence) AS c FROM best GROUP BY doc_id)
     SELECT t.doc_id, total_pages, coalesce(w.year, 0) AS most_common_year, coalesce(pages_found, 0) AS pages_found,
-           round(coalesce(c, 0.7), 6) AS confidence
+           round(coalesce(c, 0.7), 9) AS confidence
     FROM (SELECT doc_id, count(*) AS total_pages FROM triage_pages GROUP BY doc_id) t
     LEFT JOIN w USING (doc_id) LEFT JOIN m USING (doc_id)""")
 def fiscal_year_vote(q: Inputs):

@@ -84,7 +84,7 @@ def blank_pages(q: Inputs):
 
 @query("blank_summary", ["A17"], _BLANK + """
     SELECT doc_id, count(*) AS total_pages, count(*) FILTER (is_blank) AS blank_count,
-           round(coalesce(avg(confidence) FILTER (is_blank), 0.95::DOUBLE), 6) AS confidence,
+           round(coalesce(avg(confidence) FILTER (is_blank), 0.95::DOUBLE), 9) AS confidence,
            CASE WHEN count(*) FILTER (is_blank) > 0 THEN format('Skip {} pages', count(*) FILTER (is_blank))
                 ELSE 'No blank pages detected' END AS message FROM flags GROUP BY doc_id""")
 def blank_summary(q: Inputs):
@@ -138,7 +138,7 @@ def document_ranges(q: Inputs):
 
 @query("boundary_summary", ["W2"], _BOUNDS + """
     SELECT doc_id, count(*) AS total_pages, count(*) FILTER (is_split) AS documents,
-           round(CASE WHEN count(*) FILTER (is_split) > 1 THEN avg(confidence) ELSE 0.9::DOUBLE END, 6) AS confidence
+           round(CASE WHEN count(*) FILTER (is_split) > 1 THEN avg(confidence) ELSE 0.9::DOUBLE END, 9) AS confidence
     FROM bounds GROUP BY doc_id""")
 def boundary_summary(q: Inputs):
     return ops.boundary_summary(ops.document_boundaries(q.view("page_features")))
@@ -190,7 +190,7 @@ def pair_card_sides(q: Inputs):
        + _PAIRS.format(cards="(SELECT * FROM seen WHERE is_id_card)") + """
     SELECT f.doc_id, total_pages, cards, coalesce(groupings, 0) AS groupings, coalesce(g.pairs, 0) AS pairs, confidence
     FROM (SELECT doc_id, count(*) AS total_pages, count(*) FILTER (is_id_card) AS cards,
-                 round(coalesce(avg(confidence) FILTER (is_id_card), 0.9::DOUBLE), 6) AS confidence
+                 round(coalesce(avg(confidence) FILTER (is_id_card), 0.9::DOUBLE), 9) AS confidence
           FROM seen GROUP BY doc_id) f
     LEFT JOIN (SELECT doc_id, count(*) AS groupings, count(*) FILTER (sides = 2) AS pairs
                FROM pairs GROUP BY doc_id) g USING (doc_id)""")
@@ -235,7 +235,7 @@ def page_quality(q: Inputs):
 
 
 @query("quality_summary", ["A20"], _QUALITY + """
-    SELECT doc_id, count(*) AS total_pages, round(avg(quality_score), 4) AS average_quality_score,
+    SELECT doc_id, count(*) AS total_pages, round(avg(quality_score), 9) AS average_quality_score,
            CASE WHEN avg(quality_score) >= 85 THEN 'excellent' WHEN avg(quality_score) >= 70 THEN 'good'
                 WHEN avg(quality_score) >= 50 THEN 'acceptable' ELSE 'poor' END AS overall_quality,
            bool_or(needs_preprocessing) AS needs_preprocessing FROM quality GROUP BY doc_id""")

@@ -39,12 +39,13 @@ class Inputs:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
+        self._opened: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.path, name)
 
     def view(self, name: str) -> DataFrame:
-        return spark_view(self.spark, self.path, name)
+        return spark_view(self.spark, self.path, name, self._opened)
 
 
 QUERIES: dict[str, Query] = {}

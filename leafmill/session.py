@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rules are long expressions; call sites of every node only slow their building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

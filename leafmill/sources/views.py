@@ -112,7 +112,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
                     ELSE 'all_around' END AS tool_class,
                event_type <> 'error' AS success,
                CASE WHEN event_id % 13 = 0 THEN NULL
-                    ELSE ((event_id * 37) % 101) / 100.0e0 END AS confidence,
+                    ELSE ((event_id * 37) % 101) / 101.0e0 END AS confidence,
                cast(floor(value) AS INT) AS execution_time_ms, ts AS created_at,
                event_id % 5 = 0 AS trained,
                CASE WHEN event_type = 'error' THEN 'failed' END AS error
@@ -409,13 +409,18 @@ def _text(name: str, engine: str) -> str:
     return sql if isinstance(sql, str) else sql[engine]
 
 
-def spark_view(spark: SparkSession, path: str, name: str) -> DataFrame:
-    sql = _text(name, "spark")
-    inputs = {
-        dep: spread(read_table(spark, path, dep)) if dep in RAW else spark_view(spark, path, dep)
-        for dep in _names(sql)
-    }
-    return spark.sql(_spark_quote(sql) if isinstance(VIEWS[name], str) else sql, **inputs)
+def spark_view(spark: SparkSession, path: str, name: str, opened: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A raw table or a view over one data directory; ``opened`` keeps what was
+    read already, so that one query opens each table once."""
+    opened = {} if opened is None else opened
+    if name not in opened:
+        if name in RAW:
+            opened[name] = spread(read_table(spark, path, name))
+        else:
+            sql = _text(name, "spark")
+            inputs = {dep: spark_view(spark, path, dep, opened) for dep in _names(sql)}
+            opened[name] = spark.sql(_spark_quote(sql) if isinstance(VIEWS[name], str) else sql, **inputs)
+    return opened[name]
 
 
 def duckdb_ctes(names: list[str]) -> str:
