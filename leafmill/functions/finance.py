@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from leafmill.functions.common import col, first_match
+from leafmill.functions.common import col, first_match, let
 
 # Pay periods per year.
 PERIODS_PER_YEAR = {
@@ -38,16 +38,24 @@ def debt_ratios(income: str | Column, payment: str | Column, tax: str | Column,
                 condo: str | Column | None = None, debts: str | Column | None = None) -> Column:
     """Housing and total debt as percents of monthly income; limits test the unrounded values."""
     zero = F.lit(0.0)
-    monthly = col(income) / 12
     housing = col(payment) + col(tax) + col(heating) + (zero if condo is None else col(condo)) * 0.5
     total = housing + (zero if debts is None else col(debts))
-    gds, tds = F.try_divide(housing, monthly) * 100, F.try_divide(total, monthly) * 100
-    return F.struct(
-        monthly.alias("monthly_income"), housing.alias("housing_costs"), total.alias("total_debts"),
-        F.round(gds, 2).alias("gds_ratio"), F.round(tds, 2).alias("tds_ratio"),
-        (gds <= GDS_LIMIT).alias("gds_qualified"), (tds <= TDS_LIMIT).alias("tds_qualified"),
-        ((gds <= GDS_LIMIT) & (tds <= TDS_LIMIT)).alias("fully_qualified"),
-        F.when(monthly == 0, "division by zero").alias("error"))
+
+    def shares(c: Column) -> Column:
+        return F.struct(c["m"].alias("m"), c["h"].alias("h"), c["t"].alias("t"),
+                        (F.try_divide(c["h"], c["m"]) * 100).alias("gds"),
+                        (F.try_divide(c["t"], c["m"]) * 100).alias("tds"))
+
+    def judge(c: Column) -> Column:
+        gds_ok, tds_ok = c["gds"] <= GDS_LIMIT, c["tds"] <= TDS_LIMIT
+        return F.struct(
+            c["m"].alias("monthly_income"), c["h"].alias("housing_costs"), c["t"].alias("total_debts"),
+            F.round(c["gds"], 2).alias("gds_ratio"), F.round(c["tds"], 2).alias("tds_ratio"),
+            gds_ok.alias("gds_qualified"), tds_ok.alias("tds_qualified"), (gds_ok & tds_ok).alias("fully_qualified"),
+            F.when(c["m"] == 0, "division by zero").alias("error"))
+
+    costs = F.struct((col(income) / 12).alias("m"), housing.alias("h"), total.alias("t"))
+    return let(let(costs, shares), judge)
 
 
 def loan_to_value(loan: str | Column, value: str | Column) -> Column:
@@ -71,24 +79,39 @@ def loan_payment(principal: str | Column, annual_rate: str | Column, years: str
     term = F.lit(years) if isinstance(years, int) else col(years)
     asked = col(frequency) if frequency_column else F.lit(frequency)
     known = F.when(asked.isin(list(PAYMENT_FREQUENCIES)), asked).otherwise("monthly")
-    per_year = first_match([(known == f, F.lit(n)) for f, (n, _) in PAYMENT_FREQUENCIES.items()])
-    split = first_match([(known == f, F.lit(d)) for f, (_, d) in PAYMENT_FREQUENCIES.items()])
     error = first_match([
         (amount <= 0, F.lit("Principal must be > 0")),
         ((percent < 0) | (percent > 30), F.lit("Interest rate must be between 0-30%")),
     ])
-    count = term * per_year
-    rate = (F.pow(1 + percent / 100 / 2, F.lit(1 / 6)) - 1) / split
-    growth = F.pow(1 + rate, count)
-    each = F.when(rate == 0, amount / count).otherwise(F.try_divide(amount * (rate * growth), growth - 1))
-    each = F.when(error.isNull(), each)
-    monthly = F.when(known == "monthly", each).otherwise(each * per_year / 12)
-    biweekly = F.when(known == "biweekly", each).otherwise(monthly * 12 / 26)
-    weekly = F.when(known == "weekly", each).otherwise(monthly * 12 / 52)
-    paid = each * count
-    return F.struct(
-        known.alias("frequency"), F.round(each, 2).alias("payment"), F.round(monthly, 2).alias("monthly_payment"),
-        F.round(biweekly, 2).alias("biweekly_payment"), F.round(weekly, 2).alias("weekly_payment"),
-        count.alias("total_payments"), F.round(paid, 2).alias("total_paid"),
-        F.round(paid - amount, 2).alias("total_interest"),
-        F.round(F.try_divide(paid - amount, amount) * 100, 2).alias("interest_percent"), error.alias("error"))
+
+    # Each step is bound once; written out flat, the powers would be repeated many times.
+    def rates(name: Column) -> Column:
+        per_year = first_match([(name == f, F.lit(n)) for f, (n, _) in PAYMENT_FREQUENCIES.items()])
+        split = first_match([(name == f, F.lit(d)) for f, (_, d) in PAYMENT_FREQUENCIES.items()])
+        rate = (F.pow(1 + percent / 100 / 2, F.lit(1 / 6)) - 1) / split
+        return F.struct(name.alias("name"), per_year.alias("per_year"), rate.alias("rate"),
+                        (term * per_year).alias("count"))
+
+    def payment(r: Column) -> Column:
+        growth = F.pow(1 + r["rate"], r["count"])
+        each = let(growth, lambda g: F.when(r["rate"] == 0, amount / r["count"]).otherwise(
+            F.try_divide(amount * (r["rate"] * g), g - 1)))
+        return r.withField("error", error).withField("each", F.when(error.isNull(), each))
+
+    def months(r: Column) -> Column:
+        monthly = F.when(r["name"] == "monthly", r["each"]).otherwise(r["each"] * r["per_year"] / 12)
+        return r.withField("monthly", monthly).withField("paid", r["each"] * r["count"])
+
+    def report(r: Column) -> Column:
+        def at(name: str, divisor: int) -> Column:
+            return F.round(F.when(r["name"] == name, r["each"]).otherwise(r["monthly"] * 12 / divisor), 2)
+
+        interest = r["paid"] - amount
+        return F.struct(
+            r["name"].alias("frequency"), F.round(r["each"], 2).alias("payment"),
+            F.round(r["monthly"], 2).alias("monthly_payment"), at("biweekly", 26).alias("biweekly_payment"),
+            at("weekly", 52).alias("weekly_payment"), r["count"].alias("total_payments"),
+            F.round(r["paid"], 2).alias("total_paid"), F.round(interest, 2).alias("total_interest"),
+            F.round(F.try_divide(interest, amount) * 100, 2).alias("interest_percent"), r["error"].alias("error"))
+
+    return let(let(let(let(known, rates), payment), months), report)

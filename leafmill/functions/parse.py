@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from leafmill.functions.common import col, first_match
+from leafmill.functions.common import col, first_match, let
 from leafmill.functions.normalize import map_words
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -95,9 +95,9 @@ def parse_currency(raw: str | Column) -> Column:
 
 
 def _by_formats(text: Column, formats: list[tuple[str, str]]) -> Column:
-    tries = [F.when(F.regexp_like(text, F.lit(shape)), F.try_to_timestamp(text, F.lit(fmt)))
-             for shape, fmt in formats]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    return let(text, lambda t: F.coalesce(*[
+        F.when(F.regexp_like(t, F.lit(shape)), F.try_to_timestamp(t, F.lit(fmt)))
+        for shape, fmt in formats]).cast("timestamp_ntz"))
 
 
 def parse_timestamp(raw: str | Column) -> Column:
@@ -109,13 +109,15 @@ def parse_timestamp(raw: str | Column) -> Column:
 
 def parse_date(raw: str | Column) -> Column:
     """Struct(iso_format, human_format, year, month, day, epoch, error)."""
-    at = parse_timestamp(raw)
-    epoch = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), at)
-    return F.struct(
-        F.date_format(at, "yyyy-MM-dd").alias("iso_format"),
-        F.date_format(at, "MMMM dd, yyyy").alias("human_format"),
-        F.year(at).alias("year"), F.month(at).alias("month"), F.day(at).alias("day"),
-        epoch.alias("epoch"), F.when(at.isNull(), "Cannot parse date").alias("error"))
+    def fields(at: Column) -> Column:
+        epoch = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), at)
+        return F.struct(
+            F.date_format(at, "yyyy-MM-dd").alias("iso_format"),
+            F.date_format(at, "MMMM dd, yyyy").alias("human_format"),
+            F.year(at).alias("year"), F.month(at).alias("month"), F.day(at).alias("day"),
+            epoch.alias("epoch"), F.when(at.isNull(), "Cannot parse date").alias("error"))
+
+    return let(parse_timestamp(raw), fields)
 
 
 def range_timestamp(raw: str | Column) -> Column:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from leafmill.functions.common import col, first_match
+from leafmill.functions.common import col, first_match, let
 from leafmill.functions.parse import range_timestamp
 
 # Postal code shapes per country, in the order they are tried.
@@ -75,21 +75,28 @@ def validate_email(raw: str | Column) -> Column:
 def validate_date_range(start: str | Column, end: str | Column, as_of: Column,
                         max_days: str | Column | None = None) -> Column:
     """Order, length and future flags of a date range; unreadable dates give an error."""
-    first, last = range_timestamp(start), range_timestamp(end)
     limit = F.lit(None).cast("int") if max_days is None else col(max_days)
-    days = F.floor(F.timestamp_diff("SECOND", first, last) / 86400)
-    ordered = last >= first
-    within = F.coalesce(~(days > limit), F.lit(True))
-    readable = first.isNotNull() & last.isNotNull()
-    error = first_match([
-        (first.isNull(), F.concat(F.lit("Cannot parse date: "), F.coalesce(col(start), F.lit("")))),
-        (last.isNull(), F.concat(F.lit("Cannot parse date: "), F.coalesce(col(end), F.lit("")))),
-        (~ordered, F.lit("End date before start date")),
-        (~within, F.format_string("Range exceeds %d days", limit)),
-    ])
-    return F.struct(
-        days.alias("days_difference"), F.when(readable, ordered).alias("is_chronological"),
-        F.when(readable, within).alias("within_max_days"),
-        (readable & F.coalesce(ordered, F.lit(False)) & within).alias("is_valid"),
-        F.when(readable, first > as_of).alias("start_in_future"),
-        F.when(readable, last > as_of).alias("end_in_future"), error.alias("error"))
+
+    def judge(span: Column) -> Column:
+        first, last, days = span["first"], span["last"], span["days"]
+        ordered, readable = last >= first, first.isNotNull() & last.isNotNull()
+        within = F.coalesce(~(days > limit), F.lit(True))
+        error = first_match([
+            (first.isNull(), F.concat(F.lit("Cannot parse date: "), F.coalesce(col(start), F.lit("")))),
+            (last.isNull(), F.concat(F.lit("Cannot parse date: "), F.coalesce(col(end), F.lit("")))),
+            (~ordered, F.lit("End date before start date")),
+            (~within, F.format_string("Range exceeds %d days", limit)),
+        ])
+        return F.struct(
+            days.alias("days_difference"), F.when(readable, ordered).alias("is_chronological"),
+            F.when(readable, within).alias("within_max_days"),
+            (readable & F.coalesce(ordered, F.lit(False)) & within).alias("is_valid"),
+            F.when(readable, first > as_of).alias("start_in_future"),
+            F.when(readable, last > as_of).alias("end_in_future"), error.alias("error"))
+
+    def span(pair: Column) -> Column:
+        days = F.floor(F.timestamp_diff("SECOND", pair["first"], pair["last"]) / 86400)
+        return pair.withField("days", days)
+
+    pair = F.struct(range_timestamp(start).alias("first"), range_timestamp(end).alias("last"))
+    return let(let(pair, span), judge)
