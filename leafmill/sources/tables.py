@@ -44,11 +44,9 @@ def object_name(url: str | Column) -> Column:
 
 
 def write_session_results(results: DataFrame, path: str) -> None:
-    """JSON lines in one folder per session. Session ids become folder names,
-    so rows are first spread by session and a salt to bound the files per task
-    while a hot session still writes from many tasks."""
-    salt = F.pmod(F.xxhash64(*results.columns), F.lit(16))
-    (results.repartition(F.col("session_id"), salt)
+    """JSON lines in one folder per session. Rows are rebalanced by session, so a
+    session makes one file unless it is too large for one task."""
+    (results.hint("rebalance", "session_id")
      .write.mode("append").partitionBy("session_id").json(path))
 
 
