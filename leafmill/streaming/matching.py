@@ -12,19 +12,21 @@ OUTPUT = "seq BIGINT, url STRING, completion_seq BIGINT, status STRING, response
 STATE = "seqs ARRAY<BIGINT>, times ARRAY<BIGINT>"
 
 
-def request_events(requests: DataFrame, completions: DataFrame) -> DataFrame:
+def request_events(requests: DataFrame, completions: DataFrame, key: str = "url") -> DataFrame:
     """Both inputs as one stream of (url, ts, seq, done, kind, code)."""
-    opened = requests.select("url", F.col("ts").cast("timestamp").alias("ts"), "seq", F.lit(0).alias("done"),
+    opened = requests.select(F.col(key).cast("string").alias("url"), F.col("ts").cast("timestamp").alias("ts"), "seq", F.lit(0).alias("done"),
                              F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("code"))
-    closed = completions.select("url", F.col("ts").cast("timestamp").alias("ts"), "seq", F.lit(1).alias("done"),
+    closed = completions.select(F.col(key).cast("string").alias("url"), F.col("ts").cast("timestamp").alias("ts"), "seq", F.lit(1).alias("done"),
                                 "kind", F.col("status").alias("code"))
     return opened.unionByName(closed)
 
 
 def stream_match_requests(requests: DataFrame, completions: DataFrame, ttl_seconds: int = 3600,
-                          delay: str = "10 minutes") -> DataFrame:
+                          delay: str = "10 minutes", key: str = "url") -> DataFrame:
     """Matched requests as they close; requests open longer than the ttl come out
-    as ``pending``. State per URL is the queue of open requests, which the ttl bounds.
+    as ``pending``. State per URL is the queue of open requests, which the ttl
+    bounds. The queue of one URL lives in one task: where a single URL carries much
+    of the traffic, name a request id as ``key``, which spreads it.
     """
     ttl_ms = ttl_seconds * 1000
 
@@ -55,6 +57,6 @@ def stream_match_requests(requests: DataFrame, completions: DataFrame, ttl_secon
         yield pd.DataFrame(out, columns=["seq", "url", "completion_seq", "status", "response_status"]).astype(
             {"seq": "int64", "completion_seq": "Int64", "response_status": "Int32"})
 
-    events = request_events(requests, completions).withWatermark("ts", delay)
+    events = request_events(requests, completions, key).withWatermark("ts", delay)
     return events.groupBy("url").applyInPandasWithState(
         step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
