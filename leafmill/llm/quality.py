@@ -19,9 +19,12 @@ from leafmill.functions.common import let, settle
 from leafmill.llm.shared import WORD, saved, whole
 
 WINDOW = 3
+#: A word as prose has it: lower case but for its first letter, with one mark after it at most.
+PLAIN_WORD = r"(?<![^ \t-\r])\p{L}\p{Ll}*+[.,;:!?]?(?![^ \t-\r])"
 ROUNDS = 25
 #: Start of the estimates: share of good texts, and (for, against) votes of a rule on good and on bad texts.
-GOOD_SHARE, ON_GOOD, ON_BAD = 0.8, (0.7, 0.05), (0.4, 0.3)
+#: Rules speak up against good texts rarely, and one kind of junk rarely breaks more than one rule.
+GOOD_SHARE, ON_GOOD, ON_BAD = 0.8, (0.8, 0.005), (0.6, 0.2)
 #: Votes that the start counts for, so that a rule without votes keeps it.
 PRIOR_VOTES = 5.0
 
@@ -58,7 +61,8 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         left(r"[ \t-\r]+").alias("word_chars"), left(r"[^#*$%&|<>]+").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.size("lines").cast("long").alias("n_lines"), left("[^A-Z]+").alias("n_capitals"), left("[^!?]+").alias("n_shouts"))
+        F.size("lines").cast("long").alias("n_lines"), left("[^A-Z]+").alias("n_capitals"), left("[^!?]+").alias("n_shouts"),
+        F.regexp_count("t", F.lit(PLAIN_WORD)).cast("long").alias("n_plain"))
 
 
 def _vote(against: Column, good: Column) -> Column:
@@ -69,8 +73,9 @@ def rules() -> dict[str, Column]:
     """Votes by rule: 1 for the text, -1 against it, 0 abstains. Texts without words get no vote."""
     words, chars = F.col("n_words"), F.col("word_chars")
     return {
+        "plain": _vote(F.col("n_plain") * 10 < words * 6, F.col("n_plain") * 10 >= words * 9),
         "symbols": _vote(F.col("n_symbols") * 10 >= words, F.col("n_symbols") * 50 <= words),
-        "lines": _vote(F.col("n_dup_lines") * 10 >= F.col("n_lines") * 3, F.col("n_dup_lines") == 0),
+        "lines": _vote((F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") * 10 >= F.col("n_lines") * 3), F.col("n_dup_lines") == 0),
         "repeats": _vote(F.col("n_repeat_words") * 10 >= words * 3, F.col("n_repeat_words") * 10 <= words),
         "word_length": _vote((chars < words * 3) | (chars > words * 12), (chars >= words * 4) & (chars <= words * 9)),
         "capitals": _vote(F.col("n_capitals") * 10 >= chars * 3, F.col("n_capitals") * 10 <= chars),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.llm import exact, quality
+from leafmill.llm import exact, quality, urls
 from leafmill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,26 @@ def op3_quality_rules(spark: SparkSession, path: str) -> DataFrame:
 def op4_exact_dedup(spark: SparkSession, path: str) -> DataFrame:
     """All documents as the first batch of a digest index."""
     return exact.DigestIndex(spark).add(read_table(spark, path, "documents"))
+
+
+#: The rules of the contract (host, path, action), and labels of hosts whose pages are listed one by one.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+LISTED_LABELS = r"(^|\.)(cheap-pills|ads-track|spam-farm)\."
+
+
+@query(oracle=f"""
+    WITH p AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+    h AS (SELECT page_id, translate(regexp_extract(u, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(u, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM p),
+    r(rh, rp, action) AS (VALUES {", ".join(map(str, URL_RULES))}),
+    b AS (SELECT page_id, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, length(rh || rp)) AS action
+          FROM h LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL)
+    SELECT page_id, host, path, rule,
+           coalesce(action, CASE WHEN regexp_matches(host, '{LISTED_LABELS}') THEN 'block' ELSE 'allow' END) AS verdict
+    FROM b""")
+def op9_url_filters(spark: SparkSession, path: str) -> DataFrame:
+    """All pages against the rules, and against a list of the pages on known spam hosts."""
+    pages = read_table(spark, path, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    listed = pages.filter(urls.host_of(F.col("url")).rlike(LISTED_LABELS)).select("url")
+    return urls.judge(pages, rules, listed)
