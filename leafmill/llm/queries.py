@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.llm import exact, quality, urls
+from leafmill.llm import exact, near, quality, urls
 from leafmill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,22 @@ def op9_url_filters(spark: SparkSession, path: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     listed = pages.filter(urls.host_of(F.col("url")).rlike(LISTED_LABELS)).select("url")
     return urls.judge(pages, rules, listed)
+
+
+@query(oracle="""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN w ELSE w[i:i + 2] END AS shingle
+          FROM d, unnest(generate_series(1, greatest(len(w) - 2, least(len(w), 1)))) AS u(i)),
+    n AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+    e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id
+          WHERE 100 * shared >= 85 * (a.n_shingles + b.n_shingles - shared)),
+    r AS (WITH RECURSIVE walk(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, root FROM walk JOIN e ON x = node)
+          SELECT node, min(root) AS component_id FROM walk GROUP BY node)
+    SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM documents LEFT JOIN n USING (doc_id) JOIN r ON doc_id = node""")
+def op10_minmax_near_dedup(spark: SparkSession, path: str) -> DataFrame:
+    """Components of near duplicates over all documents: three-word shingles, similarity 0.85."""
+    found = near.near_duplicates(read_table(spark, path, "documents"), size=3, percent=85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
