@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.llm import exact, near, quality, urls
+from leafmill.llm import exact, near, quality, substring, urls
 from leafmill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,16 @@ def op10_minmax_near_dedup(spark: SparkSession, path: str) -> DataFrame:
     """Components of near duplicates over all documents: three-word shingles, similarity 0.85."""
     found = near.near_duplicates(read_table(spark, path, "documents"), size=3, percent=85)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query(oracle="""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM d, unnest(generate_series(1, len(w) - 19)) AS u(i)),
+    l AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS no FROM s),
+    c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS pos FROM l WHERE no > 1)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, (SELECT count(*) FROM c WHERE c.doc_id = d.doc_id) AS n_removed,
+           sha256(array_to_string(list_filter(w, lambda x, j: NOT list_contains(coalesce(g, []), j)), ' ')) AS kept_sha256
+    FROM d LEFT JOIN (SELECT doc_id, list(pos) AS g FROM c GROUP BY doc_id) USING (doc_id)""")
+def op2_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
+    """Removal of repeated 20-word windows over all documents."""
+    return substring.digests(substring.repeats(read_table(spark, path, "documents"), size=20))

@@ -29,11 +29,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Lets Spark drop the shuffle files of a job when the job has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once into a table of the shared folder and read from there:
-    its readers share it, and a lost executor replays nothing before it."""
+    its readers share it, and a lost executor replays nothing before it. The
+    shuffle files behind it are not needed after that and are dropped."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
