@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.llm import exact, near, quality, substring, urls
+from leafmill.llm import exact, near, packing, quality, substring, urls
 from leafmill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op10_minmax_near_dedup(spark: SparkSession, path: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
     """Removal of repeated 20-word windows over all documents."""
     return substring.digests(substring.repeats(read_table(spark, path, "documents"), size=20))
+
+
+@query()
+def op5_mixture_packing(spark: SparkSession, path: str) -> DataFrame:
+    """All documents in sequences of 1,024 tokens, mixed by source."""
+    return packing.pack(read_table(spark, path, "documents"))
