@@ -77,14 +77,12 @@ class DigestIndex:
 
 def drop_copies(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; see ``DigestIndex.add``.
-
-    Rows meet their verdict by key and digest. Of rows with the same key and text one stays.
-    """
-    kept = (index.add(docs.select(key, text), key, text).filter("kept")
-            .select(F.col(key).alias("__key"), F.col("text_sha256").alias("__digest")))
-    found = docs.withColumn("__found", F.sha2(fold_case(whole(text)), 256))
-    joined = found.join(kept, F.col("__found").eqNullSafe(F.col("__digest"))
-                        & found[key].cast("long").eqNullSafe(F.col("__key")), "left_semi")
-    again = Window.partitionBy("__found", key).orderBy("__found")
-    return (joined.withColumn("__no", F.row_number().over(again)).filter("__no = 1")
-            .select(*docs.columns))
+    Of rows with the same key and text one stays."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    kept = index.add(docs, key, text).filter("kept").select(F.col(key).alias("kept_id"), "text_sha256")
+    rows = docs.toDF(*names)
+    own = rows[names[docs.columns.index(key)]]
+    rows = rows.withColumns({"id": own.cast("long"), "sha": F.sha2(fold_case(whole(rows[names[docs.columns.index(text)]])), 256)})
+    stay = rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]) & (rows["sha"] == kept["text_sha256"]), "left_semi")
+    again = Window.partitionBy("id", "sha").orderBy("sha")
+    return stay.withColumn("again", F.row_number().over(again)).filter("again = 1").select(*names).toDF(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leafmill.llm.graph import components
-from leafmill.llm.shared import saved, whole
+from leafmill.llm.shared import salt, saved, whole, with_verdict
 from leafmill.llm.tokens import hashed_words, mix, portions, rolling
 
 PERMUTATIONS = 96
@@ -128,14 +128,15 @@ def _linker(size: int, percent: int):
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80,
                     block: int = BLOCK_SHINGLES) -> DataFrame:
-    """Per row of ``docs``: key, ``n_shingles`` and ``component_id``, the smallest key of its component.
+    """Per row of ``docs``: key, ``text_key``, ``n_shingles``, ``component_id``, the smallest key of
+    its component, and ``kept``, true for the row with that key.
 
     A text's set holds its distinct shingles of ``size`` words after lower-casing
     A-Z; a text with fewer words is one shingle; without words (or NULL) it has
     none and is its own component. Texts are linked where
     ``100 * intersection >= percent * union``. A pair at the threshold shares no
     bucket, and is then not compared, with a chance of one in a million.
-    Repeated rows are one component. Other columns are not read. ``text_key``
+    Repeated rows are one component and have one verdict. Other columns are not read. ``text_key``
     tells rows with the same key apart.
     """
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(whole(text)).alias("text_key"), whole(text).alias("text"))
@@ -172,23 +173,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def _named(sets: DataFrame, roots: DataFrame, key: str) -> DataFrame:
-    """Rows with the smallest key of their component. A set or component may be a third of
-    all rows: keys are counted down per set before they meet, and verdicts go back per set and part."""
-    part = F.pmod(F.xxhash64("id", "text_key"), F.lit(64)).cast("int")
-    rows = sets.select("id", "n_shingles", "digest", part.alias("part"))
-    smallest = rows.filter("n_shingles > 0").groupBy("digest", "part").agg(F.min("id").alias("id"))
-    parts = smallest.groupBy("digest").agg(F.min("id").alias("id"), F.collect_set("part").alias("parts"))
+    """Rows with the first row of their component. A set or component may be a third of all
+    rows: rows are counted down per set before they meet, and verdicts go back per set and part."""
+    rows = sets.select("id", "text_key", "n_shingles", "digest", salt("id", "text_key").alias("part"))
+    smallest = rows.filter("n_shingles > 0").groupBy("digest", "part").agg(F.min(F.struct("id", "text_key")).alias("first"))
+    parts = smallest.groupBy("digest").agg(F.min("first").alias("first"), F.collect_set("part").alias("parts"))
     parts = parts.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = parts.groupBy("root").agg(F.min("id").alias("component_id"))
-    verdict = parts.join(least, "root").select("digest", "component_id", F.explode("parts").alias("part"))
+    least = parts.groupBy("root").agg(F.min("first").alias("first"))
+    verdict = parts.drop("first").join(least, "root").select("digest", "first", F.explode("parts").alias("part"))
+    own = F.struct("id", "text_key")
+    first = F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(own)
     return (rows.join(verdict, ["digest", "part"], "left")
-            .select(F.col("id").alias(key), "n_shingles",
-                    F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")))
+            .select(F.col("id").alias(key), "text_key", "n_shingles", first["id"].alias("component_id"), first.eqNullSafe(own).alias("kept")))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the smallest key of their component, with all their columns.
-    Texts without words stay. Of rows with the same key one stays."""
-    judged = near_duplicates(docs, key, text, size, percent)
-    kept = judged.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__key")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["__key"]), "left_semi")
+    """The first row of ``docs`` of each component, with all its columns: the one with the
+    smallest key (then text hash). Texts without words stay."""
+    return with_verdict(docs, near_duplicates(docs, key, text, size, percent).filter("kept"), key, text)

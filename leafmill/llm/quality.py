@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmill.functions.common import let, settle
-from leafmill.llm.shared import WORD, saved, whole
+from leafmill.llm.shared import WORD, saved, whole, with_verdict
 
 WINDOW = 3
 #: A word as prose has it: lower case but for its first letter, with one mark after it at most.
@@ -51,13 +51,13 @@ def repeated_words(words: Column, size: int = WINDOW) -> Column:
 
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key and counts per text; a NULL text has no words and all counts 0. Other columns are not read."""
+    """Key, hash and counts per text; a NULL text has no words and all counts 0. Other columns are not read."""
     rows = docs.select(F.col(key).alias("id"), whole(text).alias("t"))
     rows = settle(rows, F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("words"),
                   F.filter(F.split("t", "\n"), lambda line: line.rlike(WORD)).alias("lines"))
     left = lambda pattern: F.length(F.regexp_replace("t", pattern, "")).cast("long")
     return rows.select(
-        F.col("id").alias(key), F.size("words").cast("long").alias("n_words"),
+        F.col("id").alias(key), F.xxhash64("t").alias("text_key"), F.size("words").cast("long").alias("n_words"),
         left(r"[ \t-\r]+").alias("word_chars"), left(r"[^#*$%&|<>]+").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
@@ -123,7 +123,7 @@ def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> VoteModel:
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
-    """Per row of ``docs``: key, counts, ``base_failed``, ``probability`` of being good, ``kept``, and the votes.
+    """Per row of ``docs``: key, ``text_key``, counts, ``base_failed``, ``probability`` of being good, ``kept``, and the votes.
 
     ``base_failed``: under 50 words, or over half of the words in repeated
     three-word windows. A text is kept if it does not fail that and its
@@ -136,3 +136,8 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (votes.withColumn("base_failed", failed).withColumn("probability", model.posterior())
             .withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= least)))
+
+
+def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    return with_verdict(docs, judge(docs, key, text).filter("kept"), key, text)

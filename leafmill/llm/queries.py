@@ -77,8 +77,7 @@ def op9_url_filters(spark: SparkSession, path: str) -> DataFrame:
     FROM documents LEFT JOIN n USING (doc_id) JOIN r ON doc_id = node""")
 def op10_minmax_near_dedup(spark: SparkSession, path: str) -> DataFrame:
     """Components of near duplicates over all documents: three-word shingles, similarity 0.85."""
-    found = near.near_duplicates(read_table(spark, path, "documents"), size=3, percent=85)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return near.near_duplicates(read_table(spark, path, "documents"), size=3, percent=85).drop("text_key")
 
 
 @query(oracle="""
