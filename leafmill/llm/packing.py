@@ -15,7 +15,6 @@ deficits cross partitions without being passed along.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window, functions as F
 
 from leafmill.llm.shared import saved, whole
-from leafmill.llm.tokens import portions
+from leafmill.llm.tokens import portions, units
 
 LENGTH, QUANTUM = 1024, 128
 #: Sources with a queue of their own; smaller ones share the last queue.
@@ -34,9 +33,6 @@ QUEUES = 255
 PARTS, SHARES = 1024, 1 << 20
 CACHED = 300_000
 
-_SPLIT_SAFE = re.compile(r" (?:\s|\Z)")
-
-
 class Encoder:
     """Ids of a byte-level BPE file for whole texts.
 
@@ -75,22 +71,18 @@ class Encoder:
                 parts.append(x)
         return parts
 
-    def _learn(self, units: set[str]) -> None:
-        missing = {u: self._parts(u) for u in units - self.known.keys()}
+    def _learn(self, wanted: set[str]) -> None:
+        missing = {u: self._parts(u) for u in wanted - self.known.keys()}
         if len(self.known) + len(missing) > CACHED:
-            self.known = {u: self.known[u] for u in units & self.known.keys()}
+            self.known = {u: self.known[u] for u in wanted & self.known.keys()}
         bare = list({p for parts in missing.values() for p in parts if isinstance(p, str)} - self.known.keys())
         self.known.update(zip(bare, self._encode(bare)))
         self.known.update({u: b"".join(p if isinstance(p, bytes) else self.known[p] for p in parts) for u, parts in missing.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit numbers."""
-        cut = [None if _SPLIT_SAFE.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        units: set[str] = set()
-        for x in cut:
-            if x:
-                units.update(x)
-        self._learn(units)
+        cut = [units(t) for t in texts]
+        self._learn(set().union(*(x for x in cut if x)))
         odd = iter(self._encode([t for t, x in zip(texts, cut) if x is None]))
         return [b"".join(map(self.known.__getitem__, x)) if x is not None else next(odd) for x in cut]
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.llm import exact, near, packing, quality, substring, urls
+from leafmill.llm import bpe, exact, near, packing, quality, substring, urls
 from leafmill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,9 @@ def op2_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
 def op5_mixture_packing(spark: SparkSession, path: str) -> DataFrame:
     """All documents in sequences of 1,024 tokens, mixed by source."""
     return packing.pack(read_table(spark, path, "documents"))
+
+
+@query()
+def op6_byte_bpe(spark: SparkSession, path: str) -> DataFrame:
+    """All documents encoded and decoded by the rank file."""
+    return bpe.round_trip(read_table(spark, path, "documents"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,3 +61,12 @@ def rolling(words: np.ndarray, size: int) -> np.ndarray:
         out *= np.uint64(0x9E3779B97F4A7C15)
         out += words[k:k + n]
     return mix(out)
+
+
+_BLANK_INSIDE = re.compile(r" (?:\s|\Z)")
+
+
+def units(text: str) -> list[str] | None:
+    """The text cut before its blanks, where patterns of the kind `` ?letters| ?digits| ?marks|\\s+(?!\\S)|\\s+``
+    always begin a match: before a blank that a character other than white space follows. None if it has other blanks."""
+    return text.replace(" ", "\0 ").split("\0") if not _BLANK_INSIDE.search(text) and "\0" not in text else None
