@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.llm import bpe, exact, near, packing, quality, substring, urls
+from leafmill.llm import bpe, exact, near, packing, quality, substring, urls, warc
+from leafmill.llm.shared import scratch
 from leafmill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +104,15 @@ def op5_mixture_packing(spark: SparkSession, path: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, path: str) -> DataFrame:
     """All documents encoded and decoded by the rank file."""
     return bpe.round_trip(read_table(spark, path, "documents"))
+
+
+@query(oracle="""
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    t AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS top FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> top THEN top END AS refers_to FROM t""")
+def op7_warc(spark: SparkSession, path: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    archives = scratch(spark, "archives")
+    warc.write_archives(read_table(spark, path, "pages"), archives)
+    return warc.index(warc.read_chunks(spark, archives, data=False)).drop("intact")
