@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.llm import bpe, exact, near, packing, quality, substring, urls, warc
+from leafmill.llm import bpe, exact, licenses, near, packing, quality, substring, urls, warc
 from leafmill.llm.shared import scratch
 from leafmill.sources.tables import read_table
 
@@ -116,3 +116,27 @@ def op7_warc(spark: SparkSession, path: str) -> DataFrame:
     archives = scratch(spark, "archives")
     warc.write_archives(read_table(spark, path, "pages"), archives)
     return warc.index(warc.read_chunks(spark, archives, data=False)).drop("intact")
+
+
+@query(oracle="""
+    WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    f(phrase, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
+    b AS (SELECT doc_id, i - 1 AS place, label FROM w, unnest(generate_series(1, len(w))) AS u(i), f WHERE w[i] = phrase[1] AND w[i:i + len(phrase) - 1] = phrase),
+    n AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS t FROM w),
+    p(pattern, label) AS (VALUES
+        (' licensed under the (terms of the )?gnu general public license (gpl )?version 3 ', 'gpl-3.0'),
+        (' this( [^ ]+){1,4} is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version( [^ ]+){1,2} of the license or at your option any later version ', 'gpl-notice'),
+        (' (released|licensed) under the (terms of the )?mit license ', 'mit'),
+        (' licensed under the (terms of the )?apache license (version )?2 0 ', 'apache-2.0'),
+        (' licensed under (a )?(the )?cc by 4 0 ', 'cc-by-4.0'), (' licensed under (a )?(the )?cc by nc 4 0 ', 'cc-by-nc-4.0'), (' licensed under (a )?(the )?cc by sa 4 0 ', 'cc-by-sa-4.0'),
+        (' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met ', 'bsd')),
+    m AS (SELECT doc_id, label FROM n, p WHERE regexp_matches(t, pattern)),
+    a AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+    l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM m) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+           CASE WHEN doc_id IN (SELECT doc_id FROM m) THEN 1.0::DOUBLE WHEN n_base > 0 THEN 0.5 ELSE 0 END AS score
+    FROM w LEFT JOIN a USING (doc_id) LEFT JOIN l USING (doc_id)""")
+def op1_license_scan(spark: SparkSession, path: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return licenses.scan(read_table(spark, path, "documents")).drop("matches")
