@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.llm import bpe, exact, licenses, near, packing, quality, substring, urls, warc
+from leafmill.llm import bpe, classifier, exact, licenses, near, packing, quality, substring, urls, warc
 from leafmill.llm.shared import scratch
 from leafmill.sources.tables import read_table
 
@@ -140,3 +140,9 @@ def op7_warc(spark: SparkSession, path: str) -> DataFrame:
 def op1_license_scan(spark: SparkSession, path: str) -> DataFrame:
     """License phrases and templates in all documents."""
     return licenses.scan(read_table(spark, path, "documents")).drop("matches")
+
+
+@query()
+def op8_quality_classifier(spark: SparkSession, path: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels that are not held out."""
+    return classifier.score(read_table(spark, path, "documents"), read_table(spark, path, "labels"))
