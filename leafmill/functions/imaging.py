@@ -138,7 +138,8 @@ def bar_pattern(gray: Column, width: Column, height: Column) -> Column:
 
         return let(limit, count)
 
-    found = let(sobel_x(low, width, height - top), bars)
+    # The slice is bound first: the lambda of every pixel would copy it again.
+    found = let(low, lambda part: let(sobel_x(part, width, height - top), bars))
     wide = width > 10
     return let(found, lambda n: F.struct(
         n.alias("bars"), (wide & (n > width * 0.2)).alias("has_barcode"),
