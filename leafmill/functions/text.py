@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from leafmill.functions.common import col
+from leafmill.functions.common import col, let, strip
 
 # Page-number patterns of lower-cased footer text, in order.
 PAGE_NUMBER_PATTERNS = [
@@ -14,7 +14,9 @@ PAGE_NUMBER_PATTERNS = [
     r"(\d+)\s*/\s*(\d+)",
 ]
 
-# Fixed value: a web address in running text.
+# Fixed value: a web address in running text. One character class and not an
+# alternation, because Java matches a repeated alternation by recursion and a
+# long address would overflow the stack.
 URL_PATTERN = r"https?://[!$-_a-z]+"
 
 # Fixed value: where columns of a text table are cut.
@@ -26,7 +28,7 @@ def word_count(text: str | Column) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return strip(F.regexp_replace(text, r"\s+", " "))
 
 
 def page_number(text: str | Column) -> Column:
@@ -53,26 +55,38 @@ def match_context(text: Column, position: Column, matched: Column, width: int =
     return F.translate(F.substr(text, first + 1, size), "\n", " ")
 
 
+#: Noncharacters that mark a match's start and end, and what stands for them where a text has them.
+_START, _END, _OTHER = "\ufdd0", "\ufdd1", "\ufdd2"
+#: Matches that are gathered before they are put away, so that appending stays cheap.
+_CHUNK = 256
+
+
 def match_positions(text: str | Column, pattern: str) -> Column:
-    """Array of struct(matched_text, position, context) for a pattern that never
-    matches the empty string. The gaps between matches give the 0-based positions."""
-    value = col(text)
-    found = F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
-    gaps = F.split(value, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"),
-                     F.array().cast("array<struct<matched_text:string,position:int>>").alias("hits"))
-
-    def step(acc, pair):
-        at = acc["at"] + F.length(pair["gap"])
-        hit = F.struct(pair["hit"].alias("matched_text"), at.alias("position"))
-        return F.struct((at + F.length(pair["hit"])).alias("at"),
-                        F.array_append(acc["hits"], hit).alias("hits"))
-
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)),
-                       lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
-    placed = F.aggregate(pairs, start, step, lambda acc: acc["hits"])
+    """Array of struct(matched_text, position, context) for any pattern of Java's
+    dialect, matches of the empty string included. Each match is marked in place and
+    the marked text is cut at its starts; lengths of the parts add up to the 0-based positions."""
+    value = F.translate(col(text), _START + _END, _OTHER * 2)
+    marked = F.regexp_replace(value, F.lit(pattern), F.lit(f"{_START}$0{_END}"))
+    hit_type = "array<struct<matched_text:string,position:int>>"
+
+    def place(parts: Column) -> Column:
+        start = F.struct(F.length(F.get(parts, 0)).alias("at"), F.array().cast(hit_type).alias("hits"),
+                         F.array().cast(f"array<{hit_type}>").alias("full"))
+
+        def step(acc, part):
+            hit = F.split_part(part, F.lit(_END), F.lit(1))
+            found = F.array_append(acc["hits"], F.struct(hit.alias("matched_text"), acc["at"].alias("position")))
+            whole = F.size(acc["hits"]) >= _CHUNK - 1
+            return F.struct((acc["at"] + F.length(part) - 1).alias("at"),
+                            F.when(whole, F.array().cast(hit_type)).otherwise(found).alias("hits"),
+                            F.when(whole, F.array_append(acc["full"], found)).otherwise(acc["full"]).alias("full"))
+
+        return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, step,
+                           lambda acc: F.flatten(F.array_append(acc["full"], acc["hits"])))
+
+    placed = let(F.split(marked, _START, -1), place)
     return F.transform(placed, lambda hit: hit.withField(
-        "context", match_context(value, hit["position"], hit["matched_text"])))
+        "context", match_context(col(text), hit["position"], hit["matched_text"])))
 
 
 def urls(text: str | Column) -> Column:

@@ -86,8 +86,8 @@ def match_requests_fifo(requests: DataFrame, completions: DataFrame, key: str =
     Per key, in time order, let ``lead`` be completions minus requests so far. A
     completion is ignored exactly where ``lead`` reaches a new maximum above
     zero; the others pair with requests by ordinal. Running values are taken in
-    blocks of time, so a busy key is spread over tasks, and the final join is on
-    (key, ordinal), which is unique on both sides.
+    blocks of time, so a busy key is spread over tasks, and the two sides of a pair
+    meet in one aggregate by (key, ordinal).
     """
     events = (requests.select(key, "ts", "seq", F.lit(0).alias("done"),
                               F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("code"))
@@ -115,12 +115,15 @@ def match_requests_fifo(requests: DataFrame, completions: DataFrame, key: str =
         key, "ts", "seq", "done", "kind", "code", (F.col("closed_was") + F.col("closed_in")).alias("closed"),
         (F.col("opened_was") + F.col("opened_in")).alias("opened"), ignored.alias("ignored"),
         (ignored > ignored_before).alias("drop_it"))
-    done = staged.filter("done = 1 AND NOT drop_it").select(
-        key, (F.col("closed") - F.col("ignored")).alias("ordinal"), F.col("seq").alias("completion_seq"),
-        "kind", "code")
-    opened = staged.filter("done = 0").select(key, F.col("opened").alias("ordinal"), "seq", "ts")
+    # A request and its completion share key and ordinal, and nothing else has them.
+    is_done = F.col("done") == 1
+    ordinal = F.when(is_done, F.col("closed") - F.col("ignored")).otherwise(F.col("opened"))
+    pairs = (staged.filter(~is_done | ~F.col("drop_it")).groupBy(key, ordinal.alias("ordinal"))
+             .agg(F.max(F.when(~is_done, F.col("seq"))).alias("seq"), F.max(F.when(~is_done, F.col("ts"))).alias("ts"),
+                  F.max(F.when(is_done, F.col("seq"))).alias("completion_seq"), F.max("kind").alias("kind"), F.max("code").alias("code"))
+             .filter(F.col("seq").isNotNull()))
     status = F.when(F.col("kind").isNull(), "pending").when(F.col("kind") == "failed", "failed").otherwise("completed")
-    return opened.join(done, [key, "ordinal"], "left").select(
+    return pairs.select(
         "seq", key, "ts", "completion_seq", status.alias("status"), F.col("code").alias("response_status"))
 
 

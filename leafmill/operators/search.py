@@ -2,47 +2,35 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leafmill.functions import text as rules
-from leafmill.functions.common import count_true
-from leafmill.plans.lineage import cut
-from leafmill.plans.ordered import Ordered, number_rows
-
+from leafmill.functions.common import count_true, strip
+from leafmill.plans.ordered import Ordered
 
-@F.udtf(returnType=StructType([StructField("matched_text", StringType()), StructField("position", IntegerType())]))
-class FindMatches:
-    """Matches of a pattern that may match the empty string, which the
-    split-based expression cannot place."""
 
-    def eval(self, text: str, pattern: str, flags: int):
-        for match in re.finditer(pattern, text, flags):
-            yield match.group(), match.start()
+def pattern_error(spark: SparkSession, pattern: str) -> str | None:
+    """Message for a pattern that the engine of the jobs does not accept."""
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return f"Invalid pattern: {pattern}"
+    return None
 
 
 def search_text(pages: DataFrame, pattern: str, case_sensitive: bool = False) -> DataFrame:
     """One row per match: doc_id, page_num, matched_text, position, context, error.
-    A pattern that does not compile gives one error row."""
-    flags = 0 if case_sensitive else re.IGNORECASE
-    try:
-        compiled = re.compile(pattern, flags)
-    except re.error as problem:
-        message = f"Invalid regex pattern: {problem}"
+    Patterns are of Java's dialect; one that does not compile gives one error row.
+    Matches of the empty string are matches too."""
+    error = pattern_error(pages.sparkSession, pattern)
+    if error:
         return pages.sparkSession.range(1).select(
             F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("int").alias("page_num"),
             F.lit(None).cast("string").alias("matched_text"), F.lit(None).cast("int").alias("position"),
-            F.lit(None).cast("string").alias("context"), F.lit(message).alias("error"))
-    if compiled.match("") or compiled.search(" "):
-        found = pages.lateralJoin(
-            FindMatches(F.col("text").outer(), F.lit(pattern), F.lit(int(flags))))
-        context = rules.match_context(F.col("text"), F.col("position"), F.col("matched_text"))
-        found = found.withColumn("context", context)
-    else:
-        mode = "(?U)" if case_sensitive else "(?iU)"
-        found = pages.select("doc_id", "page_num", F.inline(rules.match_positions("text", mode + pattern)))
+            F.lit(None).cast("string").alias("context"), F.lit(error).alias("error"))
+    mode = "(?U)" if case_sensitive else "(?iU)"
+    found = pages.select("doc_id", "page_num", F.inline(rules.match_positions("text", mode + pattern)))
     return found.select("doc_id", "page_num", "matched_text", "position", "context",
                         F.lit(None).cast("string").alias("error"))
 
@@ -86,42 +74,66 @@ def doc_url_counts(urls: DataFrame) -> DataFrame:
         F.min("url").alias("first_url"), F.max("url").alias("last_url"))
 
 
-def _new_table(row: Column, before: Column) -> Column:
-    return F.abs(row["columns"] - before["columns"]) > 1
+_PAGE = ["doc_id", "page_num"]
 
 
-_PAGE = ["doc_id", "page_num"]
+def _numbered(lines: DataFrame, block: Column) -> DataFrame:
+    """Table-like lines that belong to a table, with the number of their table.
 
+    A table ends where the column count moves by more than one; a run of one line
+    is none. Both come from one pass: inside a block of lines a run's end is seen
+    in place, and at its edges from the first and last line of the blocks beside it.
+    """
+    order = Ordered(_PAGE, ["line_no"], block)
+
+    def cut(columns: Column, before: Column) -> Column:
+        return F.coalesce((F.abs(columns - before) > 1).cast("int"), F.lit(1))
 
-def _table_runs(lines: DataFrame) -> DataFrame:
-    """Table-like lines with the run of alike lines each belongs to. Other lines
-    are dropped before grouping."""
-    order = Ordered(_PAGE, ["line_no"], F.floor(F.col("line_no") / 10000))
-    kept = (lines.select(*_PAGE, "line_no", F.trim("text").alias("row"))
+    row, one = F.struct("line_no", "columns"), F.lit(1)
+    kept = (lines.select(*_PAGE, "line_no", strip("text").alias("row"))
             .filter(rules.looks_like_table(F.col("row")))
             .withColumn("columns", rules.column_count("row")))
-    return order.segments(kept, ["columns"], _new_table).drop("prior", "starts", "position", "is_last")
-
-
-def _table_spans(runs: DataFrame) -> DataFrame:
-    """Runs of two or more lines, numbered as the tables of their page."""
-    spans = cut(runs.groupBy(*_PAGE, "segment").agg(
+    at = F.col("__no")
+    joined = order.carry(
+        kept,
+        {"__no": F.row_number().over(order.local),
+         "__cut": F.when(at == 1, 0).otherwise(cut(F.col("columns"), F.lag("columns").over(order.local))),
+         "__next": F.lead("__cut").over(order.local),
+         "__opens": ((at > 1) & (F.col("__cut") == 1) & (F.col("__next") == 0)).cast("int"),
+         "__opened": F.sum(F.coalesce("__opens", F.lit(0))).over(order.upto)},
+        {"__first": F.min(row), "__last": F.max(row), "__rows": F.count(one), "__sum": F.sum("__opens"),
+         "__second": F.max(F.when(at == 2, F.col("__cut"))), "__end": F.max_by("__cut", "line_no")},
+        {"__head": cut(F.col("__first.columns"), F.lag("__last.columns").over(order.blocks)),
+         "__follow": cut(F.lead("__first.columns").over(order.blocks), F.col("__last.columns")),
+         "__head_opens": ((F.col("__head") == 1) & (F.coalesce("__second", "__follow") == 0)).cast("int"),
+         "__tail_opens": ((F.col("__rows") > 1) & (F.col("__end") == 1) & (F.col("__follow") == 0)).cast("int"),
+         "__seen": F.coalesce(F.sum(F.coalesce("__sum", F.lit(0)) + F.col("__head_opens") + F.col("__tail_opens")).over(order.earlier), F.lit(0)),
+         "__size": F.col("__rows")})
+    starts = F.when(at == 1, F.col("__head")).otherwise(F.col("__cut")) == 1
+    ends = F.coalesce("__next", "__follow") == 1
+    tail = F.when((at == F.col("__size")) & (at > 1), F.col("__tail_opens")).otherwise(0)
+    return (joined.filter(~(starts & ends))
+            .select(*_PAGE, "line_no", "row", "columns",
+                    (F.col("__seen") + F.col("__head_opens") + F.col("__opened") + tail).alias("table_number")))
+
+
+def _spans(numbered: DataFrame) -> DataFrame:
+    return numbered.groupBy(*_PAGE, "table_number").agg(
         F.count(F.lit(1)).alias("row_count"), F.min("line_no").alias("first_line"),
-        F.max("line_no").alias("last_line"), F.max("columns").alias("widest")).filter("row_count >= 2"))
-    return number_rows(spans, "table_number", Ordered(_PAGE, ["segment"], F.floor(F.col("segment") / 10000)))
+        F.max("line_no").alias("last_line"), F.max("columns").alias("widest"))
 
 
-def table_rows(lines: DataFrame) -> DataFrame:
-    """Table-like lines with the number of the table they belong to on their page.
+def _line_block() -> Column:
+    return F.floor(F.col("line_no") / 10000)
 
-    A table ends where the column count moves by more than one; runs of a single
-    line are not tables.
-    """
-    runs = cut(_table_runs(lines))
-    numbered = _table_spans(runs).select(*_PAGE, "segment", "row_count", "table_number")
-    return runs.join(numbered, _PAGE + ["segment"]).drop("segment")
+
+def table_rows(lines: DataFrame, block: Column | None = None) -> DataFrame:
+    """Lines of the tables of each page with number and size of their table.
+    ``block`` gives the span of lines that one task takes of a busy page."""
+    numbered = _numbered(lines, _line_block() if block is None else block)
+    return numbered.join(_spans(numbered).select(*_PAGE, "table_number", "row_count"), [*_PAGE, "table_number"])
 
 
-def table_blocks(lines: DataFrame) -> DataFrame:
+def table_blocks(lines: DataFrame, block: Column | None = None) -> DataFrame:
     """One row per table: number, rows, first and last line, widest row."""
-    return _table_spans(_table_runs(lines)).drop("segment")
+    return _spans(_numbered(lines, _line_block() if block is None else block))

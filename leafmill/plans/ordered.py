@@ -13,6 +13,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql.types import NumericType
 
 _MERGE = {
     "sum": lambda a, b: a + F.coalesce(b, F.lit(0)),
@@ -25,7 +26,7 @@ Step = Callable[[WindowSpec], Column]
 
 
 class Ordered:
-    """Rows grouped by ``keys`` (never NULL) and totally ordered by ``order`` within a key.
+    """Rows grouped by ``keys`` and totally ordered by ``order`` within a key; NULL is a key.
 
     ``block`` must never fall along the order, and must be bounded in rows: take
     a finer one where a single key fills the default block.
@@ -33,10 +34,12 @@ class Ordered:
 
     def __init__(self, keys: list[str], order: list[str], block: Column):
         self.keys, self.order, self.block = keys, order, block
-        self.cells = keys + [_BLOCK]
+        # Two columns stand for each key, neither ever NULL, so that plain equality matches them.
+        self.groups = [f"__{part}_{k}" for k in keys for part in ("value", "missing")]
+        self.cells = self.groups + [_BLOCK]
         self.local = Window.partitionBy(*self.cells).orderBy(*order)
         self.upto = self.local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        self.blocks = Window.partitionBy(*keys).orderBy(_BLOCK)
+        self.blocks = Window.partitionBy(*self.groups).orderBy(_BLOCK)
         self.earlier = self.blocks.rowsBetween(Window.unboundedPreceding, -1)
 
     def carry(self, df: DataFrame, local: dict[str, Column], totals: dict[str, Column],
@@ -46,7 +49,7 @@ class Ordered:
         ``local`` is computed row by row in a block, ``totals`` once per block,
         ``before`` over the blocks of a key; each may use the names before it.
         """
-        inside = df.withColumn(_BLOCK, self.block)
+        inside = df.withColumns({_BLOCK: self.block, **self._stand_ins(df)})
         for name, value in local.items():
             inside = inside.withColumn(name, value)
         blocks = inside.groupBy(*self.cells).agg(*[v.alias(n) for n, v in totals.items()])
@@ -54,9 +57,18 @@ class Ordered:
             blocks = blocks.withColumn(name, value)
         side = blocks.select(*[F.col(c).alias(f"__key_{c}") for c in self.cells], *before)
         # Plain equality keeps the partitioning of the windows, so the rows are not
-        # shuffled again for this join; keys must therefore not be NULL.
+        # shuffled again for this join.
         match = reduce(lambda a, b: a & b, [inside[c] == side[f"__key_{c}"] for c in self.cells])
-        return inside.join(side, match, "left").drop(_BLOCK, *[f"__key_{c}" for c in self.cells])
+        return inside.join(side, match, "left").drop(*self.cells, *[f"__key_{c}" for c in self.cells])
+
+    def _stand_ins(self, df: DataFrame) -> dict[str, Column]:
+        kinds = {f.name: f.dataType for f in df.schema}
+        found = {}
+        for k in self.keys:
+            number = isinstance(kinds[k], NumericType)
+            value = F.coalesce(k, F.lit(0).cast(kinds[k])) if number else F.coalesce(F.col(k).cast("string"), F.lit(""))
+            found |= {f"__value_{k}": value, f"__missing_{k}": F.col(k).isNull()}
+        return found
 
     def running(self, df: DataFrame, how: str, **values: Column) -> DataFrame:
         """Add ``name = how(value)`` from the first row of the key to this row."""
@@ -102,7 +114,7 @@ class Ordered:
              "__head": cut(pick(F.col("__first")), F.col("__enter")),
              "__seen": F.coalesce(F.sum(F.col("__head") + F.col("__sum")).over(self.earlier), F.lit(0)),
              "__skip": F.coalesce(F.sum("__rows").over(self.earlier), F.lit(0)),
-             "__all": F.sum("__rows").over(Window.partitionBy(*self.keys)),
+             "__all": F.sum("__rows").over(Window.partitionBy(*self.groups)),
              "__open": F.when(F.col("__head") == 1, F.col("__skip") + 1),
              "__from": F.max(F.greatest(F.col("__skip") + F.col("__late"), F.col("__open"))).over(self.earlier)})
         begin = F.coalesce(F.col("__skip") + F.col("__at"), F.col("__open"), F.col("__from"))
