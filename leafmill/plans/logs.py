@@ -201,19 +201,25 @@ _CAUSES = """
          causes AS (SELECT session_id, type, evidence, source, no,
                       CASE type WHEN 'missing_resource' THEN 0.9 WHEN 'server_error' THEN 0.85
                            WHEN 'network_error' THEN 0.85 WHEN 'react_error' THEN 0.75 ELSE 0.8 END::DOUBLE AS confidence,
-                      CASE type WHEN 'null_reference' THEN 'Possible null/undefined reference error'
-                           WHEN 'network_error' THEN 'Network or CORS issue'
-                           WHEN 'react_error' THEN 'React lifecycle or hooks error'
-                           WHEN 'missing_resource' THEN 'Resource not found (404)'
-                           WHEN 'server_error' THEN format('Server error ({})', code)
-                           ELSE 'Network connection failed' END AS description
+                      CASE type WHEN 'null_reference' THEN 'A value that is not set was used'
+                           WHEN 'network_error' THEN 'The network or an origin rule stopped a call'
+                           WHEN 'react_error' THEN 'A component broke its update rules'
+                           WHEN 'missing_resource' THEN 'The address has nothing to give (404)'
+                           WHEN 'server_error' THEN format('The server gave up ({})', code)
+                           ELSE 'The connection broke' END AS description,
+                      CASE type WHEN 'null_reference' THEN 'Test the value before its use'
+                           WHEN 'network_error' THEN 'Check the address and the origins it allows'
+                           WHEN 'react_error' THEN 'Check when the component changes its state'
+                           WHEN 'missing_resource' THEN 'Correct the path or restore the resource'
+                           WHEN 'server_error' THEN 'Read the server log of that time'
+                           ELSE 'Check that the server can be reached' END AS suggestion
                FROM h WHERE type IS NOT NULL),
          ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY confidence DESC, source, no)::INT
                     AS rank FROM causes)"""
 
 
 @query("bug_hypotheses", ["C9", "T2", "W12"], _CAUSES + """
-    SELECT session_id, rank, type, confidence, description, evidence FROM ranked""")
+    SELECT session_id, rank, type, confidence, description, suggestion, evidence FROM ranked""")
 def bug_hypotheses(q: Inputs):
     return reports.bug_hypotheses(q.view("console_logs"), _session_requests(q))
 
@@ -242,18 +248,20 @@ def har_entries(q: Inputs):
                     SELECT * FROM request_log WHERE status = 'failed' OR response_status >= 400
                     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq) <= 10) GROUP BY user_id),
          ca AS (SELECT session_id, string_agg(concat('- **', type, '** (', round(confidence * 100)::INT, '%): ',
-                       description), chr(10) ORDER BY rank) AS part FROM ranked WHERE rank <= 5 GROUP BY session_id),
+                       description, '. ', suggestion, '.'), chr(10) ORDER BY rank) AS part,
+                       min(concat('- **', type, '** (', round(confidence * 100)::INT, '%): ', description, '. ', suggestion, '.')) FILTER (rank = 1) AS lead FROM ranked WHERE rank <= 5 GROUP BY session_id),
          n AS (SELECT session_id, count(*) FILTER (type IN ('error', 'pageerror', 'warning')) AS ne
                FROM console_logs GROUP BY session_id),
          m AS (SELECT user_id AS session_id, count(*) FILTER (status = 'failed' OR response_status >= 400) AS nf
                FROM request_log GROUP BY user_id)
-    SELECT session_id, concat('# Bug Report: Nightly', chr(10), chr(10), '## Console Errors (', ne, ' total)',
-           chr(10), chr(10), er.part, chr(10), chr(10), '## Failed Network Requests (', nf, ' total)', chr(10), chr(10),
-           fr.part, chr(10), chr(10), '## All Hypotheses', chr(10), chr(10), ca.part) AS report
+    SELECT session_id, concat('# Nightly', chr(10), chr(10), 'All sessions of the night', chr(10), chr(10), '## Likeliest cause', chr(10), chr(10),
+           coalesce(ca.lead, '- none found'), chr(10), chr(10), '## Messages on the console: ', ne,
+           chr(10), chr(10), er.part, chr(10), chr(10), '## Requests without success: ', nf, chr(10), chr(10),
+           fr.part, chr(10), chr(10), '## Causes', chr(10), chr(10), ca.part) AS report
     FROM n JOIN m USING (session_id) LEFT JOIN er USING (session_id) LEFT JOIN fr USING (session_id)
     LEFT JOIN ca USING (session_id)""")
 def export_report(q: Inputs):
-    return reports.export_report(q.view("console_logs"), _session_requests(q), "Nightly")
+    return reports.export_report(q.view("console_logs"), _session_requests(q), "Nightly", description="All sessions of the night")
 
 
 @query("log_issue_windows", ["X3"], _HITS + f"""
