@@ -11,6 +11,15 @@ def col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+#: White space of Unicode, and the separators 28 to 31 that text tools count as such.
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def strip(text: str | Column) -> Column:
+    """Text without white space of any kind at its edges."""
+    return F.btrim(col(text), F.lit(WHITE_SPACE))
+
+
 def first_match(arms: list[tuple[Column, object]], default=None) -> Column:
     """CASE WHEN over ``arms`` in order."""
     chain = reduce(lambda acc, arm: acc.when(arm[0], arm[1]) if acc is not None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from leafmill.functions.common import col, first_match, let
+from leafmill.functions.common import col, first_match, let, strip
 
 # Pay periods per year.
 PERIODS_PER_YEAR = {
@@ -26,7 +26,7 @@ PREMIUM_STEPS = [(95, 4.00), (90, 3.10), (85, 2.80), (80, 2.40)]
 
 def annual_income(amount: str | Column, period: str | Column) -> Column:
     """Struct(period, periods_per_year, annual_income, monthly_income, weekly_income, error)."""
-    key = F.lower(F.trim(col(period)))
+    key = F.lower(strip(period))
     times = first_match([(key == p, F.lit(n)) for p, n in PERIODS_PER_YEAR.items()])
     income = col(amount) * times
     return F.struct(key.alias("period"), times.alias("periods_per_year"), income.alias("annual_income"),

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType
 
 from leafmill.functions.common import col
 from leafmill.functions.text import collapse_spaces
@@ -107,15 +104,6 @@ def split_full_name(full: str | Column) -> Column:
         F.when(empty, "Empty name").alias("error"))
 
 
-@F.pandas_udf(DoubleType())
-def block_match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matching blocks over the total length; no SQL function does this."""
-    return pd.Series([
-        None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio()
-        for x, y in zip(a, b)
-    ], dtype="float64")
-
-
 def edit_similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from leafmill.functions.common import col, first_match, let
+from leafmill.functions.common import col, first_match, let, strip
 from leafmill.functions.normalize import map_words
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 # French month names and the English ones.
 FRENCH_TO_ENGLISH = {
@@ -34,31 +34,31 @@ _SHORT = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 # Date shapes and their formats, tried in order. The shape is tested first, so
 # that a format is only tried on text it can fit.
 DATE_FORMATS = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (rf"(?i)^\d{{1,2}} {_MONTH} \d{{4}}$", "d MMMM yyyy"),
-    (rf"(?i)^{_MONTH} \d{{1,2}}, \d{{4}}$", "MMMM d, yyyy"),
-    (rf"(?i)^{_MONTH} \d{{1,2}} \d{{4}}$", "MMMM d yyyy"),
-    (rf"(?i)^\d{{1,2}} {_SHORT} \d{{4}}$", "d MMM yyyy"),
-    (rf"(?i)^{_SHORT} \d{{1,2}}, \d{{4}}$", "MMM d, yyyy"),
-    (r"^(?:0?[1-9]|1[0-2])/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^(?:0?[1-9]|1[0-2])-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-    (r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}\z", "yyyy-M-d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}\z", "yyyy/M/d"),
+    (rf"(?i)^\d{{1,2}} {_MONTH} \d{{4}}\z", "d MMMM yyyy"),
+    (rf"(?i)^{_MONTH} \d{{1,2}}, \d{{4}}\z", "MMMM d, yyyy"),
+    (rf"(?i)^{_MONTH} \d{{1,2}} \d{{4}}\z", "MMMM d yyyy"),
+    (rf"(?i)^\d{{1,2}} {_SHORT} \d{{4}}\z", "d MMM yyyy"),
+    (rf"(?i)^{_SHORT} \d{{1,2}}, \d{{4}}\z", "MMM d, yyyy"),
+    (r"^(?:0?[1-9]|1[0-2])/\d{1,2}/\d{4}\z", "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}\z", "d/M/yyyy"),
+    (r"^(?:0?[1-9]|1[0-2])-\d{1,2}-\d{4}\z", "M-d-yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}\z", "d-M-yyyy"),
+    (r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\z", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\z", "yyyy-MM-dd'T'HH:mm:ss"),
 ]
 
 # The shapes accepted for date ranges: ISO first, then day-first.
 RANGE_FORMATS = [
-    (r"^\d{4}-\d\d-\d\d$", "yyyy-MM-dd"),
-    (r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$", "yyyy-MM-dd'T'HH:mm:ss"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
+    (r"^\d{4}-\d\d-\d\d\z", "yyyy-MM-dd"),
+    (r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\z", "yyyy-MM-dd HH:mm:ss"),
+    (r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\z", "yyyy-MM-dd'T'HH:mm:ss"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}\z", "yyyy-M-d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}\z", "d/M/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}\z", "M/d/yyyy"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}\z", "yyyy/M/d"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}\z", "d-M-yyyy"),
 ]
 
 
@@ -74,7 +74,7 @@ def parse_currency(raw: str | Column) -> Column:
     ``CAD`` goes but ``USD`` does not. Two thousands separators without a
     decimal mark are refused.
     """
-    text = F.trim(F.regexp_replace(F.trim(col(raw)), "(?i)[$€£¥CAD]", ""))
+    text = strip(F.regexp_replace(strip(raw), "(?i)[$€£¥CAD]", ""))
     negative = text.startswith("(") & text.endswith(")")
     inner = F.when(negative, F.substr(text, F.lit(2), F.length(text) - 2)).otherwise(text)
     text = F.replace(inner, F.lit(" "), F.lit(""))
@@ -86,7 +86,7 @@ def parse_currency(raw: str | Column) -> Column:
     dot_is_last = F.instr(F.reverse(text), ".") < F.instr(F.reverse(text), ",")
     plain = first_match([
         ((commas == 0) & (dots <= 1), text),
-        ((commas == 1) & (dots == 0) & F.regexp_like(text, F.lit(r",[0-9]{2}$")), comma_to_dot),
+        ((commas == 1) & (dots == 0) & F.regexp_like(text, F.lit(r",[0-9]{2}\z")), comma_to_dot),
         ((commas == 1) & (dots == 0), no_commas),
         ((dots > 0) & ((commas == 0) | dot_is_last), no_commas),
     ], swapped)
@@ -102,7 +102,7 @@ def _by_formats(text: Column, formats: list[tuple[str, str]]) -> Column:
 
 def parse_timestamp(raw: str | Column) -> Column:
     """Timestamp from ISO, long, slashed or French text; month first where both fit."""
-    text = F.trim(col(raw))
+    text = strip(raw)
     months = {**FRENCH_TO_ENGLISH, **{k.capitalize(): v for k, v in FRENCH_TO_ENGLISH.items()}}
     return _by_formats(map_words(text, months), DATE_FORMATS)
 

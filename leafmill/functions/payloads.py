@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from leafmill.functions.common import col
+from leafmill.functions.common import col, strip
 
 DETECTION_SCHEMA = (
     "logos_detected ARRAY<STRUCT<name: STRING, confidence: DOUBLE>>, "
@@ -23,10 +23,10 @@ DEFAULT_TOOL = "logo_detector"
 
 def strip_fences(text: str | Column) -> Column:
     """What stands inside the first code fence, or the whole text without one."""
-    body = F.trim(col(text))
+    body = strip(text)
     fence = F.when(body.contains("```json"), "```json").when(body.contains("```"), "```")
     inner = F.split_part(F.split_part(body, fence, F.lit(2)), F.lit("```"), F.lit(1))
-    return F.btrim(F.when(fence.isNotNull(), inner).otherwise(body), F.lit(" \n\t\r"))
+    return strip(F.when(fence.isNotNull(), inner).otherwise(body))
 
 
 def _read(text: Column, schema: str) -> Column:

@@ -6,17 +6,17 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from leafmill.functions.common import col, first_match, let
+from leafmill.functions.common import col, first_match, let, strip
 from leafmill.functions.parse import range_timestamp
 
 # Postal code shapes per country, in the order they are tried.
 POSTAL_PATTERNS = {
-    "CA": r"^[A-Z]\d[A-Z]\s?\d[A-Z]\d$",
-    "US": r"^\d{5}(-\d{4})?$",
+    "CA": r"^[A-Z]\d[A-Z]\s?\d[A-Z]\d\z",
+    "US": r"^\d{5}(-\d{4})?\z",
 }
 
 # Fixed value: the accepted e-mail shape.
-EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\z"
 
 
 def _digit(text: Column, at: int) -> Column:
@@ -29,14 +29,14 @@ def validate_sin(raw: str | Column) -> Column:
     doubled = [_digit(clean, i) * 2 for i in (2, 4, 6, 8)]
     single = [_digit(clean, i) for i in (1, 3, 5, 7, 9)]
     total = reduce(lambda a, b: a + b, single + [F.when(d > 9, d - 9).otherwise(d) for d in doubled])
-    ok = F.coalesce(F.regexp_like(clean, F.lit("^[1-79][0-9]{8}$")) & (total % 10 == 0), F.lit(False))
+    ok = F.coalesce(F.regexp_like(clean, F.lit("^[1-79][0-9]{8}\\z")) & (total % 10 == 0), F.lit(False))
     formatted = F.concat_ws("-", *[F.substring(clean, i, 3) for i in (1, 4, 7)])
     return F.struct(clean.alias("cleaned"), F.when(ok, formatted).alias("formatted"), ok.alias("is_valid"),
                     F.when(~ok, "Invalid SIN format or checksum").alias("error"))
 
 
 def validate_postal_code(raw: str | Column, country: str | None = None) -> Column:
-    clean = F.upper(F.trim(col(raw)))
+    clean = F.upper(strip(raw))
     fits = {c: F.coalesce(F.regexp_like(clean, F.lit(p)), F.lit(False)) for c, p in POSTAL_PATTERNS.items()}
     if country is None:
         where = first_match([(fits[c], F.lit(c)) for c in fits], F.lit("UNKNOWN"))
@@ -55,7 +55,7 @@ def validate_phone(raw: str | Column, country: str = "CA") -> Column:
     digits = F.regexp_replace(col(raw), r"[^0-9]", "")
     led = (F.length(digits) == 11) & digits.startswith("1")
     local = F.when(led, F.substring(digits, 2, 10)).otherwise(digits)
-    shape = F.regexp_like(local, F.lit("^[2-9][0-9]{2}[2-9][0-9]{6}$"))
+    shape = F.regexp_like(local, F.lit("^[2-9][0-9]{2}[2-9][0-9]{6}\\z"))
     ok = F.coalesce(shape, F.lit(False)) if country.upper() in ("CA", "US") else F.lit(False)
     printed = F.concat(F.when(led, "+1 (").otherwise("("), F.substring(local, 1, 3), F.lit(") "),
                        F.substring(local, 4, 3), F.lit("-"), F.substring(local, 7, 4))
@@ -64,7 +64,7 @@ def validate_phone(raw: str | Column, country: str = "CA") -> Column:
 
 
 def validate_email(raw: str | Column) -> Column:
-    clean = F.lower(F.trim(col(raw)))
+    clean = F.lower(strip(raw))
     ok = F.coalesce(F.regexp_like(clean, F.lit(EMAIL_PATTERN)), F.lit(False))
     local, domain = F.split_part(clean, F.lit("@"), F.lit(1)), F.split_part(clean, F.lit("@"), F.lit(2))
     return F.struct(clean.alias("normalized"), F.when(ok, local).alias("local_part"),

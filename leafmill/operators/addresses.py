@@ -7,20 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from leafmill.functions import normalize as rules
 
 
-def address_similarity(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Score pairs of addresses: block-match percent and edit percent with match flags."""
-    keyed = pairs.withColumn("key_a", rules.address_match_key(left)).withColumn(
-        "key_b", rules.address_match_key(right))
-    ratio = rules.block_match_ratio("key_a", "key_b")
-    scored = keyed.withColumn("similarity_ratio", ratio)
-    percent = F.round(F.col("similarity_ratio") * 100, 1)
-    return (scored.withColumn("similarity_percent", percent)
-            .withColumn("is_match", F.col("similarity_percent") >= rules.MATCH_PERCENT)
-            .withColumn("is_likely_match", F.col("similarity_percent") >= rules.LIKELY_PERCENT))
-
-
 def address_edit_similarity(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Edit-distance variant, built from SQL functions only."""
+    """Score pairs of addresses by edit distance, with match flags."""
     keyed = pairs.withColumn("key_a", rules.address_match_key(left)).withColumn(
         "key_b", rules.address_match_key(right))
     percent = F.round(rules.edit_similarity(F.col("key_a"), F.col("key_b")) * 100, 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leafmill.functions.common import count_true, first_match
+from leafmill.functions.common import count_true, first_match, strip
 from leafmill.functions.text import word_count
 from leafmill.plans.ordered import Ordered, number_rows
 from leafmill.sources.tables import object_name
@@ -46,17 +46,17 @@ def page_totals(pages: DataFrame) -> DataFrame:
 
 
 def _range_error(page: Column, total: Column) -> Column:
-    return F.when((page < 1) | (page > total),
-                  F.format_string("Page %d out of range (1-%d)", page, total))
+    return F.when(total.isNull(), "Unknown document").when(
+        (page < 1) | (page > total), F.format_string("Page %d out of range (1-%d)", page, total))
 
 
 def extract_page(pages: DataFrame, requests: DataFrame) -> DataFrame:
-    """The requested page of each document, or an error row with the page total."""
-    wanted = requests.select("doc_id", "page_number").join(page_totals(pages), "doc_id")
+    """The requested page per request, or an error row; unknown documents give one too."""
+    wanted = requests.select("request_id", "doc_id", "page_number").join(page_totals(pages), "doc_id", "left")
     text = pages.select("doc_id", F.col("page_num").alias("page_number"), "text")
     error = _range_error(F.col("page_number"), F.col("total_pages"))
     return (wanted.join(text, ["doc_id", "page_number"], "left")
-            .select("doc_id", "page_number", "total_pages", "text",
+            .select("request_id", "doc_id", "page_number", "total_pages", "text",
                     error.isNull().alias("ok"), error.alias("error")))
 
 
@@ -65,41 +65,46 @@ def drop_blank_pages(pages: DataFrame, blank: DataFrame) -> DataFrame:
 
 
 def rotate_pages(pages: DataFrame, requests: DataFrame) -> DataFrame:
-    """Page rotation after one requested quarter turn per document; a request
-    with a bad angle or page leaves its document unturned and carries the error."""
-    checked = requests.select("doc_id", "page_number", "degrees").join(page_totals(pages), "doc_id")
-    error = F.when(~F.col("degrees").isin(ROTATIONS), F.format_string("Invalid rotation %d", "degrees")).otherwise(
-        _range_error(F.col("page_number"), F.col("total_pages")))
-    checked = checked.withColumn("error", error)
-    turn = (F.col("page_num") == F.col("page_number")) & F.col("error").isNull()
-    return pages.select("doc_id", "page_num").join(checked, "doc_id", "left").select(
-        "doc_id", "page_num",
-        F.when(turn, F.pmod("degrees", F.lit(360))).otherwise(0).alias("rotation"), "error")
+    """One row per page with its rotation after all valid requests for it. A request
+    with a bad angle or page turns nothing; its document's pages carry the error (the
+    first by name). Requests for an unknown document give a row without a page."""
+    checked = requests.select("doc_id", "page_number", "degrees").join(page_totals(pages), "doc_id", "left")
+    angle = F.when(~F.col("degrees").isin(ROTATIONS), F.format_string("Invalid rotation %d", "degrees"))
+    error = _range_error(F.col("page_number"), F.col("total_pages"))
+    checked = checked.withColumn("error", F.when(F.col("total_pages").isNull(), error).otherwise(F.coalesce(angle, error)))
+    errors = checked.groupBy("doc_id").agg(F.min("error").alias("error"), F.first("total_pages").isNull().alias("unknown"))
+    turns = (checked.filter(F.col("error").isNull()).groupBy("doc_id", F.col("page_number").alias("page_num"))
+             .agg(F.pmod(F.sum("degrees"), F.lit(360)).cast("int").alias("rotation")))
+    turned = (pages.select("doc_id", "page_num").join(turns, ["doc_id", "page_num"], "left")
+              .join(errors.select("doc_id", "error"), "doc_id", "left")
+              .select("doc_id", "page_num", F.coalesce("rotation", F.lit(0)).alias("rotation"), "error"))
+    missing = errors.filter("unknown").select("doc_id", F.lit(None).cast("int").alias("page_num"), F.lit(0).alias("rotation"), "error")
+    return turned.unionByName(missing)
 
 
 def parse_ranges(text: Column, total: Column) -> Column:
     """Array of struct(part, label, first, last, valid) from ``1-3,5,7-9``."""
     def parse(part, index):
-        first = F.regexp_extract(part, r"^\s*([0-9]+)\s*(?:-\s*([0-9]+)\s*)?$", 1).try_cast("int")
-        last = F.regexp_extract(part, r"^\s*(?:[0-9]+\s*-\s*)?([0-9]+)\s*$", 1).try_cast("int")
+        first = F.regexp_extract(strip(part), r"(?U)^([0-9]+)\s*(?:-\s*([0-9]+))?\z", 1).try_cast("int")
+        last = F.regexp_extract(strip(part), r"(?U)^(?:[0-9]+\s*-\s*)?([0-9]+)\z", 1).try_cast("int")
         fits = (first >= 1) & (last <= total) & (first <= last)
-        return F.struct((index + 1).alias("part"), F.trim(part).alias("label"), first.alias("first"),
+        return F.struct((index + 1).alias("part"), strip(part).alias("label"), first.alias("first"),
                         last.alias("last"), F.coalesce(fits, F.lit(False)).alias("valid"))
 
     return F.transform(F.split(text, ","), parse)
 
 
 def plan_splits(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row per part of a split request. One bad part fails the whole
-    request, which then gives a single error row."""
-    parsed = (requests.select("doc_id", "ranges").join(page_totals(pages), "doc_id")
+    """One row per part of a split request. One bad part, or an unknown document,
+    fails the whole request, which then gives a single error row."""
+    parsed = (requests.select("request_id", "doc_id", "ranges").join(page_totals(pages), "doc_id", "left")
               .withColumn("parts", parse_ranges(F.col("ranges"), F.col("total_pages")))
               .withColumn("bad", F.try_element_at(F.filter("parts", lambda p: ~p["valid"]), F.lit(1))))
-    error = F.when(F.col("bad").isNotNull(),
+    error = F.when(F.col("total_pages").isNull(), "Unknown document").when(F.col("bad").isNotNull(),
                    F.format_string("Invalid range %s (total pages: %d)", F.col("bad.label"), F.col("total_pages")))
-    parts = F.when(F.col("bad").isNull(), F.col("parts"))
-    return (parsed.select("doc_id", "total_pages", error.alias("error"), F.explode_outer(parts).alias("p"))
-            .select("doc_id", "total_pages", "p.part", F.col("p.first").alias("first_page"),
+    parts = F.when(error.isNull(), F.col("parts"))
+    return (parsed.select("request_id", "doc_id", "total_pages", error.alias("error"), F.explode_outer(parts).alias("p"))
+            .select("request_id", "doc_id", "total_pages", "p.part", F.col("p.first").alias("first_page"),
                     F.col("p.last").alias("last_page"),
                     (F.col("p.last") - F.col("p.first") + 1).alias("page_count"), "error"))
 
@@ -108,10 +113,10 @@ def split_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages of each part. Ranges are unrolled to page numbers, so the join is on
     (document, page) rather than on bounds."""
     wanted = (plan_splits(requests, pages).filter(F.col("error").isNull())
-              .select("doc_id", "part", F.explode(F.sequence("first_page", "last_page")).alias("page_num"),
+              .select("request_id", "doc_id", "part", F.explode(F.sequence("first_page", "last_page")).alias("page_num"),
                       "first_page"))
     return (wanted.join(pages.select("doc_id", "page_num", "text"), ["doc_id", "page_num"])
-            .select("doc_id", "part", "page_num", (F.col("page_num") - F.col("first_page") + 1).alias("position"),
+            .select("request_id", "doc_id", "part", "page_num", (F.col("page_num") - F.col("first_page") + 1).alias("position"),
                     "text"))
 
 

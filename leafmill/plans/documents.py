@@ -29,7 +29,7 @@ def pages_with_text(q: Inputs):
     return ops.pages_with_text(q.view("doc_pages"))
 
 
-@query("count_pages", ["A11", "S2"], """
+@query("count_pages", ["A11"], """
     SELECT doc_id, split_part(string_split(path, '/')[-1], '?', 1) AS file_name, length AS file_size, page_count
     FROM files JOIN (SELECT doc_id, count(*) AS page_count FROM doc_pages GROUP BY doc_id) USING (doc_id)""")
 def count_pages(q: Inputs):
@@ -38,13 +38,14 @@ def count_pages(q: Inputs):
 
 @query("extract_page", ["F10"], """
     WITH t AS (SELECT doc_id, max(page_num) AS total_pages FROM doc_pages GROUP BY doc_id)
-    SELECT r.doc_id, r.page_number, t.total_pages, p.text, r.page_number <= t.total_pages AS ok,
-           CASE WHEN r.page_number > t.total_pages
+    SELECT r.request_id, r.doc_id, r.page_number, coalesce(t.total_pages, 0) AS total_pages, p.text,
+           coalesce(r.page_number <= t.total_pages, false) AS ok,
+           CASE WHEN t.total_pages IS NULL THEN 'Unknown document' WHEN r.page_number > t.total_pages
                 THEN format('Page {} out of range (1-{})', r.page_number, t.total_pages) END AS error
-    FROM page_requests r JOIN t USING (doc_id)
+    FROM page_requests r LEFT JOIN t ON r.doc_id = t.doc_id
     LEFT JOIN doc_pages p ON p.doc_id = r.doc_id AND p.page_num = r.page_number""")
 def extract_page(q: Inputs):
-    return ops.extract_page(q.view("doc_pages"), q.view("page_requests"))
+    return ops.extract_page(q.view("doc_pages"), q.view("page_requests")).fillna(0, ["total_pages"])
 
 
 @query("drop_blank_pages", ["F11"], """
@@ -56,42 +57,46 @@ def drop_blank_pages(q: Inputs):
 
 @query("rotate_pages", ["F14"], """
     WITH t AS (SELECT doc_id, max(page_num) AS total_pages FROM doc_pages GROUP BY doc_id),
-         c AS (SELECT r.*, CASE WHEN degrees = 45 THEN 'Invalid rotation 45'
-                                WHEN page_number > total_pages
-                                THEN format('Page {} out of range (1-{})', page_number, total_pages) END AS error
-               FROM page_requests r JOIN t USING (doc_id))
-    SELECT p.doc_id, p.page_num, CASE WHEN p.page_num = c.page_number AND error IS NULL
-                                      THEN (c.degrees + 360) % 360 ELSE 0 END AS rotation, c.error
-    FROM doc_pages p JOIN c USING (doc_id)""")
+         c AS (SELECT r.doc_id, page_number, degrees,
+                      CASE WHEN total_pages IS NULL THEN 'Unknown document' WHEN degrees = 45 THEN 'Invalid rotation 45'
+                           WHEN page_number > total_pages
+                           THEN format('Page {} out of range (1-{})', page_number, total_pages) END AS error
+               FROM page_requests r LEFT JOIN t ON r.doc_id = t.doc_id),
+         g AS (SELECT doc_id, page_number, (sum(degrees) % 360 + 360) % 360 AS turn FROM c WHERE error IS NULL GROUP BY ALL),
+         e AS (SELECT doc_id, min(error) AS error FROM c GROUP BY doc_id)
+    SELECT p.doc_id, p.page_num, coalesce(turn, 0)::INT AS rotation, error
+    FROM doc_pages p LEFT JOIN e ON p.doc_id = e.doc_id LEFT JOIN g ON p.doc_id = g.doc_id AND p.page_num = g.page_number
+    UNION ALL SELECT doc_id, 0, 0, error FROM e WHERE doc_id NOT IN (SELECT doc_id FROM t)""")
 def rotate_pages(q: Inputs):
-    return ops.rotate_pages(q.view("doc_pages"), q.view("page_requests"))
+    return ops.rotate_pages(q.view("doc_pages"), q.view("page_requests")).fillna(0, ["page_num"])
 
 
 _SPLITS = r"""
     WITH t AS (SELECT doc_id, max(page_num) AS total_pages FROM doc_pages GROUP BY doc_id),
-         x AS (SELECT doc_id, total_pages, trim(unnest(string_split(ranges, ','))) AS label,
-                      unnest(range(1, len(string_split(ranges, ',')) + 1)) AS part
-               FROM page_requests JOIN t USING (doc_id)),
+         q AS (SELECT r.request_id, r.doc_id, r.ranges, t.total_pages FROM page_requests r LEFT JOIN t ON r.doc_id = t.doc_id),
+         i AS (SELECT request_id, doc_id, total_pages, unnest(string_split(ranges, ',')) AS piece,
+                      unnest(range(1, len(string_split(ranges, ',')) + 1)) AS part FROM q),
+         x AS (SELECT *, <strip:piece> AS label FROM i),
          y AS (SELECT *, try_cast(split_part(label, '-', 1) AS INT) AS a,
                       try_cast(CASE WHEN contains(label, '-') THEN split_part(label, '-', 2) ELSE label END AS INT) AS b
                FROM x),
          z AS (SELECT *, coalesce(a >= 1 AND b <= total_pages AND a <= b, false) AS valid FROM y),
-         bad AS (SELECT doc_id, total_pages, arg_min(label, part) AS label FROM z WHERE NOT valid GROUP BY ALL),
-         good AS (SELECT * FROM z WHERE doc_id NOT IN (SELECT doc_id FROM bad))"""
+         bad AS (SELECT request_id, doc_id, total_pages, arg_min(label, part) AS label FROM z WHERE NOT valid GROUP BY ALL),
+         good AS (SELECT * FROM z WHERE request_id NOT IN (SELECT request_id FROM bad))"""
 
 
 @query("plan_splits", ["J7"], _SPLITS + """
-    SELECT doc_id, total_pages, part::INT AS part, a AS first_page, b AS last_page, b - a + 1 AS page_count,
+    SELECT request_id, doc_id, total_pages, part::INT AS part, a AS first_page, b AS last_page, b - a + 1 AS page_count,
            NULL AS error FROM good
-    UNION ALL SELECT doc_id, total_pages, 0, 0, 0, 0,
-           format('Invalid range {} (total pages: {})', label, total_pages) FROM bad""")
+    UNION ALL SELECT request_id, doc_id, coalesce(total_pages, 0), 0, 0, 0, 0, CASE WHEN total_pages IS NULL THEN 'Unknown document'
+           ELSE format('Invalid range {} (total pages: {})', label, total_pages) END FROM bad""")
 def plan_splits(q: Inputs):
     return ops.plan_splits(q.view("page_requests"), q.view("doc_pages")).fillna(
-        0, ["part", "first_page", "last_page", "page_count"])
+        0, ["total_pages", "part", "first_page", "last_page", "page_count"])
 
 
 @query("split_pages", ["J7"], _SPLITS + """
-    SELECT p.doc_id, part::INT AS part, p.page_num, p.page_num - a + 1 AS position, p.text
+    SELECT request_id, p.doc_id, part::INT AS part, p.page_num, p.page_num - a + 1 AS position, p.text
     FROM good JOIN doc_pages p ON p.doc_id = good.doc_id AND p.page_num BETWEEN a AND b""")
 def split_pages(q: Inputs):
     return ops.split_pages(q.view("page_requests"), q.view("doc_pages"))
@@ -140,20 +145,22 @@ def admit_uploads(q: Inputs):
     return ops.admit_uploads(q.view("files")).select("session_id", "doc_id", "file_name", "reason", "accepted")
 
 
-@query("page_numbers", ["P3"], r"""
-    WITH f AS (SELECT doc_id, page_num, lower(string_split(text, chr(10))[-1]) AS low FROM triage_pages),
-         m AS (SELECT doc_id, page_num, CASE
-             WHEN regexp_matches(low, 'page\s+\d+\s+of\s+\d+') THEN 'page\s+(\d+)\s+of\s+(\d+)'
-             WHEN regexp_matches(low, 'page\s+\d+\s*/\s*\d+') THEN 'page\s+(\d+)\s*/\s*(\d+)'
-             WHEN regexp_matches(low, '\d+\s+of\s+\d+') THEN '(\d+)\s+of\s+(\d+)'
-             ELSE '(\d+)\s*/\s*(\d+)' END AS pat, low FROM f)
-    SELECT doc_id, page_num, try_cast(regexp_extract(low, 'page\s+(\d+)\s+of\s+(\d+)', 1) AS INT) AS current,
-           try_cast(regexp_extract(low, 'page\s+(\d+)\s+of\s+(\d+)', 2) AS INT) AS total,
-           coalesce(try_cast(regexp_extract(low, 'page\s+(\d+)\s+of\s+(\d+)', 1) AS INT) = 1, false) AS is_page_one
-    FROM m""")
+_FOOTERS = [r"page\s+(\d+)\s+of\s+(\d+)", r"page\s+(\d+)\s*/\s*(\d+)", r"(\d+)\s+of\s+(\d+)", r"(\d+)\s*/\s*(\d+)"]
+
+
+def _footer(group: int) -> str:
+    arms = " ".join(f"WHEN regexp_matches(low, '{p}') THEN regexp_extract(low, '{p}', {group})" for p in _FOOTERS)
+    return f"try_cast(CASE {arms} END AS INT)"
+
+
+@query("page_numbers", ["P3"], f"""
+    WITH f AS (SELECT doc_id, page_num, lower(string_split(text, chr(10))[-1]) AS low FROM triage_pages)
+    SELECT doc_id, page_num, coalesce({_footer(1)}, 0) AS current, coalesce({_footer(2)}, 0) AS total,
+           coalesce({_footer(1)} = 1, false) AS is_page_one
+    FROM f""")
 def page_numbers(q: Inputs):
     return q.view("triage_pages").select("doc_id", "page_num", page_number(last_line("text")).alias("n")).select(
-        "doc_id", "page_num", "n.current", "n.total", "n.is_page_one")
+        "doc_id", "page_num", "n.current", "n.total", "n.is_page_one").fillna(0, ["current", "total"])
 
 
 SEARCH = r"tion[ ,.]"
@@ -174,17 +181,27 @@ def search_text(q: Inputs):
     return search.search_text(q.view("doc_pages"), SEARCH).drop("error")
 
 
-@query("search_text_udtf", ["Q3", "P7"], r"""
-    WITH g AS (SELECT doc_id, page_num, regexp_extract_all(text, '(?i)(?:tion)+') AS m,
+@query("search_zero_width", ["P7"], r"""
+    WITH g AS (SELECT doc_id, page_num, text, regexp_extract_all(text, '(?i)(?:tion)+') AS m,
                       string_split_regex(text, '(?i)(?:tion)+') AS gaps FROM chat_pages),
          e AS (SELECT doc_id, page_num, unnest(m) AS matched_text, unnest(gaps[1:len(m)]) AS gap,
                       unnest(range(1, len(m) + 1)) AS i FROM g)
     SELECT doc_id, page_num, matched_text, (sum(length(gap) + length(matched_text))
-           OVER (PARTITION BY doc_id, page_num ORDER BY i) - length(matched_text))::INT AS position FROM e""")
-def search_text_udtf(q: Inputs):
-    # This pattern also matches the empty string; the full matches are shown.
+           OVER (PARTITION BY doc_id, page_num ORDER BY i) - length(matched_text))::INT AS position FROM e
+    UNION ALL SELECT doc_id, page_num, '', 0 FROM chat_pages WHERE NOT regexp_matches(text, '^(?i)tion')""")
+def search_zero_width(q: Inputs):
+    # This pattern also matches the empty string; the full matches and those at the start are shown.
     found = search.search_text(q.view("chat_pages"), "(?:tion)*")
-    return found.filter("matched_text <> ''").drop("context", "error")
+    return found.filter("matched_text <> '' OR position = 0").drop("context", "error")
+
+
+@query("search_text_errors", ["P7"], r"""
+    SELECT 'tion[.]' AS pattern, count(*) AS row_count, NULL AS error
+    FROM (SELECT unnest(regexp_extract_all(text, '(?i)tion[.]')) FROM doc_pages)
+    UNION ALL SELECT '(open', 1, 'Invalid pattern: (open'""")
+def search_text_errors(q: Inputs):
+    parts = [search.search_text(q.view("doc_pages"), p).withColumn("pattern", F.lit(p)) for p in ("tion[.]", "(open")]
+    return parts[0].unionByName(parts[1]).groupBy("pattern").agg(F.count(F.lit(1)).alias("row_count"), F.max("error").alias("error"))
 
 
 @query("search_summary", ["A24"], r"""
@@ -227,10 +244,10 @@ def doc_url_counts(q: Inputs):
 
 
 _TABLES = r"""
-    WITH k AS (SELECT doc_id, page_num, line_no, trim(text) AS row,
-                      len(string_split_regex(trim(text), '\s{2,}|\t')) AS columns FROM table_pages
-               WHERE regexp_matches(trim(text), '\s{2,}|\t')
-                  OR (len(regexp_extract_all(text, '\d+')) >= 2 AND regexp_matches(text, '[|,;]'))),
+    WITH s AS (SELECT doc_id, page_num, line_no, <strip:text> AS row FROM table_pages),
+         k AS (SELECT *, len(string_split_regex(row, '\s{2,}|\t')) AS columns FROM s
+               WHERE regexp_matches(row, '\s{2,}|\t')
+                  OR (len(regexp_extract_all(row, '\d+')) >= 2 AND regexp_matches(row, '[|,;]'))),
          b AS (SELECT *, CASE WHEN abs(columns - lag(columns) OVER w) <= 1 THEN 0 ELSE 1 END AS brk FROM k
                WINDOW w AS (PARTITION BY doc_id, page_num ORDER BY line_no)),
          r AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id, page_num ORDER BY line_no) AS run FROM b),

@@ -88,7 +88,7 @@ def signature_summary(q: Inputs):
     return ops.signature_summary(q.view("form_fields"))
 
 
-@query("session_summary", ["A26", "S5"], """
+@query("session_summary", ["A26"], """
     SELECT session_id, count(*) AS total_analyzed, count(*) FILTER (success) AS succeeded,
            count(*) FILTER (NOT success) AS failed, min(error) AS first_error FROM session_results GROUP BY session_id""")
 def session_summary(q: Inputs):

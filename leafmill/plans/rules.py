@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from leafmill.functions import finance, normalize, parse, validate
-from leafmill.functions.common import rule_summary
+from leafmill.functions.common import count_true, rule_summary, strip
 from leafmill.functions.sql_rules import register_sql_rules
 from leafmill.operators import addresses, finance as books
 from leafmill.registry import Inputs, query
@@ -75,12 +75,6 @@ def _address_pairs(q: Inputs):
     return addresses.address_pairs(contacts.select("id", "address"), contacts.select("id", "seen_address"), "id")
 
 
-@query("address_similarity", ["N5", "J8", "Q2"])
-def address_similarity(q: Inputs):
-    return addresses.address_similarity(_address_pairs(q), "address", "seen_address").select(
-        "id", "key_a", "key_b", "similarity_percent", "is_match", "is_likely_match")
-
-
 @query("address_edit_similarity", ["N5", "J8"], f"""
     WITH k AS (SELECT id, {_key_oracle('address')} AS key_a, {_key_oracle('seen_address')} AS key_b FROM contacts),
          p AS (SELECT *, round((1 - levenshtein(key_a, key_b) / greatest(length(key_a), length(key_b))::DOUBLE)
@@ -102,7 +96,8 @@ def address_duplicates(q: Inputs):
 # Parsing.
 
 _CURRENCY = r"""
-    WITH a AS (SELECT *, trim(regexp_replace(trim(amount_string), '[$€£¥CADcad]', '', 'g')) AS t FROM amount_texts),
+    WITH z AS (SELECT *, regexp_replace(<strip:amount_string>, '[$€£¥CADcad]', '', 'g') AS raw FROM amount_texts),
+         a AS (SELECT *, <strip:raw> AS t FROM z),
          b AS (SELECT id, batch, amount_string, starts_with(t, '(') AND suffix(t, ')') AS neg,
                       replace(CASE WHEN starts_with(t, '(') AND suffix(t, ')') THEN t[2:-2] ELSE t END, ' ', '') AS t FROM a),
          c AS (SELECT *, len(string_split(t, '.')) - 1 AS dots, len(string_split(t, ',')) - 1 AS commas,
@@ -165,7 +160,7 @@ def validate_sin(q: Inputs):
 
 
 @query("validate_postal_code", ["V2"], r"""
-    WITH c AS (SELECT id, upper(trim(postal)) AS cleaned FROM contacts),
+    WITH c AS (SELECT id, upper(<strip:postal>) AS cleaned FROM contacts),
          v AS (SELECT *, CASE WHEN regexp_matches(cleaned, '^[A-Z]\d[A-Z]\s?\d[A-Z]\d$') THEN 'CA'
                               WHEN regexp_matches(cleaned, '^\d{5}(-\d{4})?$') THEN 'US' ELSE 'UNKNOWN' END AS country FROM c)
     SELECT id, cleaned, CASE country WHEN 'CA' THEN concat(cleaned[1:3], ' ', right(cleaned, 3))
@@ -187,7 +182,7 @@ def validate_phone(q: Inputs):
 
 
 @query("validate_email", ["V4"], r"""
-    WITH c AS (SELECT id, lower(trim(email)) AS normalized FROM contacts),
+    WITH c AS (SELECT id, lower(<strip:email>) AS normalized FROM contacts),
          v AS (SELECT *, regexp_matches(normalized, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$') AS is_valid FROM c)
     SELECT id, normalized, CASE WHEN is_valid THEN split_part(normalized, '@', 1) END AS local_part,
            CASE WHEN is_valid THEN split_part(normalized, '@', 2) END AS domain,
@@ -197,13 +192,25 @@ def validate_email(q: Inputs):
 
 
 @query("contact_summary", ["V1", "V2", "V3", "V4"], r"""
-    WITH c AS (SELECT regexp_matches(lower(trim(email)), '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$') AS ok,
-                      upper(trim(postal)) LIKE 'K%' AS k FROM contacts)
-    SELECT k AS in_k, count(*) AS row_count, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid,
-           round(avg(ok::INT), 4) AS valid_share FROM c GROUP BY k""")
+    WITH c AS (SELECT upper(<strip:postal>) AS code, lower(<strip:email>) AS mail, regexp_replace(phone, '\D', '', 'g') AS digits,
+                      regexp_replace(sin, '[\s\-]', '', 'g') AS nine FROM contacts),
+         v AS (SELECT coalesce(code LIKE 'K%', false) AS in_k,
+                      regexp_full_match(nine, '[1-79]\d{8}') AND list_sum(list_transform(range(1, 10), lambda i:
+                          CASE WHEN i % 2 = 0 THEN [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][try_cast(nine[i] AS INT) + 1] ELSE try_cast(nine[i] AS INT) END)) % 10 = 0 AS sin_ok,
+                      regexp_full_match(code, '[A-Z]\d[A-Z]\s?\d[A-Z]\d|\d{5}(-\d{4})?') AS postal_ok,
+                      regexp_full_match(digits, '1?[2-9]\d\d[2-9]\d\d\d{4}') AS phone_ok,
+                      regexp_full_match(mail, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}') AS email_ok FROM c)
+    SELECT in_k, count(*) AS row_count, count(*) FILTER (sin_ok) AS valid_sins, count(*) FILTER (postal_ok) AS valid_postal_codes,
+           count(*) FILTER (phone_ok) AS valid_phones, count(*) FILTER (email_ok) AS valid_emails,
+           count(*) FILTER (sin_ok AND postal_ok AND phone_ok AND email_ok) AS all_valid FROM v GROUP BY in_k""")
 def contact_summary(q: Inputs):
-    rows = q.view("contacts").withColumn("in_k", F.upper(F.trim("postal")).startswith("K"))
-    return rule_summary(rows.withColumn("ok", validate.validate_email("email")["is_valid"]), "ok", "in_k")
+    rules = {"valid_sins": validate.validate_sin("sin"), "valid_postal_codes": validate.validate_postal_code("postal"),
+             "valid_phones": validate.validate_phone("phone"), "valid_emails": validate.validate_email("email")}
+    rows = q.view("contacts").select(F.coalesce(F.upper(strip("postal")).startswith("K"), F.lit(False)).alias("in_k"),
+                                     *[rule["is_valid"].alias(name) for name, rule in rules.items()])
+    every = F.col("valid_sins") & F.col("valid_postal_codes") & F.col("valid_phones") & F.col("valid_emails")
+    return rows.groupBy("in_k").agg(F.count(F.lit(1)).alias("row_count"), *[count_true(F.col(name)).alias(name) for name in rules],
+                                    count_true(every).alias("all_valid"))
 
 
 @query("validate_date_range", ["V5"], """
@@ -231,12 +238,12 @@ def validate_date_range(q: Inputs):
 
 # Financial.
 
-_PERIODS = "CASE lower(trim(period)) WHEN 'weekly' THEN 52 WHEN 'biweekly' THEN 26 WHEN 'semi-monthly' THEN 24 " \
+_PERIODS = "CASE lower(<strip:period>) WHEN 'weekly' THEN 52 WHEN 'biweekly' THEN 26 WHEN 'semi-monthly' THEN 24 " \
            "WHEN 'monthly' THEN 12 WHEN 'quarterly' THEN 4 WHEN 'annual' THEN 1 END"
 
 
 @query("annual_income", ["M1"], f"""
-    SELECT applicant, lower(trim(period)) AS period, coalesce({_PERIODS}, 0)::INT AS periods_per_year,
+    SELECT applicant, lower(<strip:period>) AS period, coalesce({_PERIODS}, 0)::INT AS periods_per_year,
            amount * {_PERIODS} AS annual_income, amount * {_PERIODS} / 12 AS monthly_income,
            amount * {_PERIODS} / 52 AS weekly_income,
            CASE WHEN {_PERIODS} IS NULL THEN concat('Unknown pay period: ', period) END AS error FROM pay""")

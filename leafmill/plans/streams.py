@@ -10,7 +10,7 @@ from leafmill.streaming import sessions
 _STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
 
 
-@query("tool_metrics", ["X1", "S6"], f"""
+@query("tool_metrics", ["X1"], f"""
     SELECT strftime(time_bucket(INTERVAL 1 HOUR, created_at), {_STAMP}) AS window_start, tool_class,
            count(*) AS calls, count(*) FILTER (success) AS successes, round(avg(execution_time_ms), 4) AS avg_ms
     FROM tool_executions GROUP BY 1, tool_class""")

@@ -78,8 +78,16 @@ def oracle_texts() -> dict[str, str]:
     return {name: full_oracle(item.oracle) for name, item in load_all().items() if item.oracle}
 
 
+def stripped(text: str) -> str:
+    """DuckDB text without white space of any Unicode kind at its edges."""
+    blank = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    return f"regexp_replace({text}, '^{blank}+|{blank}+$', '', 'g')"
+
+
 def full_oracle(sql: str) -> str:
-    """Prefix the derived views that ``sql`` mentions as common table expressions."""
+    """Prefix the derived views that ``sql`` mentions as common table expressions;
+    ``<strip:x>`` stands for ``stripped("x")``."""
+    sql = re.sub(r"<strip:(\w+)>", lambda m: stripped(m[1]), sql)
     words = set(re.findall(r"\b[a-z_0-9]+\b", sql))
     ctes = duckdb_ctes([name for name in VIEWS if name in words])
     body = sql.strip()

@@ -7,19 +7,15 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+#: Folders that session results are spread over.
+SESSION_FOLDERS = 256
+
+
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One parquet table of a data directory; filters and columns reach the scan."""
     return spark.read.parquet(os.path.join(path, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than the session has cores, dealt out to all cores.
-    Large inputs have more splits than cores and are left as they are. Only for
-    bare scans: their split count is known without running anything."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int,
               parts: int, **options: str) -> DataFrame:
     """A relational table read in ``parts`` key ranges, so no single task pulls it all."""
@@ -44,10 +40,18 @@ def object_name(url: str | Column) -> Column:
 
 
 def write_session_results(results: DataFrame, path: str) -> None:
-    """JSON lines in one folder per session. Rows are rebalanced by session, so a
-    session makes one file unless it is too large for one task."""
-    (results.hint("rebalance", "session_id")
-     .write.mode("append").partitionBy("session_id").json(path))
+    """JSON lines in a fixed number of folders that sessions are hashed to; the session
+    stays a field. Rows are rebalanced by folder, so a folder gets one file per append
+    unless it is too large for one task."""
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(SESSION_FOLDERS))
+    (results.withColumn("bucket", bucket).hint("rebalance", "bucket")
+     .write.mode("append").partitionBy("bucket").json(path))
+
+
+def read_session(spark: SparkSession, path: str, session_id: str) -> DataFrame:
+    """The results of one session, from its folder alone."""
+    bucket = F.pmod(F.xxhash64(F.lit(session_id)), F.lit(SESSION_FOLDERS))
+    return spark.read.json(path).filter((F.col("bucket") == bucket) & (F.col("session_id") == session_id)).drop("bucket")
 
 
 def append_executions(runs: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.sources.tables import read_table, spread
+from leafmill.sources.tables import read_table
 
 RAW = ("region nation customer supplier part orders lineitem events documents "
        "embeddings pages benchmark labels conversations").split()
@@ -201,7 +201,10 @@ VIEWS: dict[str, str | dict[str, str]] = {
     "triage_pages": f"""
         SELECT doc_id, page_num,
                concat({_case(f"(doc_id * 7 + page_num) % {len(PAGE_HEADERS)}", PAGE_HEADERS)},
-                      chr(10), text, chr(10), 'Page ', page_num, ' of ', 1 + doc_id % 9) AS text
+                      chr(10), text, chr(10),
+                      CASE (doc_id + page_num) % 5 WHEN 0 THEN concat('page ', page_num, ' / ', 1 + doc_id % 9)
+                           WHEN 1 THEN concat(page_num, ' of ', 1 + doc_id % 9) WHEN 2 THEN concat('- ', page_num, '/', 1 + doc_id % 9)
+                           WHEN 3 THEN 'continued' ELSE concat('Page ', page_num, ' of ', 1 + doc_id % 9) END) AS text
         FROM {{doc_pages}}""",
     "table_pages": """
         SELECT user_id AS doc_id, cast(floor(day(ts) / 10.0e0) AS INT) + 1 AS page_num,
@@ -210,7 +213,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
                  WHEN 'click' THEN concat(event_id, '  ', cast(floor(value) AS INT), '  ', user_id)
                  WHEN 'view' THEN concat('item ', event_id, ', qty ', cast(floor(value) AS INT))
                  WHEN 'purchase' THEN concat(event_id, '  ', user_id, '  a  b  ', cast(floor(value) AS INT))
-                 WHEN 'signup' THEN 'plain words only'
+                 WHEN 'signup' THEN concat(chr(9), 'plain words only ', chr(13))
                  ELSE concat('  total  ', cast(floor(value) AS INT), ' ') END AS text
         FROM {events}""",
     "files": """
@@ -226,13 +229,17 @@ VIEWS: dict[str, str | dict[str, str]] = {
         SELECT o_custkey AS merge_id, cast(o_orderkey AS INT) AS file_no,
                cast(1 + o_orderkey % 4 AS INT) AS page_count, cast(floor(o_totalprice) AS BIGINT) AS file_size
         FROM {orders}""",
+    # One request per document, a second one for some, and some for documents that are not there.
     "page_requests": """
-        SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '1-2' WHEN 2 THEN '1-1, 2 ,1'
-                       WHEN 3 THEN '2-1' WHEN 4 THEN '0-1' ELSE '1,x' END AS ranges,
+        SELECT doc_id * 10 AS request_id, doc_id,
+               CASE doc_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '1-2' WHEN 2 THEN concat('1-1,', chr(9), '2 ,1')
+                    WHEN 3 THEN '2-1' WHEN 4 THEN '0-1' ELSE '1,x' END AS ranges,
                cast(1 + doc_id % 3 AS INT) AS page_number,
                CASE doc_id % 5 WHEN 0 THEN 45 WHEN 1 THEN 90 WHEN 2 THEN -90
                     WHEN 3 THEN 180 ELSE -270 END AS degrees
-        FROM {documents}""",
+        FROM {documents}
+        UNION ALL SELECT doc_id * 10 + 1, doc_id, '1', cast(1 + doc_id % 2 AS INT), 90 FROM {documents} WHERE doc_id % 7 = 0
+        UNION ALL SELECT doc_id * 10 + 2, -1 - doc_id, '1', 1, 90 FROM {documents} WHERE doc_id % 11 = 0""",
     # Contacts, money, dates.
     "contacts": """
         SELECT c_custkey AS id,
@@ -259,11 +266,11 @@ VIEWS: dict[str, str | dict[str, str]] = {
                concat(100 + c_custkey % 900, CASE WHEN c_custkey % 2 = 0 THEN '-' ELSE ' ' END,
                       100 + (c_custkey * 7) % 900, ' ', 100 + (c_custkey * 13) % 900) AS sin,
                CASE c_custkey % 6 WHEN 0 THEN concat('k', c_custkey % 10, 'a', c_custkey % 7, 'b1')
-                    WHEN 1 THEN concat(' H', c_custkey % 10, 'Z 2', 'Y', c_custkey % 10, ' ')
+                    WHEN 1 THEN concat(chr(9), ' H', c_custkey % 10, 'Z 2', 'Y', c_custkey % 10, chr(10))
                     WHEN 2 THEN lpad(cast(c_custkey % 100000 AS STRING), 5, '0')
                     WHEN 3 THEN concat(lpad(cast(c_custkey % 100000 AS STRING), 5, '0'), '-1234')
                     WHEN 4 THEN '1234' ELSE 'K1AA0B1' END AS postal,
-               CASE c_custkey % 5 WHEN 0 THEN concat(' ', c_name, '@Example.COM ')
+               CASE c_custkey % 5 WHEN 0 THEN concat(chr(160), c_name, '@Example.COM ', chr(13), chr(10))
                     WHEN 1 THEN concat('user.', c_custkey, '@mail.example.org')
                     WHEN 2 THEN concat('user', c_custkey, '@nodot')
                     WHEN 3 THEN concat('a@b@c', c_custkey, '.com') ELSE 'no-at-sign.com' END AS email
@@ -278,7 +285,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
             WHEN 5 THEN concat('1,', r, ',', r)
             WHEN 6 THEN concat('USD ', r)
             WHEN 7 THEN concat(k, r, '.', c)
-            ELSE concat('  -', k, r, ' ') END AS amount_string
+            ELSE concat(chr(9), ' -', k, r, chr(160), chr(10)) END AS amount_string
         FROM (SELECT o_orderkey, o_orderstatus, cast(floor(cents / 100000.0e0) AS BIGINT) AS k,
                      lpad(cast(cast(floor(cents / 100.0e0) AS BIGINT) % 1000 AS STRING), 3, '0') AS r,
                      lpad(cast(cents % 100 AS STRING), 2, '0') AS c
@@ -310,7 +317,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
         FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey""",
     "pay": """
         SELECT c_custkey AS applicant, c_acctbal AS amount,
-               CASE c_custkey % 7 WHEN 0 THEN ' Weekly' WHEN 1 THEN 'biweekly' WHEN 2 THEN 'SEMI-MONTHLY '
+               CASE c_custkey % 7 WHEN 0 THEN concat(chr(9), ' Weekly') WHEN 1 THEN 'biweekly' WHEN 2 THEN concat('SEMI-MONTHLY', chr(13), chr(10))
                     WHEN 3 THEN 'monthly' WHEN 4 THEN 'quarterly' WHEN 5 THEN 'annual'
                     ELSE 'daily' END AS period
         FROM {customer}""",
@@ -415,7 +422,7 @@ def spark_view(spark: SparkSession, path: str, name: str, opened: dict[str, Data
     opened = {} if opened is None else opened
     if name not in opened:
         if name in RAW:
-            opened[name] = spread(read_table(spark, path, name))
+            opened[name] = read_table(spark, path, name)
         else:
             sql = _text(name, "spark")
             inputs = {dep: spark_view(spark, path, dep, opened) for dep in _names(sql)}

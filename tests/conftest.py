@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,9 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
+    scratch = tempfile.mkdtemp(prefix="spark-")
     session = build_session("tests", "local[8]", **{
+        "spark.checkpoint.dir": f"file://{scratch}/shared", "spark.sql.warehouse.dir": f"file://{scratch}/warehouse",
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")

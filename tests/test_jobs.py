@@ -31,7 +31,7 @@ def test_text_and_page_stats(stack):
 
 
 def test_split_then_merge_is_identity(spark, stack):
-    whole = spark.createDataFrame([(1, "1-3")], "doc_id bigint, ranges string")
+    whole = spark.createDataFrame([(5, 1, "1-3")], "request_id bigint, doc_id bigint, ranges string")
     parts = pages.split_pages(whole, stack)
     assert _rows(parts, "position", "text") == [(1, "Page one text"), (2, ""), (3, "more\ntext here")]
     merged = pages.merge_pages(spark.createDataFrame([(9, 1, 3, 10), (9, 2, 1, 4)],
@@ -41,16 +41,20 @@ def test_split_then_merge_is_identity(spark, stack):
 
 def test_bad_range_fails_the_whole_request(spark, stack):
     for text in ("1,4", "2-1", "0-1", "1,x", "1-2-3", "-1", ""):
-        plan = pages.plan_splits(spark.createDataFrame([(1, text)], "doc_id bigint, ranges string"), stack).collect()
+        plan = pages.plan_splits(spark.createDataFrame([(5, 1, text)], "request_id bigint, doc_id bigint, ranges string"), stack).collect()
         assert len(plan) == 1 and plan[0].error and plan[0].part is None, text
 
 
 def test_page_requests(spark, stack):
-    wanted = spark.createDataFrame([(1, 3, 90), (2, 2, 45)], "doc_id bigint, page_number int, degrees int")
-    assert _rows(pages.extract_page(stack, wanted), "doc_id", "text", "error") == [
-        (1, "more\ntext here", None), (2, None, "Page 2 out of range (1-1)")]
+    wanted = spark.createDataFrame([(1, 1, 3, 90), (2, 2, 2, 45), (3, 1, 3, 180), (4, 7, 1, 90)], "request_id bigint, doc_id bigint, page_number int, degrees int")
+    assert _rows(pages.extract_page(stack, wanted), "request_id", "doc_id", "text", "error") == [
+        (1, 1, "more\ntext here", None), (2, 2, None, "Page 2 out of range (1-1)"), (3, 1, "more\ntext here", None),
+        (4, 7, None, "Unknown document")]
     turned = pages.rotate_pages(stack, wanted)
-    assert _rows(turned, "doc_id", "page_num", "rotation") == [(1, 1, 0), (1, 2, 0), (1, 3, 90), (2, 1, 0)]
+    assert {(r.doc_id, r.page_num, r.rotation, r.error) for r in turned.collect()} == {
+        (1, 1, 0, None), (1, 2, 0, None), (1, 3, 270, None), (2, 1, 0, "Invalid rotation 45"), (7, None, 0, "Unknown document")}
+    plan = pages.plan_splits(wanted.withColumn("ranges", F.lit("1")), stack)
+    assert _rows(plan.filter("error IS NOT NULL"), "request_id", "error") == [(4, "Unknown document")]
 
 
 def test_search_positions_match_re(spark, stack):
@@ -64,7 +68,42 @@ def test_search_positions_match_re(spark, stack):
             if hits:
                 want[row.doc_id, row.page_num] = hits
         assert {k: sorted(v) for k, v in got.items()} == want, pattern
-    assert search.search_text(stack, "(").first().error.startswith("Invalid regex")
+    assert search.search_text(stack, "(").first().error.startswith("Invalid pattern")
+    assert search.search_text(stack, "(?<x>e)").count() == 7 and search.search_text(stack, "(?P<x>e)").first().error
+
+
+def test_prose_with_odd_white_space_is_no_table(spark):
+    lines = spark.createDataFrame([(1, 1, i, t) for i, t in enumerate(["a line \r", "\tanother one", "third line\u00a0 "])], "doc_id bigint, page_num int, line_no int, text string")
+    assert search.table_rows(lines).count() == 0
+
+
+def test_table_numbers_do_not_depend_on_blocks(spark):
+    rng = random.Random(8)
+    lines = [(rng.choice([1, None]), 1, i, "  ".join("x" for _ in range(rng.choice([2, 2, 3, 5, 9])))) for i in range(300)]
+    frame = spark.createDataFrame(lines, "doc_id bigint, page_num int, line_no int, text string")
+    plain = {}
+    for doc in (1, None):
+        runs, before = [], None
+        for d, _, no, text in lines:
+            if d == doc:
+                columns = len(text.split("  "))
+                if before is None or abs(columns - before) > 1:
+                    runs.append([])
+                runs[-1].append(no)
+                before = columns
+        for number, run in enumerate((r for r in runs if len(r) > 1), 1):
+            plain |= {(doc, no): (number, len(run)) for no in run}
+    for size in (1, 2, 3, 50, 1000):
+        got = search.table_blocks(frame, F.floor(F.col("line_no") / size)).collect()
+        want = {(d, n, c) for (d, _), (n, c) in plain.items()}
+        assert {(r.doc_id, r.table_number, r.row_count) for r in got} == want
+    assert {(r.doc_id, r.line_no): (r.table_number, r.row_count) for r in search.table_rows(frame, F.floor(F.col("line_no") / 7)).collect() if r.doc_id} == {k: v for k, v in plain.items() if k[0]}
+
+
+def test_many_matches_cost_in_proportion(spark):
+    text = "ab" * 20_000
+    rows = search.search_text(spark.createDataFrame([(1, 1, text)], "doc_id bigint, page_num int, text string"), "a").select("position").collect()
+    assert [r.position for r in rows] == list(range(0, 40_000, 2))
 
 
 def test_document_boundaries(spark):
@@ -216,12 +255,25 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "in" / "b.txt").write_bytes(b"1")
     found = tables.scan_objects(spark, str(tmp_path / "in"), "*.pdf")
     assert _rows(found, "name", "length") == [("a.pdf", 5)]
-    sessions = spark.createDataFrame([("s1", 1), ("s1", 2), ("s2", 3)], "session_id string, file_id int")
+    sessions = spark.createDataFrame([(f"s{i % 40}", i) for i in range(200)], "session_id string, file_id long")
     tables.write_session_results(sessions, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 3
-    runs = spark.createDataFrame([(1,)], "id int").withColumn("created_at", F.expr("TIMESTAMP'2024-01-02 03:04:05'"))
+    assert _rows(spark.read.json(str(tmp_path / "out")), "file_id", "session_id") == _rows(sessions, "file_id", "session_id")
+    assert _rows(tables.read_session(spark, str(tmp_path / "out"), "s7"), "file_id") == [(i,) for i in range(7, 200, 40)]
+    runs = spark.createDataFrame([(i,) for i in range(20)], "id int").withColumn(
+        "created_at", F.expr("TIMESTAMP'2024-01-02 03:04:05' + make_interval(0, 0, 0, id % 3)"))
     for _ in range(2):
         tables.append_executions(runs, str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).filter("day = DATE'2024-01-02'").count() == 2
+    back = spark.read.parquet(str(tmp_path / "log"))
+    assert _rows(back, "id", "created_at") == sorted(_rows(runs, "id", "created_at") * 2)
+    assert _rows(back.filter("day = DATE'2024-01-03'").distinct(), "id") == [(i,) for i in range(1, 20, 3)]
     tables.write_lines(sessions, "session_id", str(tmp_path / "lines"))
     assert spark.read.text(str(tmp_path / "lines")).count() == 3
+    assert _rows(spark.read.text(str(tmp_path / "lines")), "value") == _rows(sessions, "session_id")
+
+
+def test_jdbc_reads_every_row_in_ranges(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.range(50).select("id", F.concat(F.lit("n"), "id").alias("name"))
+    rows.write.jdbc(url, "things", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    back = tables.read_jdbc(spark, url, "things", "id", 0, 50, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert back.rdd.getNumPartitions() == 4 and _rows(back, "id", "name") == _rows(rows, "id", "name")

@@ -1,13 +1,17 @@
 """Shape of the physical plans: what must not appear at scale."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill import registry
+from leafmill.functions.imaging import bar_pattern
 from leafmill.plans.ordered import Ordered, number_rows
 from leafmill.registry import Inputs
+from leafmill.sources.tables import read_table
+from leafmill.sources.views import RAW
 
 QUERIES = registry.load_all()
 # One-row results: their last step is one row per task by design.
@@ -26,10 +30,39 @@ def test_no_product_joins_and_no_single_partition(name, spark, data_dir):
         assert "Exchange SinglePartition" not in plan
 
 
-def test_only_the_score_and_the_generator_leave_the_jvm(spark, data_dir):
-    python = {name for name, item in QUERIES.items()
-              if re.search("Python|InPandas", _plan(item.build(Inputs(spark, data_dir))))}
-    assert python == {"address_similarity", "search_text_udtf"}
+def test_no_query_leaves_the_jvm(spark, data_dir):
+    assert not [name for name, item in QUERIES.items() if re.search("Python|InPandas|Arrow", _plan(item.build(Inputs(spark, data_dir))))]
+
+
+def test_building_a_query_runs_no_job(spark, data_dir):
+    tracker = spark.sparkContext.statusTracker()
+    # Schemas of the tables are read by jobs of their own; they are read here once.
+    for table in RAW:
+        read_table(spark, data_dir, table).schema
+    for name, item in QUERIES.items():
+        inputs = Inputs(spark, data_dir)
+        inputs._opened.update({table: read_table(spark, data_dir, table) for table in RAW})
+        inputs.table = inputs._opened.__getitem__
+        spark.sparkContext.setJobGroup("building", name)
+        item.build(inputs)
+        assert not tracker.getJobIdsForGroup("building"), name
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_request_matching_scans_each_input_twice(spark, data_dir):
+    plan = _plan(QUERIES["match_requests_fifo"].build(Inputs(spark, data_dir)))
+    assert plan.count("Scan parquet") + plan.count("FileScan") <= 4 and plan.count("Join") == 1
+
+
+def test_pixel_rules_are_linear(spark):
+    """Sixteen times the pixels may take about sixteen times as long, not 256 times."""
+    def seconds(side):
+        image = spark.range(4).select(F.transform(F.sequence(F.lit(1), F.lit(side * side)), lambda i: ((i * 37) % 256).cast("int")).alias("gray"))
+        started = time.perf_counter()
+        image.select(bar_pattern(F.col("gray"), F.lit(side), F.lit(side)).alias("b")).collect()
+        return time.perf_counter() - started
+    seconds(16)
+    assert seconds(256) < 40 * max(0.2, seconds(64))
 
 
 def test_filters_and_columns_reach_the_scan(spark, data_dir):

@@ -1,6 +1,5 @@
 """Golden values of the column rules."""
 
-import difflib
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -100,20 +99,16 @@ def test_normalize(one):
     assert one(normalize.split_full_name("s"), s="  ")["error"] == "Empty name"
 
 
-def test_block_match_ratio(one):
-    ratio = one(normalize.block_match_ratio("a", "b"),
-                a="123 RUE DE L EGLISE MONTREAL", b="123 RUE EGLISE MONTREAL")
-    assert ratio == pytest.approx(0.90196, abs=1e-5)
-
-
-def test_address_similarity_against_difflib(spark, data_dir):
-    from leafmill import registry
-    rows = registry.callables()["address_similarity"](spark, data_dir).collect()
-    assert rows
-    for row in rows:
-        ratio = difflib.SequenceMatcher(None, row.key_a, row.key_b).ratio()
-        assert row.similarity_percent == pytest.approx(round(ratio * 100, 1), abs=0.11)
-        assert row.is_match == (row.similarity_percent >= 80)
+def test_white_space_of_any_kind_is_stripped(one):
+    for edge in ("\t", "\r\n", "\u00a0", "\u2003", "\x1f", " \u3000 "):
+        assert one(parse.parse_currency("s"), s=f"{edge}12.00{edge}") == 12.0
+        assert one(parse.parse_date("s"), s=f"{edge}2024-01-31{edge}")["iso_format"] == "2024-01-31"
+        assert one(finance.annual_income("a", "s"), a=10.0, s=f"weekly{edge}")["annual_income"] == 520.0
+        found = one(validate.validate_email("s"), s=f"{edge}A@b.co{edge}")
+        assert (found["is_valid"], found["domain"], found["tld"]) == (True, "b.co", "co")
+        assert one(validate.validate_postal_code("s"), s=f"{edge}k1a 0b1{edge}")["formatted"] == "K1A 0B1"
+    assert not one(validate.validate_email("s"), s="a@b.co\nx@y.zz")["is_valid"]
+    assert one(parse.parse_currency("s"), s="1\u00a02") is None
 
 
 @settings(max_examples=5, deadline=None)
