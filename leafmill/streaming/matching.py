@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUTPUT = "seq BIGINT, url STRING, completion_seq BIGINT, status STRING, response_status INT"
-STATE = "seqs ARRAY<BIGINT>, times ARRAY<BIGINT>"
+from leafmill.streaming.ordered import in_order
+
+OUTPUT = "seq BIGINT, completion_seq BIGINT, status STRING, response_status INT"
 
 
 def request_events(requests: DataFrame, completions: DataFrame, key: str = "url") -> DataFrame:
@@ -21,42 +18,41 @@ def request_events(requests: DataFrame, completions: DataFrame, key: str = "url"
     return opened.unionByName(closed)
 
 
+def _pop(memory: dict) -> list:
+    """The oldest open request. The list is cut only when half of it is used up."""
+    item = memory["open"][memory["first"]]
+    memory["first"] += 1
+    if 2 * memory["first"] >= len(memory["open"]):
+        memory["open"], memory["first"] = memory["open"][memory["first"]:], 0
+    if not memory["open"]:
+        memory.clear()
+    return item
+
+
 def stream_match_requests(requests: DataFrame, completions: DataFrame, ttl_seconds: int = 3600,
                           delay: str = "10 minutes", key: str = "url") -> DataFrame:
-    """Matched requests as they close; requests open longer than the ttl come out
-    as ``pending``. State per URL is the queue of open requests, which the ttl
-    bounds. The queue of one URL lives in one task: where a single URL carries much
-    of the traffic, name a request id as ``key``, which spreads it.
+    """Matched requests as they close, in time order even if they arrive out of it;
+    requests open longer than the ttl come out as ``pending`` and match nothing later.
+
+    State per URL is the queue of open requests, which the ttl bounds, and the events
+    younger than the watermark. The queue of one URL lives in one task: where a single
+    URL carries much of the traffic, name a request id as ``key``, which spreads it.
     """
-    ttl_ms = ttl_seconds * 1000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, times = (list(part) for part in state.get) if state.exists else ([], [])
-        out: list[tuple] = []
-        if state.hasTimedOut:
-            limit = state.getCurrentWatermarkMs() - ttl_ms
-            while times and times[0] <= limit:
-                out.append((seqs.pop(0), key[0], None, "pending", None))
-                times.pop(0)
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-            for row in rows.itertuples(index=False):
-                if row.done == 0:
-                    seqs.append(int(row.seq))
-                    times.append(int(row.ts.timestamp() * 1000))
-                elif seqs:
-                    status = "failed" if row.kind == "failed" else "completed"
-                    code = None if pd.isna(row.code) else int(row.code)
-                    out.append((seqs.pop(0), key[0], int(row.seq), status, code))
-                    times.pop(0)
-        if seqs:
-            state.update((seqs, times))
-            state.setTimeoutTimestamp(max(times[0] + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["seq", "url", "completion_seq", "status", "response_status"]).astype(
-            {"seq": "int64", "completion_seq": "Int64", "response_status": "Int32"})
+    ttl = ttl_seconds * 1000
+
+    def expire(memory: dict, now: int, out: list) -> int | None:
+        while memory.get("open") and memory["open"][memory["first"]][1] <= now - ttl:
+            out.append({"seq": _pop(memory)[0], "status": "pending"})
+        return memory["open"][memory["first"]][1] + ttl if memory.get("open") else None
+
+    def handle(memory: dict, event: dict, out: list) -> None:
+        if event["done"] == 0:
+            memory.setdefault("first", 0)
+            memory.setdefault("open", []).append([event["seq"], event["ts"]])
+        elif memory.get("open"):
+            seq, _ = _pop(memory)
+            out.append({"seq": seq, "completion_seq": event["seq"], "status": "failed" if event["kind"] == "failed" else "completed", "response_status": event["code"]})
 
     events = request_events(requests, completions, key).withWatermark("ts", delay)
-    return events.groupBy("url").applyInPandasWithState(
-        step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    matched = in_order(events, "url", "seq", OUTPUT, handle, expire)
+    return matched.select("seq", "url", "completion_seq", "status", "response_status")

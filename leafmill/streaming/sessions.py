@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmill.plans.ordered import Ordered
+from leafmill.streaming.ordered import in_order
 
 
 def _session_columns(grouped) -> DataFrame:
@@ -48,3 +49,27 @@ def marked_sessions(events: DataFrame) -> DataFrame:
     return captured.groupBy("user_id", "session_no").agg(
         F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event"),
         F.max("event_id").alias("last_event"))
+
+
+def stream_marked_sessions(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Marked sessions of a stream (user_id, session_no, events, first_event, last_event), each
+    when a mark closes it; events may arrive out of order within ``delay``. State per
+    user is one open session and the events younger than the watermark."""
+    def close(memory: dict, out: list) -> None:
+        if memory.get("events"):
+            out.append({"session_no": memory["no"], "events": memory["events"], "first_event": memory["first"], "last_event": memory["last"]})
+        memory["events"] = 0
+
+    def handle(memory: dict, event: dict, out: list) -> None:
+        if event["mark"]:
+            close(memory, out)
+            memory["open"] = event["mark"] == "start"
+            memory["no"] = memory.get("no", 0) + memory["open"]
+        elif memory.get("open"):
+            if not memory["events"]:
+                memory["first"] = memory["last"] = event["event_id"]
+            memory["events"] += 1
+            memory["first"], memory["last"] = min(memory["first"], event["event_id"]), max(memory["last"], event["event_id"])
+
+    timed = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "mark").withWatermark("ts", delay)
+    return in_order(timed, "user_id", "event_id", "session_no BIGINT, events BIGINT, first_event BIGINT, last_event BIGINT", handle)

@@ -1,5 +1,8 @@
 """A stream over files gives what the batch form gives."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +82,49 @@ def test_request_matching(spark, q, tmp_path):
           want.filter("status <> 'pending'").select(columns))
     pending = got.filter("status = 'pending'").select("seq")
     assert pending.exceptAll(want.filter("status = 'pending'").select("seq")).count() == 0
+
+
+def _in_batches(spark, frame, path, parts):
+    """A stream of one batch per part, in the order of the parts."""
+    for n, part in enumerate(parts):
+        frame.filter(part).coalesce(1).write.mode("append").parquet(str(path))
+        time.sleep(1.1)  # the source goes by the time of the files
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def test_request_matching_out_of_order_over_batches(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, f"/u{rng.randrange(3)}", 1_700_000_000 + rng.randrange(3000), rng.random() < 0.45, rng.randrange(4)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "seq long, url string, at long, done boolean, part int").withColumn("ts", F.timestamp_seconds("at"))
+    opened = frame.filter("NOT done").select("seq", "url", "ts", "part")
+    closed = frame.filter("done").select("seq", "url", F.when(F.col("seq") % 5 == 0, "failed").otherwise("response").alias("kind"), F.lit(200).alias("status"), "ts", "part")
+    last = spark.createDataFrame([(-1, "/tick", 9)], "seq long, url string, part int").withColumn("ts", F.timestamp_seconds(F.lit(1_700_100_000)))
+    parts = [F.col("part") == p for p in (2, 0, 3, 1, 9)]
+    stream = matching.stream_match_requests(
+        _in_batches(spark, opened.unionByName(last), tmp_path / "req", parts), _in_batches(spark, closed, tmp_path / "done", parts[:4]), ttl_seconds=86400, delay="2 hours")
+    got, _ = _run(stream, tmp_path, "mo")
+    columns = ["seq", "url", "completion_seq", "status", "response_status"]
+    want = requests.match_requests_fifo(opened, closed)
+    _same(got.filter("status <> 'pending'").select(columns), want.filter("status <> 'pending'").select(columns))
+    _same(got.filter("status = 'pending'").select("seq"), want.filter("status = 'pending'").select("seq"))
+
+
+def test_expired_requests_match_nothing(spark, tmp_path):
+    """A busy key expires its old requests although it never times out."""
+    at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + F.col(s))
+    opened = spark.createDataFrame([(1, "/a", 0, 0), (2, "/a", 500, 0), (9, "/tick", 90_000, 1)], "seq long, url string, s long, part int").withColumn("ts", at("s"))
+    closed = spark.createDataFrame([(5, "/a", "response", 200, 400, 0)], "seq long, url string, kind string, status int, s long, part int").withColumn("ts", at("s"))
+    parts = [F.col("part") == 0, F.col("part") == 1]
+    stream = matching.stream_match_requests(_in_batches(spark, opened, tmp_path / "r", parts), _in_batches(spark, closed, tmp_path / "d", parts[:1]), ttl_seconds=300, delay="1 hour")
+    got, _ = _run(stream, tmp_path, "ex")
+    assert {(r.seq, r.status) for r in got.filter("url = '/a'").collect()} == {(1, "pending"), (2, "pending")}
+
+
+def test_marked_sessions_on_a_stream(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.randrange(4), i, 1_700_000_000 + rng.randrange(2000), rng.choice(["start", "stop", None, None, None, None]), rng.randrange(3)) for i in range(250)]
+    rows += [(u, 1000 + u, 1_700_050_000, "stop", 8) for u in range(4)] + [(9, 2000, 1_700_900_000, None, 9)]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, at long, mark string, part int").withColumn("ts", F.timestamp_seconds("at"))
+    stream = sessions.stream_marked_sessions(_in_batches(spark, events, tmp_path / "in", [F.col("part") == p for p in (1, 0, 2, 8, 9)]), delay="1 hour")
+    got, _ = _run(stream, tmp_path, "ms")
+    _same(got, sessions.marked_sessions(events).select(got.columns))
