@@ -125,8 +125,8 @@ class Network:
             self._fit(x[~back], y[~back], draw)
             if len(np.unique(y[back])) == 2:
                 self._calibrate(x[back], y[back])
-        elif len(y):
-            self.layers[2][:], self.layers[3][:] = 0, 4 * (y.mean() - 0.5)
+        else:  # one label or none: the same score for all
+            self.layers[2][:], self.layers[3][:] = 0, 4 * (y.mean() - 0.5) if len(y) else 0
 
     def _hidden(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((x - self.mean) / self.scale @ self.layers[0] + self.layers[1])

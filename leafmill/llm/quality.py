@@ -101,8 +101,8 @@ class VoteModel:
 
     def step(self, patterns: DataFrame) -> None:
         """One round: posteriors of the patterns, then the rates that they imply."""
-        weighed = patterns.select("*", self.posterior().alias("p"))
-        share = {1: F.col("n") * F.col("p"), 0: F.col("n") * (1 - F.col("p"))}
+        weighed = patterns.select("*", self.posterior().alias("_good"))
+        share = {1: F.col("_rows") * F.col("_good"), 0: F.col("_rows") * (1 - F.col("_good"))}
         sums = [F.sum(w).alias(f"all_{y}") for y, w in share.items()]
         sums += [F.sum(F.when(F.col(name) == v, w)).alias(f"{name}_{y}_{v}") for name in self.names for y, w in share.items() for v in (1, -1, 0)]
         total = {k: v or 0.0 for k, v in weighed.agg(*sums).first().asDict().items()}
@@ -115,7 +115,7 @@ class VoteModel:
 
 def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> VoteModel:
     """Expectation-maximisation over ``votes``. Rows are first counted per vote pattern."""
-    patterns = saved(votes.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns")
+    patterns = saved(votes.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows")).coalesce(1), "patterns")
     model = VoteModel(names)
     for _ in range(rounds):
         model.step(patterns)
