@@ -164,20 +164,26 @@ def tax_form_code(corner: Column) -> Column:
         for code, *_ in TAX_FORMS])
 
 
+def _keyword(low: Column, word: str, word_boundary: bool) -> Column:
+    return _found(low, rf"\b{word}\b") if word_boundary else low.contains(word)
+
+
 def tax_form_by_content(low: Column, word_boundary: bool = False) -> Column:
     """Struct(score, name) from lower-cased text. Keywords are bare substrings;
     ``word_boundary`` keeps short ones such as ``ei`` from matching inside words."""
-
-    def keyword(word: str) -> Column:
-        if word_boundary:
-            return _found(low, rf"\b{word}\b")
-        return low.contains(word)
-
     return _best([(code, _sum([_found(low, p).cast("int") * 2 for p in patterns]
-                              + [keyword(w).cast("int") for w in words]))
+                              + [_keyword(low, w, word_boundary).cast("int") for w in words]))
                   for code, patterns, words, _ in TAX_FORMS])
 
 
+def tax_form_matches(low: Column, form: Column, word_boundary: bool = False) -> Column:
+    """Patterns and keywords of ``form`` that the text has, joined by ``; ``."""
+    return first_match([
+        (form == code, F.concat_ws("; ", *[F.when(_found(low, p), p) for p in patterns],
+                                   *[F.when(_keyword(low, w, word_boundary), w) for w in words]))
+        for code, patterns, words, _ in TAX_FORMS])
+
+
 def tax_form_issuer(code: Column) -> Column:
     return first_match([(code == name, F.lit(issuer)) for name, _, _, issuer in TAX_FORMS], F.lit("unknown"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from leafmill.functions.common import col, first_match, let, strip
+from leafmill.functions.common import col, first_match, strip
 
 # Pay periods per year.
 PERIODS_PER_YEAR = {
@@ -41,21 +41,15 @@ def debt_ratios(income: str | Column, payment: str | Column, tax: str | Column,
     housing = col(payment) + col(tax) + col(heating) + (zero if condo is None else col(condo)) * 0.5
     total = housing + (zero if debts is None else col(debts))
 
-    def shares(c: Column) -> Column:
-        return F.struct(c["m"].alias("m"), c["h"].alias("h"), c["t"].alias("t"),
-                        (F.try_divide(c["h"], c["m"]) * 100).alias("gds"),
-                        (F.try_divide(c["t"], c["m"]) * 100).alias("tds"))
-
-    def judge(c: Column) -> Column:
-        gds_ok, tds_ok = c["gds"] <= GDS_LIMIT, c["tds"] <= TDS_LIMIT
-        return F.struct(
-            c["m"].alias("monthly_income"), c["h"].alias("housing_costs"), c["t"].alias("total_debts"),
-            F.round(c["gds"], 2).alias("gds_ratio"), F.round(c["tds"], 2).alias("tds_ratio"),
-            gds_ok.alias("gds_qualified"), tds_ok.alias("tds_qualified"), (gds_ok & tds_ok).alias("fully_qualified"),
-            F.when(c["m"] == 0, "division by zero").alias("error"))
-
-    costs = F.struct((col(income) / 12).alias("m"), housing.alias("h"), total.alias("t"))
-    return let(let(costs, shares), judge)
+    # Flat arithmetic: generated code computes a repeated part once, a lambda would be interpreted.
+    monthly = col(income) / 12
+    gds, tds = F.try_divide(housing, monthly) * 100, F.try_divide(total, monthly) * 100
+    gds_ok, tds_ok = gds <= GDS_LIMIT, tds <= TDS_LIMIT
+    return F.struct(
+        monthly.alias("monthly_income"), housing.alias("housing_costs"), total.alias("total_debts"),
+        F.round(gds, 2).alias("gds_ratio"), F.round(tds, 2).alias("tds_ratio"),
+        gds_ok.alias("gds_qualified"), tds_ok.alias("tds_qualified"), (gds_ok & tds_ok).alias("fully_qualified"),
+        F.when(monthly == 0, "division by zero").alias("error"))
 
 
 def loan_to_value(loan: str | Column, value: str | Column) -> Column:
@@ -71,47 +65,52 @@ def loan_to_value(loan: str | Column, value: str | Column) -> Column:
         F.when(~ok, "Property value must be > 0").alias("error"))
 
 
-def loan_payment(principal: str | Column, annual_rate: str | Column, years: str | Column | int = 25,
-                 frequency: str | Column = "monthly", frequency_column: bool = False) -> Column:
-    """Payment of a loan compounded half-yearly. Unknown frequencies count as monthly.
-    ``frequency`` is a constant unless ``frequency_column`` is set."""
+def payment_steps(principal: str | Column, annual_rate: str | Column, years: str | Column | int,
+                  frequency: Column) -> list[dict[str, Column]]:
+    """Columns of a loan compounded half-yearly, step by step; each step uses those before it.
+    The last gives ``payment``. Unknown frequencies count as monthly."""
     amount, percent = col(principal), col(annual_rate)
     term = F.lit(years) if isinstance(years, int) else col(years)
-    asked = col(frequency) if frequency_column else F.lit(frequency)
-    known = F.when(asked.isin(list(PAYMENT_FREQUENCIES)), asked).otherwise("monthly")
+    known = F.when(frequency.isin(list(PAYMENT_FREQUENCIES)), frequency).otherwise("monthly")
     error = first_match([
         (amount <= 0, F.lit("Principal must be > 0")),
         ((percent < 0) | (percent > 30), F.lit("Interest rate must be between 0-30%")),
     ])
-
-    # Each step is bound once; written out flat, the powers would be repeated many times.
-    def rates(name: Column) -> Column:
-        per_year = first_match([(name == f, F.lit(n)) for f, (n, _) in PAYMENT_FREQUENCIES.items()])
-        split = first_match([(name == f, F.lit(d)) for f, (_, d) in PAYMENT_FREQUENCIES.items()])
-        rate = (F.pow(1 + percent / 100 / 2, F.lit(1 / 6)) - 1) / split
-        return F.struct(name.alias("name"), per_year.alias("per_year"), rate.alias("rate"),
-                        (term * per_year).alias("count"))
-
-    def payment(r: Column) -> Column:
-        growth = F.pow(1 + r["rate"], r["count"])
-        each = let(growth, lambda g: F.when(r["rate"] == 0, amount / r["count"]).otherwise(
-            F.try_divide(amount * (r["rate"] * g), g - 1)))
-        return r.withField("error", error).withField("each", F.when(error.isNull(), each))
-
-    def months(r: Column) -> Column:
-        monthly = F.when(r["name"] == "monthly", r["each"]).otherwise(r["each"] * r["per_year"] / 12)
-        return r.withField("monthly", monthly).withField("paid", r["each"] * r["count"])
-
-    def report(r: Column) -> Column:
-        def at(name: str, divisor: int) -> Column:
-            return F.round(F.when(r["name"] == name, r["each"]).otherwise(r["monthly"] * 12 / divisor), 2)
-
-        interest = r["paid"] - amount
-        return F.struct(
-            r["name"].alias("frequency"), F.round(r["each"], 2).alias("payment"),
-            F.round(r["monthly"], 2).alias("monthly_payment"), at("biweekly", 26).alias("biweekly_payment"),
-            at("weekly", 52).alias("weekly_payment"), r["count"].alias("total_payments"),
-            F.round(r["paid"], 2).alias("total_paid"), F.round(interest, 2).alias("total_interest"),
-            F.round(F.try_divide(interest, amount) * 100, 2).alias("interest_percent"), r["error"].alias("error"))
-
-    return let(let(let(let(known, rates), payment), months), report)
+    name, per_year, rate, count, growth, each, monthly, paid, wrong = map(F.col, _STEPS)
+    pick = lambda part: first_match([(name == f, F.lit(v[part])) for f, v in PAYMENT_FREQUENCIES.items()])
+    due = F.when(rate == 0, amount / count).otherwise(F.try_divide(amount * (rate * growth), growth - 1))
+    interest = paid - amount
+
+    def at(period: str, divisor: int) -> Column:
+        return F.round(F.when(name == period, each).otherwise(monthly * 12 / divisor), 2)
+
+    report = F.struct(
+        name.alias("frequency"), F.round(each, 2).alias("payment"),
+        F.round(monthly, 2).alias("monthly_payment"), at("biweekly", 26).alias("biweekly_payment"),
+        at("weekly", 52).alias("weekly_payment"), count.alias("total_payments"),
+        F.round(paid, 2).alias("total_paid"), F.round(interest, 2).alias("total_interest"),
+        F.round(F.try_divide(interest, amount) * 100, 2).alias("interest_percent"), wrong.alias("error"))
+    steps = [
+        {"_name": known, "_wrong": error},
+        {"_per_year": pick(0), "_rate": (F.pow(1 + percent / 100 / 2, F.lit(1 / 6)) - 1) / pick(1)},
+        {"_count": term * per_year},
+        {"_growth": F.pow(1 + rate, count)},
+        {"_each": F.when(wrong.isNull(), due)},
+        {"_monthly": F.when(name == "monthly", each).otherwise(each * per_year / 12), "_paid": each * count},
+        {"payment": report},
+    ]
+    return steps
+
+
+_STEPS = ["_name", "_per_year", "_rate", "_count", "_growth", "_each", "_monthly", "_paid", "_wrong"]
+
+
+def with_payment(df: DataFrame, principal: str | Column, annual_rate: str | Column, years: str | Column | int = 25,
+                 frequency: str | Column = "monthly") -> DataFrame:
+    """``df`` with a struct ``payment``: frequency, payment, monthly_payment, biweekly_payment,
+    weekly_payment, total_payments, total_paid, total_interest, interest_percent, error. ``frequency``
+    is a constant or a column. Steps are projections, which stay in generated code."""
+    asked = F.lit(frequency) if isinstance(frequency, str) else frequency
+    for step in payment_steps(principal, annual_rate, years, asked):
+        df = df.withColumns(step)
+    return df.drop(*_STEPS)

@@ -51,9 +51,9 @@ def ink_density(gray: Column, width: Column, height: Column, grid: int = 3) -> C
     return F.try_divide(F.size(inked), cell_w * cell_h * grid * grid)
 
 
-def classify_blank(ink_variance: str | Column, density: str | Column, variance_threshold: float = VARIANCE_THRESHOLD,
-                   density_threshold: float = DENSITY_THRESHOLD) -> Column:
-    """Struct(is_blank, confidence)."""
+def classify_blank(ink_variance: str | Column, density: str | Column, variance_threshold: float | Column = VARIANCE_THRESHOLD,
+                   density_threshold: float | Column = DENSITY_THRESHOLD) -> Column:
+    """Struct(is_blank, confidence). Thresholds are numbers or columns."""
     v, d = col(ink_variance) / variance_threshold, col(density) / density_threshold
     blank = (v < 1) & (d < 1)
     sure = F.when(blank, ((1 - v) + (1 - d)) / 2).otherwise(

@@ -66,7 +66,8 @@ def tax_forms(pages: DataFrame, word_boundary: bool = False) -> DataFrame:
     boosted = F.when(F.col("year").isNotNull(), F.least(F.col("base") + 0.05, F.lit(0.95))).otherwise(F.col("base"))
     return (found.withColumn("year", year).withColumn("base", base)
             .select("doc_id", "page_num", "form_type", "year", F.round(boosted, 2).alias("confidence"),
-                    rules.tax_form_issuer(F.col("form_type")).alias("issuer")))
+                    rules.tax_form_issuer(F.col("form_type")).alias("issuer"),
+                    F.coalesce("code", rules.tax_form_matches(F.col("content"), F.col("form_type"), word_boundary)).alias("matched")))
 
 
 def bank_statements(pages: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def loan_book(loans: DataFrame, pay: DataFrame) -> DataFrame:
     """Income, payment, ratios and loan-to-value of every loan."""
     incomes = pay.select("applicant", rules.annual_income("amount", "period").alias("income"))
     joined = loans.join(incomes, "applicant", "left")
-    staged = joined.withColumn("pay", rules.loan_payment("principal", "annual_rate", "years", "freq", True))
+    staged = rules.with_payment(joined, "principal", "annual_rate", "years", F.col("freq")).withColumnRenamed("payment", "pay")
     staged = staged.withColumn("ltv", rules.loan_to_value("principal", "property_value"))
     staged = staged.withColumn("ratios", rules.debt_ratios(
         "income.annual_income", "pay.monthly_payment", "tax", "heating", "condo", "debts"))

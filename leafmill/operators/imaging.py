@@ -25,8 +25,16 @@ def image_metrics(images: DataFrame) -> DataFrame:
         F.col("band.confidence").alias("stripe_conf"))
 
 
-def blank_pages(ink: DataFrame) -> DataFrame:
-    rule = rules.classify_blank("variance", "density")
+def blank_pages(ink: DataFrame, settings: DataFrame | None = None, *tenant: str) -> DataFrame:
+    """Blank flag per page. ``settings`` (see ``catalog.load_settings``) gives the thresholds
+    of each ``tenant``; a tenant without settings, or no settings, takes the usual ones."""
+    if settings is None:
+        rule = rules.classify_blank("variance", "density")
+    else:
+        names = ["blank_page_variance_threshold", "blank_page_density_threshold"]
+        ink = ink.join(settings.select(*tenant, *names), list(tenant), "left")
+        rule = rules.classify_blank("variance", "density", *[
+            F.coalesce(c, F.lit(usual)) for c, usual in zip(names, (rules.VARIANCE_THRESHOLD, rules.DENSITY_THRESHOLD))])
     return ink.select("doc_id", "page_num", rule.alias("r")).select(
         "doc_id", "page_num", "r.is_blank", F.round("r.confidence", 2).alias("confidence"))
 
@@ -42,17 +50,15 @@ def blank_summary(flags: DataFrame) -> DataFrame:
 
 
 def page_similarity(images: DataFrame) -> DataFrame:
-    """Likeness of each page's header and footer to the page before. Neighbours
-    meet in a join on (document, page), so a long document is spread over tasks;
-    only the two bands travel."""
+    """Likeness of each page's header and footer to the page before it, whatever its
+    number. Only the two bands travel, in blocks of pages."""
     g, w, h = F.col("gray"), F.col("width"), F.col("height")
     bands = images.select("doc_id", "page_num", rules.header_rows(g, w, h).alias("header"),
                           rules.footer_rows(g, w, h).alias("footer"))
-    before = bands.select("doc_id", (F.col("page_num") + 1).alias("page_num"),
-                          F.col("header").alias("header_before"), F.col("footer").alias("footer_before"))
-    score = (rules.band_similarity(F.col("header"), F.col("header_before"))
-             + rules.band_similarity(F.col("footer"), F.col("footer_before"))) / 2
-    return (bands.join(before, ["doc_id", "page_num"]).select("doc_id", "page_num", score.alias("similarity"))
+    score = (rules.band_similarity(F.col("header"), F.col("prior.header"))
+             + rules.band_similarity(F.col("footer"), F.col("prior.footer"))) / 2
+    return (_with_prior(bands, ["header", "footer"]).filter("prior IS NOT NULL")
+            .select("doc_id", "page_num", score.alias("similarity"))
             .withColumn("header_changed", F.col("similarity") < 0.6))
 
 
@@ -69,12 +75,10 @@ def _distance(a: Column, b: Column) -> Column:
 
 
 def layout_changes(features: DataFrame) -> DataFrame:
-    """Layout signature, distance to the page before, and whether it moved by over ten."""
+    """Layout signature, distance to the page before it, whatever its number, and whether it moved by over ten."""
     sig = features.select("doc_id", "page_num", layout_signature().alias("signature"), layout_parts().alias("parts"))
-    before = sig.select("doc_id", (F.col("page_num") + 1).alias("page_num"), F.col("parts").alias("parts_before"))
-    joined = sig.join(before, ["doc_id", "page_num"], "left")
-    moved = F.coalesce(_distance(F.col("parts"), F.col("parts_before")), F.lit(0))
-    return joined.select("doc_id", "page_num", "signature", moved.alias("distance"),
+    moved = F.coalesce(_distance(F.col("parts"), F.col("prior.parts")), F.lit(0))
+    return _with_prior(sig, ["parts"]).select("doc_id", "page_num", "signature", moved.alias("distance"),
                          (moved > 10).alias("layout_changed"))
 
 
@@ -82,6 +86,11 @@ def _page_order() -> Ordered:
     return Ordered(["doc_id"], ["page_num"], F.floor(F.col("page_num") / 1000))
 
 
+def _with_prior(pages: DataFrame, values: list[str]) -> DataFrame:
+    """Pages with ``prior``, the values of the page before in their document; NULL for the first."""
+    return _page_order().segments(pages, values, lambda row, prior: F.lit(False))
+
+
 def document_boundaries(features: DataFrame) -> DataFrame:
     """Where documents start inside a scanned stack, why, and each page's document.
 

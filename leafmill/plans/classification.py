@@ -91,6 +91,10 @@ def authority_summary(q: Inputs):
     return ops.confidence_summary(pages, ops.authority_documents(pages), 0.85)
 
 
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
 def _form_score(patterns: list[str], words: list[str]) -> str:
     terms = [_hit("low", p) + " * 2" for p in patterns]
     terms += ["contains(low, '{}')::INT".format(w.replace("'", "''")) for w in words]
@@ -101,6 +105,9 @@ _CODES = " ".join(f"WHEN regexp_matches(upper(corner), '\\b{c.replace('-', '-?')
                   for c, *_ in rules.TAX_FORMS)
 _FORM_NAMES = ", ".join(f"'{c}'" for c, *_ in rules.TAX_FORMS)
 _FORM_SCORES = ", ".join(_form_score(p, w) for _, p, w, _ in rules.TAX_FORMS)
+_MATCHES = " ".join("WHEN '{}' THEN concat_ws('; ', {})".format(c, ", ".join(
+    [f"CASE WHEN {_hit('low', x)} = 1 THEN '{_quoted(x)}' END" for x in p]
+    + [f"CASE WHEN contains(low, '{_quoted(x)}') THEN '{_quoted(x)}' END" for x in w])) for c, p, w, _ in rules.TAX_FORMS)
 _ISSUERS = " ".join(f"WHEN '{c}' THEN '{i}'" for c, _, _, i in rules.TAX_FORMS)
 _FORMS = _zones({"corner": zones.CORNER_ZONE, "content": zones.CONTENT_ZONE, "strip": zones.YEAR_STRIP_ZONE}) + rf""",
     a AS (SELECT *, lower(content) AS low, CASE {_CODES} END AS code,
@@ -113,7 +120,8 @@ _FORMS = _zones({"corner": zones.CORNER_ZONE, "content": zones.CONTENT_ZONE, "st
                       ELSE least(0.3::DOUBLE + top * 0.15::DOUBLE, 0.92::DOUBLE) END AS base FROM c),
     hits AS (SELECT doc_id, page_num, form_type, coalesce(yr::INT, 0) AS year,
                     round(CASE WHEN yr IS NOT NULL THEN least(base + 0.05::DOUBLE, 0.95::DOUBLE) ELSE base END, 2)
-                        AS confidence, CASE form_type {_ISSUERS} ELSE 'unknown' END AS issuer
+                        AS confidence, CASE form_type {_ISSUERS} ELSE 'unknown' END AS issuer,
+                    coalesce(code, CASE form_type {_MATCHES} END) AS matched
              FROM d WHERE form_type IS NOT NULL)"""
 
 

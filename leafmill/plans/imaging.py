@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from leafmill.functions import imaging as rules
-from leafmill.operators import imaging as ops
+from leafmill.operators import catalog, imaging as ops
 from leafmill.registry import Inputs, query
 
 _PIXELS = """
@@ -82,6 +82,20 @@ def blank_pages(q: Inputs):
     return ops.blank_pages(q.view("page_ink"))
 
 
+@query("tenant_blank_pages", ["C5", "S7"], """
+    WITH s AS (SELECT tenant, coalesce(try_cast(max(svalue) FILTER (skey = 'blank_page_variance_threshold') AS DOUBLE), 100.0::DOUBLE) AS vt,
+                      coalesce(try_cast(max(svalue) FILTER (skey = 'blank_page_density_threshold') AS DOUBLE), 0.02::DOUBLE) AS dt
+               FROM tenant_settings GROUP BY tenant),
+         r AS (SELECT doc_id, page_num, variance / coalesce(vt, 100) AS v, density / coalesce(dt, 0.02) AS d
+               FROM page_ink LEFT JOIN s ON page_ink.tenant = s.tenant)
+    SELECT doc_id, page_num, v < 1 AND d < 1 AS is_blank, round(greatest(0.5::DOUBLE, least(1::DOUBLE,
+           CASE WHEN v < 1 AND d < 1 THEN ((1 - v) + (1 - d)) / 2
+                ELSE (least(1::DOUBLE, v - 1) + least(1::DOUBLE, d - 1)) / 2 END)), 2) AS confidence FROM r""")
+def tenant_blank_pages(q: Inputs):
+    settings = catalog.load_settings(q.view("tenant_settings"), "tenant")
+    return ops.blank_pages(q.view("page_ink"), settings, "tenant")
+
+
 @query("blank_summary", ["A17"], _BLANK + """
     SELECT doc_id, count(*) AS total_pages, count(*) FILTER (is_blank) AS blank_count,
            round(coalesce(avg(confidence) FILTER (is_blank), 0.95::DOUBLE), 9) AS confidence,

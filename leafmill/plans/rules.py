@@ -304,8 +304,8 @@ _PAYMENT = """
            round((each * n - principal) / nullif(principal, 0) * 100, 2) + 0 AS interest_percent, pay_error AS error
     FROM paid""")
 def loan_payment(q: Inputs):
-    return _opened(q.view("loans"),
-                   finance.loan_payment("principal", "annual_rate", "years", "freq", True), "id")
+    rows = finance.with_payment(q.view("loans"), "principal", "annual_rate", "years", F.col("freq"))
+    return rows.select("id", "payment.*")
 
 
 _BOOK = "WITH " + _PAYMENT + f""",

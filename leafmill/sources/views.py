@@ -347,7 +347,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
                (cast(length(text) % 200 AS INT) - 100) / 10.0e0 AS skew_angle
         FROM {doc_pages}""",
     "page_ink": """
-        SELECT doc_id, page_num, ((length(text) * 7) % 4000) / 10.0e0 + 0.03e0 AS variance,
+        SELECT doc_id, page_num, 1 + doc_id % 12 AS tenant, ((length(text) * 7) % 4000) / 10.0e0 + 0.03e0 AS variance,
                (length(text) % 50) / 1000.0e0 + 0.0003e0 AS density
         FROM {doc_pages}""",
     "card_scans": """

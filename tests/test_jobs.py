@@ -277,3 +277,13 @@ def test_jdbc_reads_every_row_in_ranges(spark, tmp_path):
     rows.write.jdbc(url, "things", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
     back = tables.read_jdbc(spark, url, "things", "id", 0, 50, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
     assert back.rdd.getNumPartitions() == 4 and _rows(back, "id", "name") == _rows(rows, "id", "name")
+
+
+def test_neighbours_are_the_pages_that_are_there(spark):
+    """After pages are dropped, all jobs compare with the same page before."""
+    rows = [(1, n, False, False, False, q, 5, 5, 5) for n, q in ((1, 0), (2, 0), (5, 250), (6, 250))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, page_num int, is_blank boolean, is_page_one boolean, header_changed boolean, q1 int, q2 int, q3 int, q4 int")
+    assert _rows(imaging.layout_changes(frame).filter("layout_changed"), "page_num") == [(5,)]
+    assert _rows(imaging.document_boundaries(frame).filter("is_split"), "page_num") == [(1,), (5,)]
+    pictures = spark.createDataFrame([(1, n, 4, 4, [v] * 16) for n, v in ((1, 9), (4, 9), (7, 250))], "doc_id bigint, page_num int, width int, height int, gray array<int>")
+    assert _rows(imaging.page_similarity(pictures), "page_num", "header_changed") == [(4, False), (7, True)]

@@ -54,6 +54,11 @@ def test_request_matching_scans_each_input_twice(spark, data_dir):
     assert plan.count("Scan parquet") + plan.count("FileScan") <= 4 and plan.count("Join") == 1
 
 
+def test_loan_arithmetic_is_generated_code(spark, data_dir):
+    plan = _plan(QUERIES["loan_book"].build(Inputs(spark, data_dir)))
+    assert "lambda" not in plan
+
+
 def test_pixel_rules_are_linear(spark):
     """Sixteen times the pixels may take about sixteen times as long, not 256 times."""
     def seconds(side):

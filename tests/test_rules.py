@@ -29,19 +29,24 @@ def test_loan_to_value(one):
     assert one(finance.loan_to_value("l", "v"), l=1.0, v=0.0)["error"]
 
 
+def _payment(spark, principal, rate, frequency="monthly"):
+    row = spark.createDataFrame([(principal, rate)], "p double, r double")
+    return finance.with_payment(row, "p", "r", 25, frequency).first()["payment"]
+
+
 @pytest.mark.parametrize("frequency, payment", [("monthly", 2383.67), ("biweekly", 1099.53), ("weekly", 549.63),
                                                 ("fortnightly", 2383.67)])
-def test_loan_payment(one, frequency, payment):
-    row = one(finance.loan_payment("p", "r", 25, frequency), p=400000.0, r=5.25)
+def test_loan_payment(spark, frequency, payment):
+    row = _payment(spark, 400000.0, 5.25, frequency)
     assert row["payment"] == payment
     if frequency == "monthly":
         assert (row["total_paid"], row["total_interest"], row["interest_percent"]) == (715101.62, 315101.62, 78.78)
 
 
-def test_loan_payment_edges(one):
-    assert one(finance.loan_payment("p", "r", 25), p=300000.0, r=0.0)["payment"] == 1000.0
-    assert one(finance.loan_payment("p", "r", 25), p=0.0, r=1.0)["error"] == "Principal must be > 0"
-    assert one(finance.loan_payment("p", "r", 25), p=1.0, r=31.0)["error"].startswith("Interest rate")
+def test_loan_payment_edges(spark):
+    assert _payment(spark, 300000.0, 0.0)["payment"] == 1000.0
+    assert _payment(spark, 0.0, 1.0)["error"] == "Principal must be > 0"
+    assert _payment(spark, 1.0, 31.0)["error"].startswith("Interest rate")
 
 
 def test_validate_sin(one):
