@@ -88,10 +88,9 @@ def catalog_add(q: Inputs):
 
 @query("catalog_delete", ["J10"], """
     SELECT p_partkey AS code, p_name AS label FROM part
-    WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.085)""")
+    WHERE p_partkey NOT IN (SELECT code FROM returned_parts)""")
 def catalog_delete(q: Inputs):
-    returned = q.table("lineitem").filter("l_returnflag = 'R' AND l_discount > 0.085").select(F.col("l_partkey").alias("code"))
-    return ops.catalog_delete(_codes(q.table("part"), "p_partkey", "p_name"), returned)
+    return ops.catalog_delete(_codes(q.table("part"), "p_partkey", "p_name"), q.view("returned_parts"))
 
 
 @query("templates_with_labels", ["J11"], """

@@ -21,6 +21,8 @@ _MERGE = {
 }
 _AGG = {"sum": F.sum, "max": F.max}
 _BLOCK = "__block"
+#: Rows per key up to which Spark trims each task's rows before they are shuffled.
+TOP_LIMIT = 1000
 
 Step = Callable[[WindowSpec], Column]
 
@@ -139,6 +141,9 @@ def number_rows(df: DataFrame, name: str, ordered: Ordered) -> DataFrame:
 def top_rows(df: DataFrame, keys: list[str], order: list[Column | str], n: int,
              rank: str = "rank") -> DataFrame:
     """First ``n`` rows per key. Spark trims each task to ``n`` rows per key
-    before the shuffle, so a hot key does not gather in one task."""
+    before the shuffle, so a hot key does not gather in one task; it does so up to
+    ``TOP_LIMIT`` rows, and more are refused."""
+    if n > TOP_LIMIT:
+        raise ValueError(f"at most {TOP_LIMIT} rows per key")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)

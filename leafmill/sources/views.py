@@ -133,6 +133,10 @@ VIEWS: dict[str, str | dict[str, str]] = {
                first_ship AS created_at
         FROM {part} LEFT JOIN (SELECT l_partkey, min(l_shipdate) AS first_ship
                                FROM {lineitem} GROUP BY l_partkey) s ON p_partkey = l_partkey""",
+    # Parts of which over half of the lines came back.
+    "returned_parts": """
+        SELECT l_partkey AS code FROM {lineitem} GROUP BY l_partkey
+        HAVING sum(CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END) > count(*)""",
     "training_queue": """
         SELECT id + 1000000 AS id, tool_name, id AS execution_id, confidence,
                execution_time_ms % 3 = 0 AS processed, created_at

@@ -29,13 +29,14 @@ def stream_sessions(events: DataFrame, gap_seconds: int = 1800, delay: str = "10
     return _session_columns(timed.groupBy("user_id", window)).select("user_id", "first_ts", "last_ts", "events")
 
 
-def marked_sessions(events: DataFrame) -> DataFrame:
+def marked_sessions(events: DataFrame, block: str = "day") -> DataFrame:
     """Events captured between ``start`` and ``stop`` marks, numbered per user.
 
     A ``start`` opens a new capture even if one is open. Works on a static frame
-    with columns user_id, ts, event_id and mark (start, stop or NULL).
+    with columns user_id, ts, event_id and mark (start, stop or NULL). ``block`` is the
+    time span that one task takes of a busy user.
     """
-    order = Ordered(["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"))
+    order = Ordered(["user_id"], ["ts", "event_id"], F.date_trunc(block, "ts"))
     last_mark = F.when(F.col("mark").isNotNull(), F.struct("ts", "event_id", "mark"))
     staged = order.carry(
         events,
