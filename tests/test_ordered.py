@@ -2,11 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators.requests import match_requests_fifo
 from leafmill.operators.imaging import pair_card_sides
-from leafmill.plans.ordered import Ordered, number_rows, top_rows
+from leafmill.plans.ordered import TOP_LIMIT, Ordered, number_rows, top_rows
 
 
 def _rows(seed, keys=3, longest=60):
@@ -50,6 +51,17 @@ def test_segments(spark):
             for r in got.collect()} == want
 
 
+def test_top_rows_are_bounded(spark):
+    with pytest.raises(ValueError):
+        top_rows(spark.range(1).selectExpr("id AS k", "id AS n"), ["k"], ["n"], TOP_LIMIT + 1)
+
+
+def test_null_is_a_key_of_its_own(spark):
+    rows = [(k, n) for k in (None, "", "a") for n in range(23)]
+    numbered = number_rows(spark.createDataFrame(rows, "k string, n int"), "no", Ordered(["k"], ["n"], F.floor(F.col("n") / 5)))
+    assert {(r.k, r.n): r.no for r in numbered.collect()} == {(k, n): n + 1 for k, n in rows}
+
+
 def test_top_rows_limits_before_the_shuffle(spark):
     frame = spark.createDataFrame(_rows(3), "k int, n int, v int")
     top = top_rows(frame, ["k"], [F.desc("n")], 2)
