@@ -150,10 +150,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     clusters = components(member.join(buckets, "bucket").filter("digest <> pivot").select("digest", "pivot").distinct())
     clusters = clusters.union(clusters.select("root", "root").distinct()).toDF("digest", "cluster")
     sized = clusters.join(classes.select("digest", "rep", "n_shingles"), "digest")
-    totals = sized.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / block).alias("blocks"), F.count(F.lit(1)).alias("texts"))
-    placed = saved(sized.join(totals, "cluster"), "clusters")
+    # A cluster may be large: counted down per part first, and each part gets the totals.
+    sized = sized.withColumn("part", salt("digest"))
+    totals = (sized.groupBy("cluster", "part").agg(F.sum("n_shingles").alias("sum"), F.count(F.lit(1)).alias("n"))
+              .groupBy("cluster").agg(F.ceil(F.sum("sum") / block).alias("blocks"), F.sum("n").alias("texts"), F.collect_set("part").alias("parts"))
+              .select("cluster", "blocks", "texts", F.explode("parts").alias("part")))
+    placed = saved(sized.join(totals, ["cluster", "part"]).drop("part"), "clusters")
     found = rows.join(placed, rows["id"].eqNullSafe(placed["rep.id"]) & (rows["text_key"] == placed["rep.text_key"]))
-    # Rows with the same key and text are one; each comes once, because a class has one row.
+    # Repeated rows bring their text again; the linker takes one of each digest.
     found = found.select("cluster", "digest", "blocks", "texts", "text")
     own = F.pmod(F.xxhash64("digest"), F.col("blocks"))
     common = F.pmod(F.xxhash64("digest", F.lit("common")), F.col("texts")) < ANCHORS
@@ -168,8 +172,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     largest = counted.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("top")).select("cluster", F.col("top.root").alias("root"))
     rest = joined.join(largest, ["cluster", "root"], "left_anti").select("digest", F.lit(True).alias("rest"))
     again = found.filter("blocks > 1").join(rest, "digest", "left")
-    roots = components(links.union(link(again, F.col("rest").isNotNull())))
-    return _named(sets, roots, key)
+    joined_up = components(roots.union(link(again, F.col("rest").isNotNull())))
+    # In a cluster of one block every link already leads to its component's first text.
+    single = links.join(large, links["a"] == large["digest"], "left_anti").toDF("node", "root")
+    return _named(sets, single.union(joined_up), key)
 
 
 def _named(sets: DataFrame, roots: DataFrame, key: str) -> DataFrame:

@@ -1,6 +1,5 @@
 import hashlib
 import random
-from collections import defaultdict
 
 import pytest
 
