@@ -24,21 +24,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window, functions as F
 
 from leafmill.llm.shared import saved, whole
-from leafmill.llm.tokens import portions, units
+from leafmill.llm.tokens import portions
 
 LENGTH, QUANTUM = 1024, 128
 #: Sources with a queue of their own; smaller ones share the last queue.
 QUEUES = 255
 #: Parts of a queue's order, and resolution of the shares.
 PARTS, SHARES = 1024, 1 << 20
-CACHED = 300_000
+#: Units that a worker remembers, and lines that are encoded at a time.
+CACHED, LINES = 500_000, 2000
+
+#: White space other than blanks and line ends, pairs of those, and the mark that texts are cut at.
+_ODD = [*map(chr, [0, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]), "  ", " \n", "\n ", "\n\n"]
+
+
+def _is_odd(text: str) -> bool:
+    """Whether a text has white space other than single blanks and line ends between other characters."""
+    return text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _ODD)
+
 
 class Encoder:
     """Ids of a byte-level BPE file for whole texts.
 
-    A blank before a character that is no white space always begins a token, so a
-    text is cut there and each unit is encoded once and remembered. Texts with
-    other white space after a blank are encoded as they are.
+    A blank before a character that is no white space always begins a token, and a
+    line end between such characters is one, so a text is cut there and each unit
+    is encoded once and remembered. Texts with other white space are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -49,39 +59,42 @@ class Encoder:
         self.model.encode_special_tokens = True
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self.known: dict[str, bytes] = {}
-        self.line = self._encode(["\n"])[0]
+        line = self._encode(["\n"])[0]
+        self.line_id = int(np.frombuffer(line, "<u2")[0])
+        self.known: dict[str, bytes] = {"\n": line, "": b""}
         self.marks = dict(zip(",.", self._encode([",", "."])))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text on its own."""
         return [np.array(e.ids, "<u2").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, unit: str) -> list[str | bytes]:
-        """A unit cut at line ends between other characters and before a last mark after a letter."""
-        parts: list[str | bytes] = []
-        lines = unit.split("\n") if "\n" in unit else [unit]
-        if any(not x or x[0].isspace() or x[-1].isspace() for x in lines[1:]) or not lines[0].strip() or lines[0][-1].isspace():
-            return [unit]
-        for i, x in enumerate(lines):
-            if i:
-                parts.append(self.line)
-            if len(x) > 1 and x[-1] in self.marks and x[-2].isalpha():
-                parts += [x[:-1], self.marks[x[-1]]]
-            else:
-                parts.append(x)
-        return parts
+    def _encode_lines(self, parts: list[str]) -> list[bytes]:
+        """Ids of units, many at a time: as the lines of one text."""
+        out: list[bytes] = []
+        for k in range(0, len(parts), LINES):
+            lines = parts[k:k + LINES]
+            ids = np.array(self.model.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u2")
+            ends = np.flatnonzero(ids == self.line_id)
+            if len(ends) != len(lines) - 1:
+                raise AssertionError("a line end was merged")
+            data = ids.tobytes()
+            starts = [0, *(2 * ends + 2).tolist()]
+            out += [data[a:b] for a, b in zip(starts, [*(2 * ends).tolist(), len(data)])]
+        return out
 
     def _learn(self, wanted: set[str]) -> None:
-        missing = {u: self._parts(u) for u in wanted - self.known.keys()}
+        missing = wanted - self.known.keys()
         if len(self.known) + len(missing) > CACHED:
-            self.known = {u: self.known[u] for u in wanted & self.known.keys()}
-        bare = list({p for parts in missing.values() for p in parts if isinstance(p, str)} - self.known.keys())
-        self.known.update(zip(bare, self._encode(bare)))
-        self.known.update({u: b"".join(p if isinstance(p, bytes) else self.known[p] for p in parts) for u, parts in missing.items()})
+            self.known = {u: self.known[u] for u in (wanted | {"\n", ""}) & self.known.keys()}
+        # A last mark after a letter is a token of its own.
+        marked = {u for u in missing if u[-1:] in self.marks and u[-2:-1].isalpha()}
+        bare = list(({u[:-1] for u in marked} | (missing - marked)) - self.known.keys())
+        self.known.update(zip(bare, self._encode_lines(bare)))
+        self.known.update({u: self.known[u[:-1]] + self.marks[u[-1]] for u in marked})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit numbers."""
-        cut = [units(t) for t in texts]
+        cut = [None if _is_odd(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
         self._learn(set().union(*(x for x in cut if x)))
         odd = iter(self._encode([t for t, x in zip(texts, cut) if x is None]))
         return [b"".join(map(self.known.__getitem__, x)) if x is not None else next(odd) for x in cut]
