@@ -24,7 +24,7 @@ from leafmill.llm.shared import whole
 from leafmill.llm.tokens import portions, units
 
 NONE = np.int64(2 ** 62)
-CACHED = 400_000
+CACHED = 250_000
 #: Leaves of all rows merged side by side; longer pieces are merged alone.
 WIDTH = 1 << 16
 

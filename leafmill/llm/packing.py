@@ -32,7 +32,7 @@ QUEUES = 255
 #: Parts of a queue's order, and resolution of the shares.
 PARTS, SHARES = 1024, 1 << 20
 #: Units that a worker remembers, and lines that are encoded at a time.
-CACHED, LINES = 500_000, 2000
+CACHED, LINES = 250_000, 2000
 
 #: White space other than blanks and line ends, pairs of those, and the mark that texts are cut at.
 _ODD = [*map(chr, [0, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]), "  ", " \n", "\n ", "\n\n"]

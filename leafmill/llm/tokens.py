@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time. A longer text is handled alone.
-PORTION = 4 << 20
+PORTION = 1 << 20
 
 
 def portions(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PORTION) -> Iterator[pa.RecordBatch]:
