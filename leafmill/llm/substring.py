@@ -118,8 +118,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     # Rows with the same key and text have one summary each; they count as one text here.
     texts = saved(rows.join(hits, same(rows, hits)).select(rows["id"], rows["text_key"], "text", "hits"), "texts")
     windows = texts.mapInArrow(_windows(size), f"{named}, start long, window long")
-    firsts_at = windows.groupBy("window").agg(F.min(F.struct("id", "text_key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = windows.join(firsts_at, "window").filter(F.struct("id", "text_key", "start") > F.col("first"))
+    # Saved, so that both sides of the join are plain exchanges and Spark can split a frequent window.
+    first_at = saved(windows.groupBy("window").agg(F.min(F.struct("id", "text_key", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+                     .filter("n > 1").select("window", "first"), "windows")
+    later = windows.join(first_at, "window").filter(F.struct("id", "text_key", "start") > F.col("first"))
     starts = later.groupBy("id", "text_key").agg(F.sort_array(F.collect_set("start")).alias("starts"))
     # A run of overlapping windows is one interval: it begins where no window covers the word before, and ends where none goes on.
     gap = lambda s, other, n: F.coalesce(F.abs(F.get(F.col("at"), other) - s) > n, F.lit(True))
