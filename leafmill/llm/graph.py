@@ -4,22 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from leafmill.llm.shared import saved
+from leafmill.llm.shared import salt, saved
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with ``low``, the smallest b of their a. A node may have a third of all
+    edges: its minimum is taken per part first and goes back to each part."""
+    edges = edges.withColumn("part", salt("b"))
+    least = (edges.groupBy("a", "part").agg(F.min("b").alias("low"))
+             .groupBy("a").agg(F.min("low").alias("low"), F.collect_set("part").alias("parts"))
+             .select("a", "low", F.explode("parts").alias("part")))
+    return edges.join(least, ["a", "part"])
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are moved to its smallest neighbour or itself."""
-    both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    both = _with_least(edges.union(edges.select("b", "a")))
+    return both.filter("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are moved to the smallest of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("low"))
-    moved = down.join(least, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return moved.union(least.select("a", F.col("low").alias("b"))).distinct()
+    down = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    moved = F.array(*[F.struct(F.col(c).alias("a"), F.col("low").alias("b")) for c in ("a", "b")])
+    return down.select(F.inline(moved)).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
