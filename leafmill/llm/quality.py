@@ -21,7 +21,8 @@ from leafmill.llm.shared import WORD, saved, whole, with_verdict
 WINDOW = 3
 #: A word as prose has it: lower case but for its first letter, with one mark after it at most.
 PLAIN_WORD = r"(?<![^ \t-\r])\p{L}\p{Ll}*+[.,;:!?]?(?![^ \t-\r])"
-ROUNDS = 25
+#: Rounds at most, and the change of the rates at which they end.
+ROUNDS, SETTLED = 25, 1e-5
 #: Start of the estimates: share of good texts, and (for, against) votes of a rule on good and on bad texts.
 #: Rules speak up against good texts rarely, and one kind of junk rarely breaks more than one rule.
 GOOD_SHARE, ON_GOOD, ON_BAD = 0.8, (0.8, 0.005), (0.6, 0.2)
@@ -99,8 +100,9 @@ class VoteModel:
         start = F.lit(math.log(self.good_share / (1 - self.good_share)))
         return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, map(evidence, self.names), start)))
 
-    def step(self, patterns: DataFrame) -> None:
-        """One round: posteriors of the patterns, then the rates that they imply."""
+    def step(self, patterns: DataFrame) -> float:
+        """One round: posteriors of the patterns, then the rates that they imply. Returns the largest change of a rate."""
+        before = [self.good_share, *(p for rates in self.chance.values() for p in rates.values())]
         weighed = patterns.select("*", self.posterior().alias("_good"))
         share = {1: F.col("_rows") * F.col("_good"), 0: F.col("_rows") * (1 - F.col("_good"))}
         sums = [F.sum(w).alias(f"all_{y}") for y, w in share.items()]
@@ -111,14 +113,16 @@ class VoteModel:
             for y, on in ((1, ON_GOOD), (0, ON_BAD)):
                 start = {1: on[0], -1: on[1], 0: 1 - sum(on)}
                 self.chance[name, y] = {v: (total[f"{name}_{y}_{v}"] + PRIOR_VOTES * start[v]) / (total[f"all_{y}"] + PRIOR_VOTES) for v in start}
+        return max(abs(a - b) for a, b in zip(before, [self.good_share, *(p for rates in self.chance.values() for p in rates.values())]))
 
 
 def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> VoteModel:
-    """Expectation-maximisation over ``votes``. Rows are first counted per vote pattern."""
+    """Expectation-maximisation over ``votes`` until the rates settle. Rows are first counted per vote pattern."""
     patterns = saved(votes.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows")).coalesce(1), "patterns")
     model = VoteModel(names)
     for _ in range(rounds):
-        model.step(patterns)
+        if model.step(patterns) < SETTLED:
+            break
     return model
 
 

@@ -40,8 +40,9 @@ def test_small_texts(docs, text):
     assert counts(quality.measure(docs([(1, text)])))[0][1] == brute(text)
 
 
-def test_estimates_equal_a_plain_loop(spark):
+def test_estimates_equal_a_plain_loop(spark, monkeypatch):
     """Expectation-maximisation over rows, in Python, gives the same rates as over counted patterns."""
+    monkeypatch.setattr(quality, "SETTLED", 0)
     rows = [(1, 1, 1)] * 60 + [(-1, -1, 0)] * 9 + [(-1, 1, 1)] * 4 + [(0, 1, 0)] * 20 + [(1, -1, -1)] * 3
     names = ["p", "q", "r"]
     model = quality.fit(spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names)), names, rounds=6)
