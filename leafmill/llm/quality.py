@@ -3,9 +3,11 @@
 Each rule votes for a text, votes against it, or abstains. How far a rule can be
 trusted is not set by hand: expectation-maximisation over the vote patterns of
 the whole corpus estimates, for good and bad texts, how often each rule casts
-each vote. A text stays if its posterior probability of being good is high
-enough. All of it is DataFrame functions; the loop handles one row per vote
-pattern (3 to the number of rules at most), whatever the size of the corpus.
+each vote. A rule that cannot judge a text's script has no vote (NULL): that is
+no evidence for either side and counts for no rate, unlike an abstention. A text
+stays if its posterior probability of being good is high enough. All of it is
+DataFrame functions; the loop handles one row per vote pattern (4 to the number
+of rules at most), whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from leafmill.functions.common import let, settle
 from leafmill.llm.shared import WORD, saved, whole, with_verdict
 
 WINDOW = 3
-#: A word as prose has it: lower case but for its first letter, with one mark after it at most.
-PLAIN_WORD = r"(?<![^ \t-\r])\p{L}\p{Ll}*+[.,;:!?]?(?![^ \t-\r])"
+#: A word as prose has it: lower case or without case but for its first letter, with one mark after it at most.
+PLAIN_WORD = r"(?<![^ \t-\r])\p{L}[\p{Ll}\p{Lo}\p{Lm}\p{M}\x{200C}\x{200D}]*+[.,;:!?]?(?![^ \t-\r])"
 #: Rounds at most, and the change of the rates at which they end.
 ROUNDS, SETTLED = 25, 1e-5
 #: Start of the estimates: share of good texts, and (for, against) votes of a rule on good and on bad texts.
@@ -57,13 +59,16 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = settle(rows, F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("words"),
                   F.filter(F.split("t", "\n"), lambda line: line.rlike(WORD)).alias("lines"))
     left = lambda pattern: F.length(F.regexp_replace("t", pattern, "")).cast("long")
+    # Texts of one-byte characters have no letters without case, and their letters are not counted.
+    wide = lambda pattern: F.when(F.octet_length("t") == F.char_length("t"), 0).otherwise(left(pattern)).cast("long")
     return rows.select(
         F.col("id").alias(key), F.xxhash64("t").alias("text_key"), F.size("words").cast("long").alias("n_words"),
         left(r"[ \t-\r]+").alias("word_chars"), left(r"[^#*$%&|<>]+").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"), left("[^A-Z]+").alias("n_capitals"), left("[^!?]+").alias("n_shouts"),
-        F.regexp_count("t", F.lit(PLAIN_WORD)).cast("long").alias("n_plain"))
+        F.regexp_count("t", F.lit(PLAIN_WORD)).cast("long").alias("n_plain"),
+        wide(r"[^\p{L}]+").alias("n_letters"), wide(r"[^\p{Lo}]+").alias("n_caseless"))
 
 
 def _vote(against: Column, good: Column) -> Column:
@@ -71,14 +76,16 @@ def _vote(against: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Votes by rule: 1 for the text, -1 against it, 0 abstains. Texts without words get no vote."""
+    """Votes by rule: 1 for the text, -1 against it, 0 abstains. On texts without words all abstain. NULL: the
+    rule does not apply, as rules on lower case and on the length of words where most letters have no case."""
     words, chars = F.col("n_words"), F.col("word_chars")
+    cased = lambda vote: F.when(F.col("n_caseless") * 2 <= F.col("n_letters"), vote)
     return {
-        "plain": _vote(F.col("n_plain") * 10 < words * 6, F.col("n_plain") * 10 >= words * 9),
+        "plain": cased(_vote(F.col("n_plain") * 10 < words * 6, F.col("n_plain") * 10 >= words * 9)),
         "symbols": _vote(F.col("n_symbols") * 10 >= words, F.col("n_symbols") * 50 <= words),
         "lines": _vote((F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") * 10 >= F.col("n_lines") * 3), F.col("n_dup_lines") == 0),
         "repeats": _vote(F.col("n_repeat_words") * 10 >= words * 3, F.col("n_repeat_words") * 10 <= words),
-        "word_length": _vote((chars < words * 3) | (chars > words * 12), (chars >= words * 4) & (chars <= words * 9)),
+        "word_length": cased(_vote((chars < words * 3) | (chars > words * 12), (chars >= words * 4) & (chars <= words * 9))),
         "capitals": _vote(F.col("n_capitals") * 10 >= chars * 3, F.col("n_capitals") * 10 <= chars),
         "shouting": _vote(F.col("n_shouts") * 10 >= words * 2, F.col("n_shouts") * 50 <= words),
     }
@@ -96,7 +103,7 @@ class VoteModel:
         """Probability that a text with these votes is good."""
         def evidence(name: str) -> Column:
             odds = {v: math.log(self.chance[name, 1][v] / self.chance[name, 0][v]) for v in (1, -1, 0)}
-            return F.when(F.col(name) == 1, odds[1]).when(F.col(name) == -1, odds[-1]).otherwise(odds[0])
+            return F.when(F.col(name) == 1, odds[1]).when(F.col(name) == -1, odds[-1]).when(F.col(name) == 0, odds[0]).otherwise(0.0)
         start = F.lit(math.log(self.good_share / (1 - self.good_share)))
         return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, map(evidence, self.names), start)))
 
@@ -112,7 +119,8 @@ class VoteModel:
         for name in self.names:
             for y, on in ((1, ON_GOOD), (0, ON_BAD)):
                 start = {1: on[0], -1: on[1], 0: 1 - sum(on)}
-                self.chance[name, y] = {v: (total[f"{name}_{y}_{v}"] + PRIOR_VOTES * start[v]) / (total[f"all_{y}"] + PRIOR_VOTES) for v in start}
+                votes = sum(total[f"{name}_{y}_{v}"] for v in start)  # without the texts that the rule does not apply to
+                self.chance[name, y] = {v: (total[f"{name}_{y}_{v}"] + PRIOR_VOTES * start[v]) / (votes + PRIOR_VOTES) for v in start}
         return max(abs(a - b) for a, b in zip(before, [self.good_share, *(p for rates in self.chance.values() for p in rates.values())]))
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -84,3 +85,35 @@ def test_hard_rows_and_columns(hard, docs):
 def test_no_python_in_the_plan(hard):
     plan = quality.measure(hard).withColumns(quality.rules())._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def _prose(draw, script):
+    """90 blank-separated words (or phrases, where a script has no blanks between words) of random letters."""
+    first, marks, sizes, stops = {
+        "korean": (range(0xAC00, 0xD7A4), [], (1, 5), ".,"), "arabic": ([*range(0x627, 0x63B), *range(0x641, 0x64B)], [0x64E, 0x650], (2, 7), "،."),
+        "hebrew": (range(0x5D0, 0x5EB), [], (2, 7), ".,"), "hindi": (range(0x915, 0x93A), [0x93E, 0x93F, 0x940, 0x947, 0x94D], (2, 5), "।,"),
+        "thai": (range(0xE01, 0xE2F), [0xE34, 0xE35, 0xE48], (8, 25), " "), "japanese": (range(0x3042, 0x3094), [], (10, 30), "。、"),
+        "chinese": (range(0x4E00, 0x9FA0), [], (10, 30), "。，")}[script]
+    words = []
+    for i in range(90):
+        word = "".join(chr(draw.choice(first)) + (chr(draw.choice(marks)) if marks and draw.random() < 0.5 else "") for _ in range(draw.randrange(*sizes)))
+        words.append(word + (draw.choice(stops) if i % 7 == 6 else ""))
+    return "\n".join(" ".join(words[k:k + 30]) for k in range(0, 90, 30))
+
+
+def test_scripts_without_case_stay(spark, data_dir):
+    """Clean texts without case stay in a corpus of mostly Latin script, and junk among them goes."""
+    draw = random.Random(5)
+    scripts = ["korean", "arabic", "hebrew", "hindi", "thai", "japanese", "chinese"]
+    rows = [(-1 - i, _prose(draw, scripts[i % 7])) for i in range(21)]
+    junk = [(-100 - i, "\n".join(" ".join(draw.choice(["$$$!!", "###?", "|||!", "가%%!", "나**!"]) for _ in range(12)) for _ in range(8))) for i in range(5)]
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text")
+    judged = {r.doc_id: r for r in quality.judge(docs.union(spark.createDataFrame(rows + junk, docs.schema))).filter("doc_id < 0").collect()}
+    assert [(scripts[i % 7], judged[-1 - i].probability) for i in range(21) if not judged[-1 - i].kept] == []
+    assert all(judged[-1 - i].plain is None and judged[-1 - i].word_length is None for i in range(21))
+    assert not any(judged[k].kept for k, _ in junk)
+
+
+def test_words_of_any_script_are_plain(docs):
+    texts = ["한국어 문장, abc", "हिन्दी भाषा. Abc", "עברית ABC aBc"]
+    assert [r.n_plain for r in quality.measure(docs(list(enumerate(texts, 2)))).orderBy("doc_id").collect()] == [3, 3, 1]
