@@ -49,14 +49,17 @@ class Encoder:
     A blank before a character that is no white space always begins a token, and a
     line end between such characters is one, so a text is cut there and each unit
     is encoded once and remembered. Texts with other white space are encoded as they are.
+    With ``added`` the file's added tokens are found in texts, as the tokenizer does by
+    default, and a text with one is encoded as it is; without, they are plain characters.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = not added
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()] if added else []
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         line = self._encode(["\n"])[0]
@@ -94,25 +97,25 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit numbers."""
-        cut = [None if _is_odd(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
+        cut = [None if _is_odd(t) or any(a in t for a in self.added) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
         self._learn(set().union(*(x for x in cut if x)))
         odd = iter(self._encode([t for t, x in zip(texts, cut) if x is None]))
         return [b"".join(map(self.known.__getitem__, x)) if x is not None else next(odd) for x in cut]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """The encoder of a file, one for each worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = Encoder(path, added)
+    return _ENCODERS[path, added]
 
 
 def _tokenize(path: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(path)
+        model = encoder(path, added=True)
         for batch in portions(batches):
             ids = [x + b"\0\0" for x in model.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
@@ -176,7 +179,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
          path: str | None = None, length: int = LENGTH) -> DataFrame:
     """Pieces of all texts in sequences of ``length`` tokens.
 
-    Each text gives its ids by the tokenizer file ``path`` and id 0; a NULL text is
+    Each text gives its ids by the tokenizer file ``path`` (added tokens in a text have their own ids) and id 0; a NULL text is
     empty. ``targets`` has the wanted share of each source; by default it is the
     source's share of all tokens, so that all queues last to the end. A source
     without target gets its share of all tokens. A NULL source is a source. Columns: key, ``start``, ``length``,

@@ -91,3 +91,10 @@ def test_places_are_a_permutation():
         sizes = np.minimum(packing.QUANTUM, np.array(totals)[queue] - quantum * packing.QUANTUM)
         order = np.argsort(places := schedule.place(queue, quantum), kind="stable")
         assert (places[order] == np.cumsum(sizes[order]) - sizes[order]).all()
+
+
+def test_added_tokens_have_their_ids(docs):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    texts = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "no such token"), (4, "one line\nx<|endoftext|>y <|endoftext|"), (5, "a  b <|endoftext|>\n")]
+    check(packing.pack(docs(texts)).collect(), texts, plain)
