@@ -9,9 +9,11 @@ Texts with the same shingle set form one class and are handled once. Candidate
 clusters (classes joined by shared buckets) hold all links. A cluster within one
 task's measure is searched at once, by walking from linked text to linked text
 over an inverted index, so a large group of copies costs about one comparison a
-text. A larger cluster is dealt to blocks that all hold a few common texts; what
-is not in the cluster's largest component after that visits every block. So no
-link between two components is lost, and pairs are never listed.
+text. A larger cluster is dealt to blocks that all hold a few common texts. Links
+that this leaves out lie in buckets whose texts are still of several components:
+there, texts outside the bucket's largest component meet all of its texts, in
+pairs of parts that each fill a task's measure at most. So no link between two
+components is lost, no group grows with the cluster, and pairs are never listed.
 """
 
 from __future__ import annotations
@@ -162,22 +164,52 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     own = F.pmod(F.xxhash64("digest"), F.col("blocks"))
     common = F.pmod(F.xxhash64("digest", F.lit("common")), F.col("texts")) < ANCHORS
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    spread = lambda to: F.explode(F.when(to, every).otherwise(F.array(own))).alias("block")
-    link = lambda df, to: df.select("cluster", spread(to), "digest", "text").groupBy("cluster", "block").applyInArrow(_linker(size, percent), "a binary, b binary")
-    links = saved(link(found, (F.col("blocks") > 1) & common), "links")
-    large = placed.filter("blocks > 1").select("cluster", "digest")
+    spread = F.explode(F.when((F.col("blocks") > 1) & common, every).otherwise(F.array(own))).alias("block")
+    link = lambda df, *names: df.groupBy(*names).applyInArrow(_linker(size, percent), "a binary, b binary")
+    links = saved(link(found.select("cluster", spread, "digest", "text"), "cluster", "block"), "links")
+    large = placed.filter("blocks > 1").select("cluster", "digest", "n_shingles")
     roots = components(links.join(large, links["a"] == large["digest"], "left_semi"))
     joined = large.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    counted = joined.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("top")).select("cluster", F.col("top.root").alias("root"))
-    rest = joined.join(largest, ["cluster", "root"], "left_anti").select("digest", F.lit(True).alias("rest"))
-    again = found.filter("blocks > 1").join(rest, "digest", "left")
-    joined_up = components(roots.union(link(again, F.col("rest").isNotNull())))
+    meetings = _meetings(member.join(joined, "digest"), block)
+    again = found.filter("blocks > 1").select("digest", "text").join(meetings, "digest")
+    joined_up = components(roots.union(link(again, "bucket", "rest_part", "block")))
     # In a cluster of one block every link already leads to its component's first text.
     single = links.join(large, links["a"] == large["digest"], "left_anti").toDF("node", "root")
     return _named(sets, single.union(joined_up), key)
 
 
+def _meetings(member: DataFrame, block: int) -> DataFrame:
+    """(bucket, rest_part, block, digest): groups of at most about two ``block`` shingles (or one text), in which
+    every two texts meet that share a bucket and have different roots. ``member`` has bucket, digest, root, cluster
+    and n_shingles. Small buckets of a cluster share a group, which then has a number from 0 as its bucket."""
+    # A bucket may be large: counted down per root and per part first, and each part gets the totals.
+    member = member.withColumn("part", salt("digest"))
+    by_root = member.groupBy("cluster", "bucket", "root").agg(F.sum("n_shingles").alias("sum"), F.count(F.lit(1)).alias("n"))
+    open_ = (by_root.groupBy("cluster", "bucket").agg(F.max(F.struct("n", "root", "sum")).alias("top"), F.sum("sum").alias("sum"), F.count(F.lit(1)).alias("roots"))
+             .filter("roots > 1").select("cluster", "bucket", "sum", F.col("top.root").alias("top"), (F.col("sum") - F.col("top.sum")).alias("rest")))
+    parts = member.select("bucket", "part").distinct().groupBy("bucket").agg(F.collect_set("part").alias("parts"))
+    small = F.col("sum") * 8 <= block
+    packs = (open_.filter(small).withColumn("part", salt("bucket")).groupBy("cluster", "part").agg(F.sum("sum").alias("sum"))
+             .groupBy("cluster").agg(F.ceil(F.sum("sum") * 2 / block).alias("packs"), F.collect_set("part").alias("pack_parts"))
+             .select("cluster", "packs", F.explode("pack_parts").alias("pack_part")))
+    open_ = saved(open_.withColumn("pack_part", F.when(small, salt("bucket"))).join(packs, ["cluster", "pack_part"], "left").join(parts, "bucket")
+                  .select("bucket", "sum", "rest", "top", "packs", F.explode("parts").alias("part")), "buckets")
+    rows = member.join(open_, ["bucket", "part"])
+    zero = F.lit(0).cast("long")
+    dealt = lambda n, name: F.pmod(F.xxhash64("digest", F.lit(name)), n)
+    blocks, rest_parts = F.ceil(F.col("sum") / block), F.ceil(F.col("rest") / block)
+    to = lambda rest_part, at: F.struct(rest_part.alias("rest_part"), at.alias("block"))
+    # All texts of a block visit every part of the rest, and a text of the rest every block with its part.
+    as_member = F.transform(F.sequence(zero, rest_parts - 1), lambda i: to(i, dealt(blocks, "block")))
+    as_rest = F.transform(F.sequence(zero, blocks - 1), lambda i: to(dealt(rest_parts, "rest"), i))
+    own = rows.filter("packs IS NULL").select(
+        "cluster", "bucket", "digest", F.inline(F.when(F.col("root") == F.col("top"), as_member).otherwise(F.array_distinct(F.concat(as_member, as_rest)))))
+    packed = rows.filter("packs IS NOT NULL").select(
+        "cluster", F.pmod(F.xxhash64("bucket"), F.col("packs")).alias("bucket"), "digest", F.lit(-1).cast("long").alias("rest_part"), zero.alias("block")).distinct()
+    # A packed group is told apart by its cluster, an own one by its bucket.
+    return own.union(packed).select(F.xxhash64("cluster", "bucket", "rest_part").alias("bucket"), "rest_part", "block", "digest")
+
+
 def _named(sets: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     """Rows with the first row of their component. A set or component may be a third of all
     rows: rows are counted down per set before they meet, and verdicts go back per set and part."""

@@ -79,3 +79,35 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 200), (300, 301), (301, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + k: 100 for k in range(1, 30)} | {301: 300}
+
+
+@pytest.mark.parametrize("crossing", [False, True])
+def test_no_group_grows_with_a_cluster(docs, monkeypatch, crossing):
+    """Two families joined by false buckets (and, if ``crossing``, by one chain of links): no group holds a whole family."""
+    draw, rows, block = random.Random(8), [], 600
+    shared = [f"s{k}" for k in range(25)]
+    for family in "ab":
+        base = shared + [f"{family}{k}" for k in range(35)]
+        for _ in range(60):
+            words = list(base)
+            for _ in range(2):
+                words[draw.randrange(25, 60)] = f"x{draw.randrange(10 ** 6)}"
+            rows.append((len(rows) + 2, " ".join(words)))
+    if crossing:
+        steps = [" ".join(shared + [f"b{k}" if k < n else f"a{k}" for k in range(35)]) for n in range(0, 36)]
+        rows += [(1000 + i, t) for i, t in enumerate(steps)]
+    linker = near._linker
+
+    def bounded(size, percent):
+        link = linker(size, percent)
+
+        def run(table):
+            texts = set(table.column("text").to_pylist())
+            assert sum(len(t.split()) for t in texts) <= 4 * block, "a group has grown with its cluster"
+            return link(table)
+        return run
+    monkeypatch.setattr(near, "_linker", bounded)
+    monkeypatch.setattr(near, "ANCHORS", 6)
+    monkeypatch.setattr(near, "band_rows", lambda *a: 4)
+    got = ordered(result(docs(rows), 1, 80, block=block))
+    assert got == ordered(brute(rows, 1, 80)) and len({r[2] for r in got}) == (1 if crossing else 2)
