@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.llm import bpe, classifier, exact, licenses, near, packing, quality, substring, urls, warc
+from leafmill.llm import bpe, classifier, codes, exact, licenses, near, negatives, packing, quality, substring, urls, warc
 from leafmill.llm.shared import scratch
 from leafmill.sources.tables import read_table
 
@@ -146,3 +146,50 @@ def op1_license_scan(spark: SparkSession, path: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, path: str) -> DataFrame:
     """Quality scores of all documents, learned from the labels that are not held out."""
     return classifier.score(read_table(spark, path, "documents"), read_table(spark, path, "labels"))
+
+
+def _code_rounds(rounds: int) -> str:
+    """SQL of codebooks ``b0`` to the last, each round an assignment ``a`` and means ``u``. Sums of whole
+    numbers below 2^53 are exact in doubles."""
+    assign = """
+    a{r} AS MATERIALIZED (SELECT x.vec_id, x.p, any_value(x.z) AS z, min({{'d': list_inner_product(x.z, x.z) - 2 * list_inner_product(x.z, b.z) + list_inner_product(b.z, b.z), 'e': b.e}}) AS best
+          FROM x JOIN b{r} b ON x.p = b.p GROUP BY x.vec_id, x.p)"""
+    update = """,
+    u{r} AS (SELECT p, e, list(c ORDER BY i) AS z FROM (SELECT p, best.e AS e, i, floor(sum(z[i]) / count(*)) AS c
+          FROM a{r}, unnest(generate_series(1, len(z))) AS s(i) GROUP BY ALL) GROUP BY p, e),
+    b{n} AS MATERIALIZED (SELECT b{r}.p, b{r}.e, coalesce(u{r}.z, b{r}.z) AS z FROM b{r} LEFT JOIN u{r} USING (p, e)),"""
+    return "".join(assign.format(r=r) + update.format(r=r, n=r + 1) for r in range(rounds)) + assign.format(r=rounds)
+
+
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query(oracle=f"""
+    WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS z FROM embeddings WHERE {_SOUND}),
+    x AS MATERIALIZED (SELECT vec_id, p, z[p * (len(z) // 4) + 1:(p + 1) * (len(z) // 4)] AS z FROM k, unnest(range(4)) AS s(p)),
+    b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, z FROM x QUALIFY e < 256),
+    {_code_rounds(4)},
+    h AS (SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256
+          FROM (SELECT p, e, i, z[i] AS c FROM b4, unnest(generate_series(1, len(z))) AS s(i))),
+    r AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a4 GROUP BY vec_id)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r JOIN k USING (vec_id), h""")
+def op12_vector_codes(spark: SparkSession, path: str) -> DataFrame:
+    """Codes of all sound embeddings: four parts, 256 entries, four rounds."""
+    return codes.compress(read_table(spark, path, "embeddings"))
+
+
+@query(oracle=f"""
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS z
+               FROM embeddings WHERE label IS NOT NULL AND {_SOUND}),
+    s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.z, b.z)::BIGINT AS score
+          FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+    SELECT p.anchor_id, p.other AS positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other))::INT AS rank,
+           n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM p JOIN s n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+    QUALIFY rank <= 10""")
+def op13_hard_negatives(spark: SparkSession, path: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding among all of them, with some labels moved on by one."""
+    rows = read_table(spark, path, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(moved, F.col("vec_id") % 100 == 0)
