@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leafmill.llm import bpe, classifier, codes, exact, licenses, near, negatives, packing, quality, substring, urls, warc
+from leafmill.llm import bpe, classifier, codes, exact, langid, licenses, near, negatives, packing, quality, substring, urls, warc
 from leafmill.llm.shared import scratch
 from leafmill.sources.tables import read_table
 
@@ -193,3 +193,9 @@ def op13_hard_negatives(spark: SparkSession, path: str) -> DataFrame:
     rows = read_table(spark, path, "embeddings")
     moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return negatives.mine(moved, F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op11_language_crf(spark: SparkSession, path: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out."""
+    return langid.of_documents(read_table(spark, path, "documents"))
