@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from leafmill.functions import classify as rules, zones
 from leafmill.functions.common import count_true, let, settle
-from leafmill.plans.ordered import top_rows
+from leafmill.plans.ranges import first_rows
 
 
 def words_in_zones(pages: DataFrame, table: dict[str, zones.Zone]) -> DataFrame:
@@ -117,7 +117,7 @@ def fiscal_year_vote(pages: DataFrame, findings: DataFrame, as_of_year: int) ->
 
 def first_types(counts: DataFrame, kind: str, n: int = 3) -> DataFrame:
     """First ``n`` types of each document in first-seen order."""
-    return top_rows(counts, ["doc_id"], ["first_page", kind], n)
+    return first_rows(counts, ["doc_id"], ["first_page", kind], n)
 
 
 def form_totals(forms: DataFrame) -> DataFrame:

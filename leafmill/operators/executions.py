@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmill.functions.common import col, count_true
-from leafmill.plans.ordered import top_rows
+from leafmill.plans.ranges import first_rows
 
 LOW_CONFIDENCE = 0.75
 
@@ -88,7 +88,7 @@ def global_stats(runs: DataFrame, templates: DataFrame, catalog: DataFrame) -> D
 def recent_tool_stats(runs: DataFrame, n: int = 100) -> DataFrame:
     """Figures over the latest ``n`` runs per tool. Sums skip missing values but
     divide by all rows kept, unlike an average."""
-    latest = top_rows(runs, ["tool_name"], [F.desc("created_at"), F.desc("id")], n)
+    latest = first_rows(runs, ["tool_name"], [F.desc("created_at"), F.desc("id")], n)
     rows = F.count(F.lit(1))
     return latest.groupBy("tool_name").agg(
         rows.alias("total_executions"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmill.functions.common import any_of, contains_ignoring_case, count_true, first_match
-from leafmill.plans.ordered import top_rows
+from leafmill.plans.ranges import first_rows
 
 ERROR_TYPES = ["error", "pageerror"]
 
@@ -100,7 +100,7 @@ def log_issues(logs: DataFrame, *by: str) -> DataFrame:
 
 def issue_examples(logs: DataFrame, n: int = 5) -> DataFrame:
     """First ``n`` messages per category."""
-    picked = top_rows(issue_hits(logs), ["category"], ["seq"], n)
+    picked = first_rows(issue_hits(logs), ["category"], ["seq"], n)
     return picked.select("category", "rank", "seq", "pattern", "type",
                          F.substring("text", 1, 200).alias("message"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmill.functions.common import contains_ignoring_case, first_match, stamp
 from leafmill.plans.ordered import Ordered
+from leafmill.plans.ranges import blocks
 
 
 def failure_type() -> Column:
@@ -81,7 +82,7 @@ def match_requests_fifo(requests: DataFrame, completions: DataFrame, key: str =
                         block: str = "hour") -> DataFrame:
     """Each completion closes the oldest open request of its URL; with none open
     it is ignored. Requests left open stay pending. ``key`` may name a request id
-    instead. ``block`` is the time span one task takes of a busy key.
+    instead. ``block`` is the time span one task takes of a busy key, or ``range`` for blocks of equal depth.
 
     Per key, in time order, let ``lead`` be completions minus requests so far. A
     completion is ignored exactly where ``lead`` reaches a new maximum above
@@ -93,7 +94,8 @@ def match_requests_fifo(requests: DataFrame, completions: DataFrame, key: str =
                               F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("code"))
               .unionByName(completions.select(key, "ts", "seq", F.lit(1).alias("done"), "kind",
                                               F.col("status").alias("code"))))
-    order = Ordered([key], ["ts", "seq"], F.date_trunc(block, "ts"))
+    events, at = blocks(events, [key], ["ts", "seq"], block)
+    order = Ordered([key], ["ts", "seq"], at)
     lead = F.col("closed_in") - F.col("opened_in")
     staged = order.carry(
         events,

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from leafmill.functions import classify as rules, zones
-from leafmill.operators import classification as ops
+from leafmill.operators import classification as ops, zoning
 from leafmill.registry import Inputs, query
 
 _WORDS = """
@@ -39,6 +39,31 @@ def words_in_zones(q: Inputs):
     return ops.words_in_zones(pages, zones.AUTHORITY_ZONES)
 
 
+_LAYOUT_ZONES = """
+    j AS (SELECT document_type, zones, unnest(json_keys(zones)) AS zone FROM zone_templates WHERE json_valid(zones)),
+    c AS (SELECT document_type, zone, json_extract(zones, '$.' || zone) AS b FROM j),
+    e AS (SELECT document_type, zone, (b->>'x')::DOUBLE AS l, (b->>'y')::DOUBLE AS t, (b->>'width')::DOUBLE AS w, (b->>'height')::DOUBLE AS h FROM c),
+    boxes AS (SELECT document_type, zone, l AS "left", t AS top, l + w AS "right", t + h AS bottom FROM e WHERE l < l + w AND t < t + h)"""
+
+
+@query("template_zones", ["J6", "F1"], "WITH " + _LAYOUT_ZONES + " SELECT * FROM boxes")
+def template_zones(q: Inputs):
+    return zoning.template_zones(q.view("zone_templates"))
+
+
+@query("template_zone_words", ["J6"], "WITH " + _WORDS + "," + _LAYOUT_ZONES + """,
+    p AS (SELECT DISTINCT doc_id, page_num, concat('layout_', cast(floor(doc_id / 4.0e0) AS BIGINT)) AS document_type FROM triage_pages),
+    k AS (SELECT DISTINCT w.doc_id, w.page_num, zone, li, wi, w FROM words w JOIN p USING (doc_id, page_num) JOIN boxes z
+          ON p.document_type = z.document_type AND w <> '' AND x >= "left" AND x < "right" AND y >= top AND y < bottom),
+    f AS (SELECT DISTINCT doc_id, page_num, zone FROM p JOIN boxes USING (document_type))
+    SELECT doc_id, page_num, zone, coalesce(string_agg(w, ' ' ORDER BY li, wi), '') AS text, count(w)::INT AS words
+    FROM f LEFT JOIN k USING (doc_id, page_num, zone) GROUP BY doc_id, page_num, zone""")
+def template_zone_words(q: Inputs):
+    layout = F.concat(F.lit("layout_"), F.floor(F.col("doc_id") / 4.0).cast("string"))
+    pages = q.view("triage_pages").select("doc_id", "page_num", layout.alias("document_type"), zones.page_words("text").alias("words"))
+    return zoning.words_in_zones(zoning.page_word_rows(pages), zoning.template_zones(q.view("zone_templates")))
+
+
 _TYPE_SCORES = ", ".join(
     "(" + " + ".join(_hit("body", p) for p in patterns) + f") AS s{i}"
     for i, patterns in enumerate(rules.AUTHORITY_TYPES.values()))

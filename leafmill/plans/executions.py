@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.common import stamp
 from leafmill.operators import executions as ops
+from leafmill.plans.ranges import first_rows
 from leafmill.registry import Inputs, query
 
 
@@ -66,6 +67,14 @@ def recent_tool_stats(q: Inputs):
     return ops.recent_tool_stats(q.view("tool_executions"), 25)
 
 
+@query("latest_runs_by_outcome", ["A5", "W12"], """
+    SELECT success, id, (row_number() OVER (PARTITION BY success ORDER BY created_at DESC, id DESC))::INT AS rank
+    FROM tool_executions QUALIFY rank <= 5000""")
+def latest_runs_by_outcome(q: Inputs):
+    """More rows per key than are trimmed before the shuffle, and two keys for all rows."""
+    return first_rows(q.view("tool_executions"), ["success"], [F.desc("created_at"), F.desc("id")], 5000).select("success", "id", "rank")
+
+
 @query("low_confidence", ["F3", "T1"], """
     SELECT id, tool_name, confidence, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created
     FROM tool_executions WHERE success AND confidence < 0.75

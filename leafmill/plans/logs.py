@@ -1,9 +1,10 @@
 """Queries over console and network capture."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from leafmill.functions.common import stamp
-from leafmill.operators import logs as console, reports, requests as network
+from leafmill.operators import logs as console, reports, requests as network, rule_tables
 from leafmill.registry import Inputs, query
 
 
@@ -17,6 +18,26 @@ _HITS = "WITH hits AS (SELECT * FROM (" + " UNION ALL ".join(map(_any, console.I
 _SEVERITY = "CASE WHEN category IN ('javascript', 'security') THEN 'high' ELSE 'medium' END AS severity"
 
 
+def _issue_rules(q: Inputs):
+    """The fixed patterns as a rule table for all tenants."""
+    rules = [(c, p) for c, patterns in console.ISSUE_PATTERNS.items() for p in patterns]
+    table = pa.table({"category": [c for c, _ in rules], "rank": list(range(len(rules))), "pattern": [p for _, p in rules]})
+    return q.spark.createDataFrame(table).withColumn("tenant", F.lit(None).cast("string"))
+
+
+@query("log_issues_by_rules", ["A8", "W5"], _HITS + "SELECT seq, category, pattern FROM hits")
+def log_issues_by_rules(q: Inputs):
+    return rule_tables.first_matches(rule_tables.rule_matches(q.view("console_logs"), _issue_rules(q), "seq"), "seq")
+
+
+@query("tenant_rule_hits", ["A8", "W5"], """
+    SELECT seq, category, arg_min(pattern, rank) AS pattern
+    FROM console_logs l JOIN tenant_rules r ON l.session_id % 50 = r.tenant AND regexp_matches(lower(l.text), r.pattern) GROUP BY seq, category""")
+def tenant_rule_hits(q: Inputs):
+    logs = q.view("console_logs").withColumn("tenant", F.col("session_id") % 50)
+    return rule_tables.first_matches(rule_tables.rule_matches(logs, q.view("tenant_rules"), "seq", tenant="tenant"), "seq")
+
+
 @query("log_errors", ["F4"], """
     SELECT seq, session_id, type, text FROM console_logs WHERE type IN ('error', 'pageerror')""")
 def log_errors(q: Inputs):

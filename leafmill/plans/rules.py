@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import finance, normalize, parse, validate
 from leafmill.functions.common import count_true, rule_summary, strip
 from leafmill.functions.sql_rules import register_sql_rules
-from leafmill.operators import addresses, finance as books
+from leafmill.operators import address_links, addresses, finance as books
 from leafmill.registry import Inputs, query
 
 
@@ -93,6 +93,33 @@ def address_duplicates(q: Inputs):
     return addresses.address_duplicates(q.view("contacts"))
 
 
+_NEAR = f"""
+    WITH r AS (SELECT id, {_key_oracle('address')} AS match_key FROM address_book),
+    k AS MATERIALIZED (SELECT match_key, min(id) AS class_id, count(*) AS records FROM r WHERE match_key <> '' GROUP BY match_key),
+    e AS MATERIALIZED (SELECT a.class_id AS x, b.class_id AS y FROM k a JOIN k b ON a.class_id <> b.class_id
+          AND abs(length(a.match_key) - length(b.match_key)) <= 0.21 * greatest(length(a.match_key), length(b.match_key))
+          AND round((1 - levenshtein(a.match_key, b.match_key) / greatest(length(a.match_key), length(b.match_key))::DOUBLE) * 100, 1) >= 80),
+    c AS (WITH RECURSIVE walk(node, root) AS (SELECT class_id, class_id FROM k UNION SELECT y, root FROM walk JOIN e ON x = node)
+          SELECT node AS class_id, min(root) AS component_id FROM walk GROUP BY node),
+    d AS (SELECT x AS class_id, count(*) AS links FROM e GROUP BY x),
+    s AS (SELECT r.id, r.match_key, coalesce(k.class_id, r.id) AS class_id, coalesce(records, 1) AS records, coalesce(links, 0) AS links,
+                 coalesce(component_id, r.id) AS component_id
+          FROM r LEFT JOIN k ON r.match_key = k.match_key LEFT JOIN c USING (class_id) LEFT JOIN d USING (class_id))"""
+
+
+@query("near_addresses", ["J8", "N5"], _NEAR + " SELECT * FROM s")
+def near_addresses(q: Inputs):
+    return address_links.near_addresses(q.view("address_book"))
+
+
+@query("address_families", ["J8"], _NEAR + """
+    SELECT component_id, count(DISTINCT class_id) AS match_keys, count(*) AS records,
+           (SELECT (sum(links) / 2)::BIGINT FROM (SELECT DISTINCT class_id, links FROM s t WHERE t.component_id = s.component_id)) AS links
+    FROM s GROUP BY component_id HAVING count(DISTINCT class_id) > 1""")
+def address_families(q: Inputs):
+    return address_links.address_families(address_links.near_addresses(q.view("address_book")))
+
+
 # Parsing.
 
 _CURRENCY = r"""

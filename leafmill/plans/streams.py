@@ -36,17 +36,26 @@ def route_low_confidence(q: Inputs):
     return runs.route_low_confidence(q.view("tool_executions")).drop("created_at")
 
 
-@query("gap_sessions", ["X5"], f"""
+_GAPS = f"""
     WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true)::INT AS brk FROM events
                WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
          s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM g)
     SELECT user_id, strftime(min(ts), {_STAMP}) AS first_ts, strftime(max(ts), {_STAMP}) AS last_ts, count(*) AS events
-    FROM s GROUP BY user_id, no""")
+    FROM s GROUP BY user_id, no"""
+
+
+@query("gap_sessions", ["X5"], _GAPS)
 def gap_sessions(q: Inputs):
     return sessions.gap_sessions(q.table("events"), 6 * 3600).withColumns(
         {"first_ts": stamp("first_ts"), "last_ts": stamp("last_ts")})
 
 
+@query("gap_sessions_by_range", ["X5"], _GAPS)
+def gap_sessions_by_range(q: Inputs):
+    return sessions.gap_sessions(q.table("events"), 6 * 3600, "range").withColumns(
+        {"first_ts": stamp("first_ts"), "last_ts": stamp("last_ts")})
+
+
 @query("marked_sessions", ["X5"], """
     WITH m AS (SELECT *, CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'stop' END AS mark FROM events),
          s AS (SELECT *, sum((mark = 'start')::INT) OVER w AS session_no,

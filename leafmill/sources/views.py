@@ -133,6 +133,25 @@ VIEWS: dict[str, str | dict[str, str]] = {
                first_ship AS created_at
         FROM {part} LEFT JOIN (SELECT l_partkey, min(l_shipdate) AS first_ship
                                FROM {lineitem} GROUP BY l_partkey) s ON p_partkey = l_partkey""",
+    # Zones of document layouts as stored JSON, eight templates a layout; some cannot be read.
+    "zone_templates": """
+        SELECT p_partkey AS id, concat('layout_', cast(floor(p_partkey / 8.0e0) AS BIGINT)) AS document_type,
+               CASE WHEN p_partkey % 13 = 0 THEN '{{"broken'
+                    WHEN p_partkey % 11 = 0 THEN '{{"half":{{"x":0.1,"y":0.2,"width":0.3}}}}'
+                    ELSE concat('{{"z', p_partkey % 8, '":{{"x":0.', lpad(cast(p_partkey * 7 % 85 AS STRING), 2, '0'),
+                                ',"y":0.', lpad(cast(p_partkey * 13 % 90 AS STRING), 2, '0'),
+                                ',"width":0.', lpad(cast(5 + p_size % 45 AS STRING), 2, '0'), ',"height":0.', lpad(cast(4 + p_partkey % 50 AS STRING), 2, '0'),
+                                '}},"all":{{"x":0,"y":0,"width":1,"height":0.', lpad(cast(10 + p_partkey % 20 AS STRING), 2, '0'), '}}}}') END AS zones
+        FROM {part}""",
+    # An address book in which streets have many house numbers, so that near addresses come in large families.
+    "address_book": """
+        SELECT c_custkey AS id,
+               CASE WHEN c_custkey % 61 = 0 THEN NULL WHEN c_custkey % 67 = 0 THEN ' - '
+                    ELSE concat(1 + c_custkey * 37 % 400, ' ',
+                                CASE c_custkey % 7 WHEN 0 THEN 'Avenue North' WHEN 1 THEN 'rue de l''Église Ouest' WHEN 2 THEN 'Boulevard St-Laurent, Est'
+                                     WHEN 3 THEN 'Montée  du Rang' WHEN 4 THEN 'Street # 4' WHEN 5 THEN 'Chemin des Érables' ELSE 'Streetcar Road South' END,
+                                ', ', c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN concat(' QC H', c_nationkey % 10, 'X') ELSE ' ' END) END AS address
+        FROM {customer}""",
     # Parts of which over half of the lines came back.
     "returned_parts": """
         SELECT l_partkey AS code FROM {lineitem} GROUP BY l_partkey
@@ -144,6 +163,14 @@ VIEWS: dict[str, str | dict[str, str]] = {
     "tenant_settings": _two(
         _TENANT_SETTINGS % "explode(array({}))".format(_SETTING_KEYS),
         _TENANT_SETTINGS % "unnest([{}])".format(_SETTING_KEYS)),
+    # Rules of tenants over console messages; the table grows with the parts.
+    "tenant_rules": """
+        SELECT p_partkey % 50 AS tenant, p_type AS category, p_partkey AS rank,
+               concat(CASE p_partkey % 14 WHEN 0 THEN 'failed' WHEN 1 THEN 'cannot read' WHEN 2 THEN 'block' WHEN 3 THEN 'warning' WHEN 4 THEN 'policy'
+                           WHEN 5 THEN 'deprecated' WHEN 6 THEN 'unknown custom' WHEN 7 THEN '404' WHEN 8 THEN 'ready in' WHEN 9 THEN 'pan[ae]l'
+                           WHEN 10 THEN '(cache|store) w' WHEN 11 THEN 'upgrade' WHEN 12 THEN 'net::err_' ELSE 'st?ate' END,
+                      CASE p_size % 4 WHEN 0 THEN '.*' WHEN 1 THEN '.*e' WHEN 2 THEN '[a-z ]*r' ELSE '.*(d|s)$' END) AS pattern
+        FROM {part}""",
     # Console and network capture.
     "console_logs": f"""
         SELECT event_id AS seq, user_id AS session_id,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmill.plans.ordered import Ordered
+from leafmill.plans.ranges import blocks
 from leafmill.streaming.ordered import in_order
 
 
@@ -14,12 +15,13 @@ def _session_columns(grouped) -> DataFrame:
 
 def gap_sessions(events: DataFrame, gap_seconds: int = 1800, block: str = "day") -> DataFrame:
     """Sessions per user closed by a quiet gap. The static form cuts a busy user's
-    events into blocks, which a session window would keep in one task."""
+    events into blocks, which a session window would keep in one task. ``block`` is the span of
+    time of a block, or ``range`` for blocks of equal depth."""
     def breaks(row: Column, prior: Column) -> Column:
         return F.timestamp_diff("MICROSECOND", prior["ts"], row["ts"]) >= gap_seconds * 1_000_000
 
-    order = Ordered(["user_id"], ["ts", "event_id"], F.date_trunc(block, "ts"))
-    cut = order.segments(events.select("user_id", "ts", "event_id"), ["ts"], breaks)
+    rows, at = blocks(events.select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], block)
+    cut = Ordered(["user_id"], ["ts", "event_id"], at).segments(rows, ["ts"], breaks)
     return _session_columns(cut.groupBy("user_id", "segment")).select("user_id", "first_ts", "last_ts", "events")
 
 
@@ -34,9 +36,10 @@ def marked_sessions(events: DataFrame, block: str = "day") -> DataFrame:
 
     A ``start`` opens a new capture even if one is open. Works on a static frame
     with columns user_id, ts, event_id and mark (start, stop or NULL). ``block`` is the
-    time span that one task takes of a busy user.
+    time span that one task takes of a busy user, or ``range`` for blocks of equal depth.
     """
-    order = Ordered(["user_id"], ["ts", "event_id"], F.date_trunc(block, "ts"))
+    events, at = blocks(events, ["user_id"], ["ts", "event_id"], block)
+    order = Ordered(["user_id"], ["ts", "event_id"], at)
     last_mark = F.when(F.col("mark").isNotNull(), F.struct("ts", "event_id", "mark"))
     staged = order.carry(
         events,
