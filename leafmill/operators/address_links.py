@@ -71,10 +71,9 @@ def key_links(classes: DataFrame, percent: float = rules.MATCH_PERCENT, gram: in
     edits = F.call_function("levenshtein", F.col("l_match_key"), F.col("r_match_key"), limit)
     meets = ((F.col("l_gram") == F.col("r_gram")) & (F.col("l_i") == F.col("r_i")) & (F.col("l_j") == F.col("r_j"))
              & ((F.col("l_i") < F.col("l_j")) | (F.col("l_class_id") < F.col("r_class_id")))
-             & (F.abs(F.col("l_size") - F.col("r_size")) <= limit) & ~F.arrays_overlap("l_before", "r_before") & (edits >= 0))
-    near = F.round((1 - edits / longer) * 100, 1) >= percent
-    pairs = left.join(right, meets).filter(near)
-    return pairs.select(F.least("l_class_id", "r_class_id").alias("a"), F.greatest("l_class_id", "r_class_id").alias("b"))
+             & (F.abs(F.col("l_size") - F.col("r_size")) <= limit) & ~F.arrays_overlap("l_before", "r_before")
+             & (edits >= 0) & (F.round((1 - edits / longer) * 100, 1) >= percent))  # the cheaper tests come first
+    return left.join(right, meets).select(F.least("l_class_id", "r_class_id").alias("a"), F.greatest("l_class_id", "r_class_id").alias("b"))
 
 
 def near_addresses(addresses: DataFrame, percent: float = rules.MATCH_PERCENT, gram: int = GRAM, part: int = PART) -> DataFrame:

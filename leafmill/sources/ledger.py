@@ -103,16 +103,17 @@ class Ledger:
         """The rows in a folder that no manifest names yet. They are rebalanced by day, so that a day gets one file, or more
         where it is too large for one task."""
         day = F.to_date(self.time)
-        dealt = rows.withColumn("day", day).hint("rebalance", "day")
-        dealt.write.partitionBy("day").parquet(f"{self.path}/data/{name}")
-        return [f"{name}/{day}" for day in self.folder.names(f"data/{name}") if day.startswith("day=")]
+        dealt = rows.select([f.name for f in self.schema.fields]).withColumn("day", day).hint("rebalance", "day")
+        folder = f"batch={name}-{uuid.uuid4().hex}"
+        dealt.write.partitionBy("day").parquet(f"{self.path}/data/{folder}")
+        return [f"{folder}/{day}" for day in self.folder.names(f"data/{folder}") if day.startswith("day=")]
 
     def append(self, rows: DataFrame, batch: str) -> bool:
         """Store a batch; False if a batch of that name is stored already, whatever its rows. A run that fails
         or is killed leaves nothing that readers see, and may be repeated."""
         if self.has(batch):
             return False
-        parts = self._stage(rows.select([f.name for f in self.schema.fields]), f"{batch}-{uuid.uuid4().hex}")
+        parts = self._stage(rows, batch)
         return self.folder.put(f"log/{batch}.json", {"parts": parts})
 
     def read(self, days: tuple[str, str] | None = None) -> DataFrame:
@@ -121,11 +122,14 @@ class Ledger:
         parts = self.parts()
         if days:
             parts = [p for p in parts if days[0] <= p.rpartition("=")[2] <= days[1]]
+        return self._rows(parts)
+
+    def _rows(self, parts: list[str]) -> DataFrame:
         schema = StructType([*self.schema.fields]).add("day", DateType())
         if not parts:
             return self.spark.createDataFrame([], schema)
-        return (self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/{p.split('/')[0]}/{p.split('/')[1]}" for p in parts])
-                .select(*schema.fieldNames()))
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/{p}" for p in parts])
+        return rows.select(*schema.fieldNames())
 
     def compact(self, least: int = 2) -> list[str]:
         """Merge the folders of each day that has ``least`` or more; the days merged. Of two runs at a time one
@@ -137,11 +141,10 @@ class Ledger:
         if not many:
             return []
         old = sorted(p for parts in many.values() for p in parts)
-        schema = StructType([*self.schema.fields]).add("day", DateType())
-        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/{p}" for p in old])
+        rows = self._rows(old)
         # The name follows from what is merged, so that a second merge of the same folders has the same one.
         name = "merged-" + uuid.uuid5(uuid.NAMESPACE_URL, "\n".join(old)).hex
-        parts = self._stage(rows.select([f.name for f in self.schema.fields]), f"{name}-{uuid.uuid4().hex}")
+        parts = self._stage(rows, name)
         done = self.folder.put(f"log/{name}.json", {"parts": parts, "replaces": old})
         return sorted(day.removeprefix("day=") for day in many) if done else []
 

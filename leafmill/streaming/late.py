@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from leafmill.sources.ledger import Folder
 
 
+def _micros(span: str) -> Column:
+    """A span like ``10 minutes`` in microseconds."""
+    return F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {span}"))
+
+
 def gate_late_rows(stream: DataFrame, path: str, checkpoint: str, time: str, delay: str, width: str | None = None,
                    slide: str | None = None, **trigger) -> StreamingQuery:
     """Split a stream into rows in time and rows that a watermark of ``delay`` would drop, and store both.
@@ -26,10 +31,11 @@ def gate_late_rows(stream: DataFrame, path: str, checkpoint: str, time: str, del
     def store(batch: DataFrame, number: int) -> None:
         at = F.col(time).cast("timestamp")
         before = folder.read(f"marks/{number - 1}.json")["latest"] if number else None
-        closes = F.window(at, slide or width)["start"] + F.expr(f"INTERVAL {width}") if width else at
+        micros = F.unix_micros(at)  # not by ``window``, which leaves out rows without a time
+        closes = micros - F.pmod(micros, _micros(slide or width)) + _micros(width) if width else micros
         late = at.isNull()
         if before is not None:
-            late = late | (closes <= F.timestamp_micros(F.lit(before)) - F.expr(f"INTERVAL {delay}"))
+            late = late | (closes <= F.lit(before) - _micros(delay))
         seen, draft = Observation(), f"drafts/{uuid.uuid4().hex}"
         split = batch.withColumn("late", F.coalesce(late, F.lit(True))).observe(seen, F.max(F.unix_micros(at)).alias("latest"))
         split.write.partitionBy("late").parquet(f"{path}/{draft}")

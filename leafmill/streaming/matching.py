@@ -26,7 +26,8 @@ class Matcher(StatefulProcessor):
     """Queue of open requests of a key, fed in time order.
 
     An event waits under its time until the watermark has passed it; a timer at that time hands it over, and timers
-    fire in the order of time. An open request has a timer of its own at the end of its ttl. State:
+    fire in the order of time. A request has a second timer, at the end of its ttl, set when it arrives: one set
+    while timers fire would wait for the next batch. State:
     ``waiting`` maps a time in milliseconds to the events of that time, ``open`` maps a request's
     number to (seq, time), and ``ends`` holds the first number in use and the next one. So an event writes
     its own rows of state and no others, however long the queue is.
@@ -43,10 +44,11 @@ class Matcher(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         fresh: dict[int, list] = {}
+        ahead = timerValues.getCurrentWatermarkInMs() + 1  # where the timer of an event of the watermark's own millisecond is set
         for row in rows:
-            micros = row.micros
-            # An event of the watermark's own millisecond is in time; its timer must lie ahead.
-            fresh.setdefault(max(micros // 1000, timerValues.getCurrentWatermarkInMs() + 1), []).append([micros, row.seq, row.done, row.kind, row.code])
+            fresh.setdefault(max(row.micros // 1000, ahead), []).append([row.micros, row.seq, row.done, row.kind, row.code])
+            if not row.done:
+                self.handle.registerTimer(max(row.micros // 1000 + self.ttl, ahead))
         for at, events in fresh.items():
             if self.waiting.containsKey((at,)):
                 events += json.loads(self.waiting.getValue((at,))[0])
@@ -66,7 +68,6 @@ class Matcher(StatefulProcessor):
                 first = self._expire(first, upto, micros // 1000, out)
                 if not done:
                     self.open.updateValue((upto,), (seq, micros // 1000))
-                    self.handle.registerTimer(max(micros // 1000 + self.ttl, at + 1))
                     upto += 1
                 elif first < upto:
                     out.append((self._pop(first), seq, "failed" if kind == "failed" else "completed", code))

@@ -47,7 +47,7 @@ def test_a_killed_write_is_invisible(spark, book, monkeypatch):
         book.append(bad, "b3")
     monkeypatch.undo()
     assert _ids(book) == list(range(5)) and not book.has("b2")
-    assert len([n for n in book.unused() if n.startswith("b2")]) == 1
+    assert len([n for n in book.unused() if n.startswith("batch=b2")]) == 1
     assert book.append(_runs(spark, range(5, 9)), "b2") and _ids(book) == list(range(9))
 
 
@@ -83,15 +83,11 @@ def test_a_stream_appends_once(spark, book, tmp_path):
         assert _ids(book) == list(range(15))
 
 
-def _minutes(base, width=None):
-    return lambda at: at if width is None else base + ((at - base) // width + 1) * width
-
-
 @pytest.mark.parametrize("width", [None, "10 minutes"])
 def test_late_rows_are_counted_over_many_batches_and_a_restart(spark, tmp_path, width):
     draw, base = random.Random(4), dt.datetime(2024, 1, 1)
     batches = []
-    for n in range(105 if width else 12):
+    for n in range(102 if width else 12):
         batches.append([(n * 10 + k, base + dt.timedelta(seconds=30 * n + draw.choice([0, 5, -60, -900, -4000])) if k else (None if n % 9 == 0 else base)) for k in range(3)])
     path, cp = str(tmp_path / "gate"), str(tmp_path / "cp")
     (tmp_path / "in").mkdir()
@@ -125,8 +121,8 @@ def test_late_rows_are_counted_over_many_batches_and_a_restart(spark, tmp_path,
 
 
 def test_what_passed_the_gate_is_never_dropped(spark, tmp_path):
-    runs = [(i, "t", True, 1, 0.5, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=random.Random(i).randrange(600))) for i in range(60)]
-    frame = spark.createDataFrame(runs, "id long, tool_name string, success boolean, execution_time_ms int, confidence double, created_at timestamp")
+    runs = [(i, "t", "c", True, 1, 0.5, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=random.Random(i).randrange(600))) for i in range(60)]
+    frame = spark.createDataFrame(runs, "id long, tool_name string, tool_class string, success boolean, execution_time_ms int, confidence double, created_at timestamp")
     for n in range(6):
         frame.filter(F.col("id") % 6 == n).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
