@@ -68,16 +68,17 @@ def brightness_issues(brightness: Column, contrast: Column) -> Column:
         F.when(contrast < MIN_CONTRAST, "low_contrast")))
 
 
-def brightness_contrast(gray: Column) -> Column:
+def tone_verdict(brightness: Column, contrast: Column) -> Column:
     """Struct(brightness, contrast, issues, level)."""
-    def judge(stats: Column) -> Column:
-        issues = brightness_issues(stats["b"], stats["c"])
-        level = first_match([(F.size(issues) == 0, F.lit("good")), (F.size(issues) == 1, F.lit("acceptable"))],
-                            F.lit("poor"))
-        return F.struct(stats["b"].alias("brightness"), stats["c"].alias("contrast"), issues.alias("issues"),
-                        level.alias("level"))
+    issues = brightness_issues(brightness, contrast)
+    level = first_match([(F.size(issues) == 0, F.lit("good")), (F.size(issues) == 1, F.lit("acceptable"))],
+                        F.lit("poor"))
+    return F.struct(brightness.alias("brightness"), contrast.alias("contrast"), issues.alias("issues"), level.alias("level"))
+
 
-    return let(F.struct(mean(gray).alias("b"), F.sqrt(variance(gray)).alias("c")), judge)
+def brightness_contrast(gray: Column) -> Column:
+    """Struct(brightness, contrast, issues, level)."""
+    return let(F.struct(mean(gray).alias("b"), F.sqrt(variance(gray)).alias("c")), lambda stats: tone_verdict(stats["b"], stats["c"]))
 
 
 def _mirror(at: Column, size: Column) -> Column:
@@ -140,32 +141,43 @@ def bar_pattern(gray: Column, width: Column, height: Column) -> Column:
 
     # The slice is bound first: the lambda of every pixel would copy it again.
     found = let(low, lambda part: let(sobel_x(part, width, height - top), bars))
+    return let(found, lambda n: bar_verdict(n, width))
+
+
+def bar_verdict(bars: Column, width: Column) -> Column:
+    """Struct(bars, has_barcode, confidence) from the number of columns with many edges."""
     wide = width > 10
-    return let(found, lambda n: F.struct(
-        n.alias("bars"), (wide & (n > width * 0.2)).alias("has_barcode"),
-        F.when(wide, F.least(n / (width * 0.3), F.lit(1.0))).otherwise(0.0).alias("confidence")))
+    return F.struct(
+        bars.alias("bars"), (wide & (bars > width * 0.2)).alias("has_barcode"),
+        F.when(wide, F.least(bars / (width * 0.3), F.lit(1.0))).otherwise(0.0).alias("confidence"))
 
 
 def dark_band(gray: Column, width: Column, height: Column) -> Column:
     """Struct(longest_run, has_stripe, confidence) from the row means."""
     means = F.transform(F.sequence(F.lit(0), height - 1),
                         lambda y: mean(F.slice(gray, y * width + 1, width)))
+    return let(let(means, longest_dark_run), lambda run: band_verdict(run, height))
+
+
+def longest_dark_run(means: Column) -> Column:
+    """Rows in the longest run of row means below their mean by a standard deviation."""
+    limit = mean(means) - F.sqrt(variance(means))
+    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
 
-    def longest(rows: Column) -> Column:
-        limit = mean(rows) - F.sqrt(variance(rows))
-        start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
+    def step(acc, v, cut):
+        run = F.when(v < cut, acc["run"] + 1).otherwise(0)
+        return F.struct(run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-        def step(acc, v, cut):
-            run = F.when(v < cut, acc["run"] + 1).otherwise(0)
-            return F.struct(run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+    return let(limit, lambda cut: F.aggregate(means, start, lambda acc, v: step(acc, v, cut),
+                                              lambda acc: acc["best"]))
 
-        return let(limit, lambda cut: F.aggregate(rows, start, lambda acc, v: step(acc, v, cut),
-                                                  lambda acc: acc["best"]))
 
+def band_verdict(run: Column, height: Column) -> Column:
+    """Struct(longest_run, has_stripe, confidence) from the rows of the longest dark run."""
     expected = height * 0.075
-    return let(let(means, longest), lambda run: F.struct(
+    return F.struct(
         run.alias("longest_run"), (run > expected * 0.5).alias("has_stripe"),
-        F.when(run > expected * 0.5, F.least(run / expected, F.lit(1.0))).otherwise(0.0).alias("confidence")))
+        F.when(run > expected * 0.5, F.least(run / expected, F.lit(1.0))).otherwise(0.0).alias("confidence"))
 
 
 def band_similarity(a: Column, b: Column) -> Column:

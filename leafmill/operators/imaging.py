@@ -124,7 +124,7 @@ def document_boundaries(features: DataFrame) -> DataFrame:
                              F.least(F.try_divide(weight, count), F.lit(0.95)))
     reason = first_match([
         (~F.col("starts"), F.lit(None)), (prior.isNull(), F.lit("first_page")),
-        (prior["is_blank"], F.concat(F.lit("blank_page_"), (F.col("page_num") - 1).cast("string")))],
+        (prior["is_blank"], F.concat(F.lit("blank_page_"), prior["page_num"].cast("string")))],
         F.concat_ws(",", *[F.when(h, n) for n, h in hits.items()]))
     return cut.select("doc_id", "page_num", F.col("starts").alias("is_split"),
                       F.round(confidence, 6).alias("confidence"), reason.alias("reason"),

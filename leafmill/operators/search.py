@@ -37,7 +37,13 @@ def search_text(pages: DataFrame, pattern: str, case_sensitive: bool = False) ->
 
 def search_summary(pages: DataFrame, pattern: str, case_sensitive: bool = False) -> DataFrame:
     """Matches, pages with matches and pages per document, counted in one pass
-    over the pages without listing the matches."""
+    over the pages without listing the matches. A pattern that does not compile gives one
+    row without counts and an ``error`` column, which other results do not have."""
+    error = pattern_error(pages.sparkSession, pattern)
+    if error:
+        return pages.sparkSession.range(1).select(
+            F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("total_matches"),
+            F.lit(None).cast("bigint").alias("pages_with_matches"), F.lit(None).cast("bigint").alias("total_pages"), F.lit(error).alias("error"))
     mode = "(?U)" if case_sensitive else "(?iU)"
     hits = F.regexp_count("text", F.lit(mode + pattern))
     return pages.groupBy("doc_id").agg(

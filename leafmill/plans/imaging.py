@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from leafmill.functions import imaging as rules
-from leafmill.operators import catalog, imaging as ops
+from leafmill.operators import catalog, imaging as ops, tiles
 from leafmill.registry import Inputs, query
 
 _PIXELS = """
@@ -35,7 +35,7 @@ _PIXELS = """
                       SELECT page_id, g, count(*) AS n FROM isl GROUP BY page_id, g) GROUP BY page_id)"""
 
 
-@query("image_metrics", ["A21", "A22", "A23", "W8", "W9"], _PIXELS + """
+_METRICS = _PIXELS + """
     SELECT i.page_id, i.doc_id, i.page_num, variance, round(density, 6) AS density,
            brightness, contrast,
            concat_ws(',', CASE WHEN brightness < 50 THEN 'too_dark' WHEN brightness > 200 THEN 'too_bright' END,
@@ -49,7 +49,10 @@ _PIXELS = """
            coalesce(longest_run, 0)::INT AS longest_run, coalesce(longest_run, 0) > 0.15 AS has_stripe,
            CASE WHEN coalesce(longest_run, 0) > 0.15 THEN least(longest_run / 0.3::DOUBLE, 1) ELSE 0 END AS stripe_conf
     FROM page_images i JOIN tone USING (page_id) JOIN ink USING (page_id) JOIN lap USING (page_id)
-    JOIN bars USING (page_id) LEFT JOIN runs USING (page_id)""")
+    JOIN bars USING (page_id) LEFT JOIN runs USING (page_id)"""
+
+
+@query("image_metrics", ["A21", "A22", "A23", "W8", "W9"], _METRICS)
 def image_metrics(q: Inputs):
     rows = ops.image_metrics(q.view("page_images"))
     return rows.withColumns({
@@ -57,6 +60,14 @@ def image_metrics(q: Inputs):
         "barcode_conf": F.round("barcode_conf", 6)})
 
 
+@query("tiled_image_metrics", ["A21", "A22", "A23", "W8", "W9"], f"SELECT * EXCLUDE (doc_id, page_num) FROM ({_METRICS})")
+def tiled_image_metrics(q: Inputs):
+    rows = tiles.tiled_metrics(tiles.cut_tiles(q.view("page_images"), 5), 5)
+    return rows.withColumns({
+        "issues": F.array_join("issues", ","), "density": F.round("density", 6),
+        "barcode_conf": F.round("barcode_conf", 6)})
+
+
 @query("page_similarity", ["W10"], """
     WITH px AS (SELECT doc_id, page_num, unnest(gray)::DOUBLE AS v, unnest(range(0, 64)) AS i FROM page_images),
          d AS (SELECT a.doc_id, a.page_num, avg(pow(a.v - b.v, 2)) FILTER (a.i < 16) AS mh,

@@ -122,9 +122,14 @@ class Ledger:
         parts = self.parts()
         if days:
             parts = [p for p in parts if days[0] <= p.rpartition("=")[2] <= days[1]]
-        return self._rows(parts)
+        return self.rows(parts)
 
-    def _rows(self, parts: list[str]) -> DataFrame:
+    def parts_of(self, batch: str) -> list[str]:
+        """Folders that a stored batch wrote."""
+        return self.folder.read(f"log/{batch}.json")["parts"]
+
+    def rows(self, parts: list[str]) -> DataFrame:
+        """The rows of some folders, with their ``day``."""
         schema = StructType([*self.schema.fields]).add("day", DateType())
         if not parts:
             return self.spark.createDataFrame([], schema)
@@ -141,7 +146,7 @@ class Ledger:
         if not many:
             return []
         old = sorted(p for parts in many.values() for p in parts)
-        rows = self._rows(old)
+        rows = self.rows(old)
         # The name follows from what is merged, so that a second merge of the same folders has the same one.
         name = "merged-" + uuid.uuid5(uuid.NAMESPACE_URL, "\n".join(old)).hex
         parts = self._stage(rows, name)

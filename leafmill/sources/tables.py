@@ -55,8 +55,10 @@ def read_session(spark: SparkSession, path: str, session_id: str) -> DataFrame:
 
 
 def append_executions(runs: DataFrame, path: str) -> None:
-    """Append run-log rows, one folder per day, so later scans prune by date."""
-    (runs.withColumn("day", F.to_date("created_at"))
+    """Append run-log rows, one folder per day, so later scans prune by date. Rows are
+    rebalanced by day, so a day gets one file per append unless it is too large for one
+    task. Of a repeated append both count; ``ledger.Ledger`` stores a batch once."""
+    (runs.withColumn("day", F.to_date("created_at")).hint("rebalance", "day")
      .write.mode("append").partitionBy("day").parquet(path))
 
 
