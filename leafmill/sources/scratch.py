@@ -13,14 +13,23 @@ def shared_folder(spark: SparkSession) -> str:
             or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
+#: Lets Spark drop the shuffle files of a job when the job has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, name: str, seen: Observation | None = None, *figures) -> DataFrame:
     """``df`` written once and read from there, so that later steps start from a table and a lost executor
-    replays nothing before it. ``seen`` gets ``figures`` of the rows while they are written.
-    The table goes when the session's JVM ends."""
+    replays nothing before it. ``seen`` gets ``figures`` of the rows while they are written. Shuffle files
+    behind the table are dropped; the table goes when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/core/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    (df.observe(seen, *figures) if seen else df).write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.observe(seen, *figures) if seen else df).write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
