@@ -23,13 +23,12 @@ def keep(df: DataFrame, name: str, seen: Observation | None = None, *figures) ->
     behind the table are dropped; the table goes when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/core/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         (df.observe(seen, *figures) if seen else df).write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # only a path that is there can be marked
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
