@@ -1,43 +1,7 @@
-"""Connected components by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components, as the library's other jobs find them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from leafmill.plans.graph import components
 
-from leafmill.llm.shared import salt, saved
-
-
-def _with_least(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) with ``low``, the smallest b of their a. A node may have a third of all
-    edges: its minimum is taken per part first and goes back to each part."""
-    edges = edges.withColumn("part", salt("b"))
-    least = (edges.groupBy("a", "part").agg(F.min("b").alias("low"))
-             .groupBy("a").agg(F.min("low").alias("low"), F.collect_set("part").alias("parts"))
-             .select("a", "low", F.explode("parts").alias("part")))
-    return edges.join(least, ["a", "part"])
-
-
-def _large(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are moved to its smallest neighbour or itself."""
-    both = _with_least(edges.union(edges.select("b", "a")))
-    return both.filter("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
-
-
-def _small(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours are moved to the smallest of them."""
-    down = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    moved = F.array(*[F.struct(F.col(c).alias("a"), F.col("low").alias("b")) for c in ("a", "b")])
-    return down.select(F.inline(moved)).filter("a <> b").distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes but the roots, the smallest of each component.
-    ``edges`` has two columns of one type without NULLs; repeated edges and loops may occur."""
-    edges = saved(edges.toDF("a", "b").filter("a <> b"), "edges")
-    while True:
-        edges = saved(_small(_large(edges)), "stars")
-        # Done when every edge leads to a root: no end has an edge of its own, and no node has two.
-        roots = edges.select(F.col("b").alias("a")).distinct()
-        open_ends = edges.join(roots, "a", "left_semi").count()
-        if not open_ends and edges.count() == edges.select("a").distinct().count():
-            return edges.toDF("node", "root")
+__all__ = ["components"]

@@ -170,9 +170,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     large = placed.filter("blocks > 1").select("cluster", "digest", "n_shingles")
     roots = components(links.join(large, links["a"] == large["digest"], "left_semi"))
     joined = large.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    meetings = _meetings(member.join(joined, "digest"), block)
-    again = found.filter("blocks > 1").select("digest", "text").join(meetings, "digest")
-    joined_up = components(roots.union(link(again, "bucket", "rest_part", "block")))
+    # A cluster that is one component already has nothing left to link.
+    several = joined.groupBy("cluster").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("cluster")
+    unsettled = classes.select("digest", "bands").join(joined.join(several, "cluster", "left_semi"), "digest")
+    meetings = saved(_meetings(unsettled.select("cluster", "digest", "n_shingles", "root", F.explode("bands").alias("bucket")), block), "meetings")
+    # Kept as a table first: where few texts meet again, Spark knows so before it moves any text.
+    wanted = saved(placed.select("digest", "rep").join(meetings, "digest"), "wanted")
+    again = rows.join(wanted, rows["id"].eqNullSafe(wanted["rep.id"]) & (rows["text_key"] == wanted["rep.text_key"]))
+    joined_up = components(roots.union(link(again.select("bucket", "rest_part", "block", "digest", "text"), "bucket", "rest_part", "block")))
     # In a cluster of one block every link already leads to its component's first text.
     single = links.join(large, links["a"] == large["digest"], "left_anti").toDF("node", "root")
     return _named(sets, single.union(joined_up), key)
