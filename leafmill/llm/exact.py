@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from leafmill.llm.shared import fold_case, salt, saved, scratch, whole
+from leafmill.sources.ledger import Folder
 
 COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING"
 
@@ -21,13 +22,16 @@ class DigestIndex:
     """Digest index at ``path`` (one in the shared folder by default).
 
     A path that already holds an index is opened, so that it outlives the session.
-    ``buckets`` must be the number that it was made with; take about one per
-    hundred million texts and per core.
+    ``buckets`` is kept beside the index, and another number is refused; take about one per
+    hundred million texts and per core. ``close`` drops the session's table of the index, not its data.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
         self.spark = spark
         self.path = path or scratch(spark, "digest-index")
+        layout = Folder(spark, f"{self.path}/_layout")
+        if not layout.put("buckets.json", {"buckets": buckets}) and layout.read("buckets.json")["buckets"] != buckets:
+            raise ValueError(f"the index at {self.path} has {layout.read('buckets.json')['buckets']} buckets, not {buckets}")
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(f"CREATE TABLE {self.name} ({COLUMNS}) USING parquet CLUSTERED BY (digest) "
                   f"SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
@@ -36,7 +40,10 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text", batch: str | None = None) -> DataFrame:
         """Judge ``docs`` against the index and each other, and append what is new.
 
         Texts are equal if identical after lower-casing A-Z; a NULL text is empty.
@@ -48,6 +55,10 @@ class DigestIndex:
         stays, maybe of an earlier batch), ``group_size`` (rows of this batch with
         that text), ``kept`` and ``text_sha256``. Other columns are not read. An
         empty batch gives no rows and leaves the index as it is.
+
+        A batch with a name may be run again after a failure, wherever it was killed: digests that
+        an earlier run of it appended count as its own, and those that it did not reach are appended. The verdicts are those of
+        one run. Without a name each call is a batch of its own.
         """
         rows = saved(docs.select(
             F.col(key).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"),
@@ -59,7 +70,7 @@ class DigestIndex:
                   .agg(F.max(F.struct("id", "row")).alias("top"), F.count(F.lit(1)).alias("n"))
                   .groupBy("digest")
                   .agg(F.max("top").alias("top"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("salts")))
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         new = groups.join(self.table().hint("merge"), "digest", "left_anti")
         # Dealt by bucket first: one file a bucket and batch.
         (new.select("digest", F.col("top.id").alias("keep_id"), F.col("top.row").alias("keep_row"),
@@ -67,11 +78,11 @@ class DigestIndex:
          .repartition(self.buckets, "digest")
          .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
          .option("path", self.path).saveAsTable(self.name))
-        verdicts = (groups.select("digest", "group_size", "salts").join(self.table().hint("merge"), "digest")
+        verdicts = (groups.select("digest", "top", "group_size", "salts").join(self.table().hint("merge"), "digest")
                     .withColumn("salt", F.explode("salts")))
         return (rows.join(verdicts, ["digest", "salt"])
                 .select(F.col("id").alias(key), "keep_id", "group_size",
-                        ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"),
+                        ((F.col("batch") == batch) & (F.col("row") == F.col("top.row"))).alias("kept"),
                         F.lower(F.hex("digest")).alias("text_sha256")))
 
 

@@ -1,6 +1,8 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
+
 from leafmill.llm import exact
 
 from .conftest import HARD
@@ -52,3 +54,34 @@ def test_drop_copies_keeps_all_columns(spark, hard, docs):
 def test_empty_table(spark, docs):
     index = exact.DigestIndex(spark, buckets=4)
     assert index.add(docs([])).count() == 0 and index.table().count() == 0
+
+
+def test_a_batch_that_is_run_again_keeps_its_texts(spark, docs):
+    index = exact.DigestIndex(spark, buckets=4)
+    index.add(docs([(1, "old")]), batch="b0")
+    rows = docs([(5, "OLD"), (6, "new"), (7, "NEW"), (7, "NEW"), (8, None)])
+    verdicts = lambda: sorted((r.doc_id, r.keep_id, r.kept) for r in index.add(rows, batch="b1").collect())
+    first = verdicts()
+    assert first == [(5, 1, False), (6, 7, False), (7, 7, False), (7, 7, True), (8, 8, True)]
+    assert verdicts() == first and index.table().count() == 3
+
+
+def test_a_killed_append_is_completed(spark, docs):
+    """Some of a batch's digests reached the index before the job died."""
+    rows = [(i, f"text {i}") for i in range(20)]
+    whole = exact.DigestIndex(spark, buckets=4)
+    want = sorted(map(tuple, whole.add(docs(rows), batch="b").collect()))
+    half = exact.DigestIndex(spark, buckets=4)
+    half.add(docs(rows[:9]), batch="b")
+    assert sorted(map(tuple, half.add(docs(rows), batch="b").collect())) == want and half.table().count() == 20
+
+
+def test_another_number_of_buckets_is_refused(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/index"
+    first = exact.DigestIndex(spark, path, buckets=4)
+    first.add(docs([(1, "a")]))
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact.DigestIndex(spark, path, buckets=8)
+    first.close()
+    assert not spark.catalog.tableExists(first.name)
+    assert [r.kept for r in exact.DigestIndex(spark, path, buckets=4).add(docs([(2, "A")])).collect()] == [False]
