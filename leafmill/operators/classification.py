@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leafmill.functions import classify as rules, zones
 from leafmill.functions.common import count_true, let, settle
@@ -82,34 +82,51 @@ def bank_statements(pages: DataFrame) -> DataFrame:
 
 def fiscal_year_findings(pages: DataFrame) -> DataFrame:
     """One row per year mention and zone it falls in."""
+    return _zone_years(pages).select("doc_id", "page_num", F.explode("found").alias("f")).select("doc_id", "page_num", "f.*")
+
+
+def _zone_years(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_num, found): all year mentions of a page."""
     found = F.concat(*[rules.year_findings(F.col(name), name, order)
                        for order, name in enumerate(zones.FISCAL_ZONES)])
-    return zones.with_zones(pages, zones.FISCAL_ZONES, F.lower).select("doc_id", "page_num", F.explode(found).alias("f")).select(
-        "doc_id", "page_num", "f.*")
+    return zones.with_zones(pages, zones.FISCAL_ZONES, F.lower).select("doc_id", "page_num", found.alias("found"))
+
+
+def _year_score(confidence: Column) -> Column:
+    """Score of a year on a page: the mean confidence of its mentions, and a little for each of them."""
+    return F.round(F.least(F.avg(confidence) + F.least(F.count(F.lit(1)) * 0.05, F.lit(0.15)), F.lit(0.98)), 6)
 
 
 def page_fiscal_years(findings: DataFrame, as_of_year: int) -> DataFrame:
     """Best year per page; the year seen first wins a tie."""
     valid = findings.filter(F.col("year").between(as_of_year - 10, as_of_year + 2))
     scored = valid.groupBy("doc_id", "page_num", "year").agg(
-        F.round(F.least(F.avg("confidence") + F.least(F.count(F.lit(1)) * 0.05, F.lit(0.15)), F.lit(0.98)), 6)
-        .alias("score"), F.min("seq").alias("seq"))
+        _year_score(F.col("confidence")).alias("score"), F.min("seq").alias("seq"))
     best = scored.groupBy("doc_id", "page_num").agg(
         F.max(F.struct("score", (-F.col("seq")).alias("early"), "year")).alias("b"))
     return best.select("doc_id", "page_num", "b.year", F.round("b.score", 2).alias("confidence"))
 
 
-def fiscal_year_vote(pages: DataFrame, findings: DataFrame, as_of_year: int) -> DataFrame:
-    """Most common page year per document, the earliest page winning ties."""
-    best = page_fiscal_years(findings, as_of_year)
-    votes = best.groupBy("doc_id", "year").agg(
+def fiscal_year_vote(pages: DataFrame, as_of_year: int) -> DataFrame:
+    """Most common page year per document, the earliest page winning ties.
+
+    Pages are read once: one without a finding stays as a row without a year, so that pages are counted
+    in the same aggregates as their years."""
+    rows = _zone_years(pages).select("doc_id", "page_num", F.posexplode_outer("found").alias("at", "f"))
+    year = F.when(F.col("f.year").between(as_of_year - 10, as_of_year + 2), F.col("f.year"))
+    scored = rows.groupBy("doc_id", "page_num", year.alias("year")).agg(
+        _year_score(F.col("f.confidence")).alias("score"), F.min("f.seq").alias("seq"),
+        count_true(F.coalesce(F.col("at"), F.lit(0)) == 0).alias("pages"))
+    known = F.col("year").isNotNull()
+    best = scored.groupBy("doc_id", "page_num").agg(
+        F.max(F.when(known, F.struct("score", (-F.col("seq")).alias("early"), "year"))).alias("b"), F.sum("pages").alias("pages"))
+    votes = best.groupBy("doc_id", F.col("b.year").alias("year")).agg(
         F.count(F.lit(1)).alias("votes"), F.min("page_num").alias("first_page"),
-        F.sum("confidence").alias("weight"))
+        F.sum(F.round("b.score", 2)).alias("weight"), F.sum("pages").alias("pages"))
     winner = votes.groupBy("doc_id").agg(
-        F.max(F.struct("votes", (-F.col("first_page")).alias("early"), "year")).alias("w"),
-        F.sum("votes").alias("pages_found"), F.sum("weight").alias("weight"))
-    totals = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_pages"))
-    return totals.join(winner, "doc_id", "left").select(
+        F.max(F.when(known, F.struct("votes", (-F.col("first_page")).alias("early"), "year"))).alias("w"),
+        F.sum(F.when(known, F.col("votes"))).alias("pages_found"), F.sum(F.when(known, F.col("weight"))).alias("weight"), F.sum("pages").alias("total_pages"))
+    return winner.select(
         "doc_id", "total_pages", F.col("w.year").alias("most_common_year"),
         F.coalesce("pages_found", F.lit(0)).alias("pages_found"),
         F.round(F.coalesce(F.col("weight") / F.col("pages_found"), F.lit(0.70)), 9).alias("confidence"))

@@ -231,5 +231,4 @@ def page_fiscal_years(q: Inputs):
     FROM (SELECT doc_id, count(*) AS total_pages FROM triage_pages GROUP BY doc_id) t
     LEFT JOIN w USING (doc_id) LEFT JOIN m USING (doc_id)""")
 def fiscal_year_vote(q: Inputs):
-    pages = q.view("triage_pages")
-    return ops.fiscal_year_vote(pages, ops.fiscal_year_findings(pages), 2024).fillna(0, ["most_common_year"])
+    return ops.fiscal_year_vote(q.view("triage_pages"), 2024).fillna(0, ["most_common_year"])
