@@ -175,7 +175,8 @@ def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", path: st
 
 def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Per row: key, ``n_tokens``, ``ids_sha256`` (decimal ids joined by one blank) and ``decoded_sha256``
-    (bytes decoded from the ids). The ids stay in the worker that made them."""
+    (bytes decoded from the ids). The ids stay in the worker that made them. A NULL text is empty and has no ids;
+    repeated rows are encoded alike; other columns are not read; an empty table gives no rows."""
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -165,6 +165,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict
 
     ``score`` is 1 with a template, 0.5 with phrases only, else 0. A NULL text is empty.
     Places that overlap all count. Repeated rows are scanned alike; other columns are not read.
+    An empty table gives no rows. Templates are those of ``TEMPLATES`` unless given: eight labels of short notices,
+    no whole license texts.
     """
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
 

@@ -63,7 +63,8 @@ def _name(page: Column) -> Column:
 
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", html: str = "html", url: str = "url",
                    segment: int = SEGMENT) -> None:
-    """A WARC record per row of ``pages`` below ``path``. A NULL payload or URL is empty."""
+    """A WARC record per row of ``pages`` below ``path``. A NULL payload or URL is empty. Keys name the records: rows that share
+    a key, or have none, share a record id, which readers then can't tell apart. An empty table gives no records."""
     chunks = payload_chunks(pages, key, html, url, segment)
     first, split = F.col("chunk_no") == 0, F.col("last_no") > 0
 
@@ -166,7 +167,8 @@ class _Reader:
 
 def read_chunks(spark: SparkSession, path: str, chunk: int = CHUNK, data: bool = True) -> DataFrame:
     """Rows of (record, chunk_no) of the archives below ``path``, with the bytes and the digest of the payload so
-    far; ``last`` marks the end of a payload. Without ``data`` the chunks themselves are left out."""
+    far; ``last`` marks the end of a payload. Without ``data`` the chunks themselves are left out. Archives without
+    records give no rows."""
     arrow = pa.schema([("record", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("chunk_no", pa.int32()),
                        ("data", pa.binary()), ("bytes_so_far", pa.int64()), ("sha1_so_far", pa.string()), ("last", pa.bool_()),
                        ("declared_bytes", pa.int64()), ("declared_sha1", pa.string())])
