@@ -19,7 +19,7 @@ from .test_substring import brute as cut_brute  # noqa: E402
 @pytest.fixture(scope="module")
 def duck(data_dir):
     connection = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "embeddings"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data_dir}/{table}.parquet'")
     return connection
 
