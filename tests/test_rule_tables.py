@@ -10,9 +10,10 @@ from leafmill.functions import classify
 from leafmill.operators import logs, rule_tables
 from leafmill.operators.requests import match_requests_fifo
 from leafmill.plans.ranges import first_rows, in_ranges
-from leafmill.registry import Inputs
+from leafmill.registry import Inputs, load_all
 from leafmill.streaming import sessions
 
+QUERIES = load_all()
 RULES = "tenant string, category string, rank int, pattern string, points int"
 PATTERNS = ["typeerror", "a(b|c)d", "x?yz+", "foo.*bar", "one|two", r"\bword\b", r"w\.z", "q{0,2}rst", "(a(b)c)?tail", "[abc]lmno", "^start", "end$", "no", "(unclosed", "", r"\d{3}", "caf[ée]s", "(?:opt)?must"]
 
@@ -118,3 +119,21 @@ def test_a_hot_hour_is_split(spark):
     closed = rows.filter("event_id % 3 = 2").selectExpr("concat('/', user_id) AS url", "ts", "event_id AS seq", "'response' AS kind", "200 AS status")
     got, want = match_requests_fifo(opened, closed, block="range"), match_requests_fifo(opened, closed)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_texts_are_never_broadcast(spark, data_dir):
+    """Spark knows the size of the texts but not that of all their grams, so a join that may choose would broadcast those."""
+    for name in ("log_issues_by_rules", "tenant_rule_hits"):
+        plan = QUERIES[name].build(Inputs(spark, data_dir))._jdf.queryExecution().executedPlan().toString()
+        grams = [line for line in plan.splitlines() if "HashJoin" in line and "__gram" in line]
+        assert len(grams) == 1 and "LeftOuter, BuildRight" in grams[0] or not grams and "SortMergeJoin [__gram" in plan
+
+
+def test_rules_with_one_pattern_each_match(spark):
+    """A pattern is run once per tenant, and all rules with it are found; the lowest ranks alone give the same first matches."""
+    rules = [(t, c, n, "typeerror", n) for n, (t, c) in enumerate([(None, "A"), (None, "A"), ("t1", "A"), ("t1", "B"), ("t2", "B"), ("t1", "B")])]
+    frame, table = spark.createDataFrame([(1, "t1", "a TypeError"), (2, None, "typeerror typeerror"), (3, "t2", "type")], "seq long, who string, text string"), spark.createDataFrame(rules, RULES)
+    got = sorted((r.seq, r.category, r["rank"], r.points) for r in rule_tables.rule_matches(frame, table, "seq", tenant="who").collect())
+    assert got == [(1, "A", 0, 0), (1, "A", 1, 1), (1, "A", 2, 2), (1, "B", 3, 3), (1, "B", 5, 5), (2, "A", 0, 0), (2, "A", 1, 1)]
+    first = [rule_tables.first_matches(rule_tables.rule_matches(frame, t, "seq", tenant="who"), "seq") for t in (table, rule_tables.lowest_ranks(table))]
+    assert first[0].exceptAll(first[1]).count() == 0 and first[1].exceptAll(first[0]).count() == 0 and first[0].count() == 3
