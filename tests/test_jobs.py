@@ -286,3 +286,16 @@ def test_neighbours_are_the_pages_that_are_there(spark):
     assert _rows(imaging.document_boundaries(frame).filter("is_split"), "page_num") == [(1,), (5,)]
     pictures = spark.createDataFrame([(1, n, 4, 4, [v] * 16) for n, v in ((1, 9), (4, 9), (7, 250))], "doc_id bigint, page_num int, width int, height int, gray array<int>")
     assert _rows(imaging.page_similarity(pictures), "page_num", "header_changed") == [(4, False), (7, True)]
+
+
+def test_matches_of_a_long_page_at_every_place(spark):
+    """Empty matches at all places of pages of many lengths, against Python; context is made for the matches asked for only."""
+    texts = ["", "tion", "a tionTION b", "x" * 257, "".join("tion é\n"[i * 7919 % 7] for i in range(5000)) + "tiontion"]
+    pages = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc_id long, page_num int, text string")
+    found = search.search_text(pages, "(?:tion)*")
+    got = {(r.doc_id, r.position): (r.matched_text, r.context) for r in found.collect()}
+    want = {(i, m.start()): (m.group(), t[max(m.start() - 50, 0):m.end() + 50].replace("\n", " ")) for i, t in enumerate(texts) for m in re.finditer("(?i)(?:tion)*", t)}
+    # Java and Python differ in the empty match right behind a match.
+    assert {k: v for k, v in got.items() if k in want} == want
+    plan = found.filter("position = 0").drop("context", "error")._jdf.queryExecution().optimizedPlan().toString()
+    assert "withfield" not in plan.lower() and "AS context" not in plan
