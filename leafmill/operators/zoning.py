@@ -9,8 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from leafmill.functions.common import let
+
 #: Cells along each side of a page.
 GRID = 10
+#: Zones of a type that a page meets at a time.
+ZONES = 256
 _BOUNDS = ["left", "top", "right", "bottom"]
 
 
@@ -39,6 +43,40 @@ def _cell(place: str | Column, grid: int) -> Column:
     return F.least(F.greatest(at, F.lit(-1)), F.lit(grid)).cast("int")
 
 
+def _parts_of_types(boxes: DataFrame, part: int) -> DataFrame:
+    """(type, named): the zones of each type as arrays of struct(zone, boxes) with about ``part`` zones each."""
+    named = boxes.groupBy("type", "zone").agg(F.collect_set(F.struct(*_BOUNDS)).alias("boxes"))
+    counts = named.groupBy("type").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts"))
+    dealt = named.join(counts, "type").withColumn("part", F.pmod(F.xxhash64("zone"), F.col("parts")))
+    return dealt.groupBy("type", "part").agg(F.collect_list(F.struct("zone", "boxes")).alias("named")).drop("part")
+
+
+def page_zone_text(pages: DataFrame, zones: DataFrame, words: Column, part: int = ZONES) -> DataFrame:
+    """What ``words_in_zones`` gives, for pages (doc_id, page_num, document_type, and what ``words`` is made of) with one row each.
+
+    ``words``, an array of struct(x, y, text) in reading order, is made where a page has met its zones, so no word is shuffled. Pages
+    and zones meet by type; a type with many zones meets in parts. Pages that are there twice count once.
+    The join is a merge join: the zones are far more than Spark takes them for before their JSON is read, too many to broadcast.
+    """
+    boxes = zones.select(F.col("document_type").alias("type"), "zone", *_BOUNDS).filter("left < right AND top < bottom")
+    parts = _parts_of_types(boxes, part).hint("merge")
+    met = pages.filter("document_type IS NOT NULL").distinct().join(parts, F.col("document_type") == F.col("type"))
+
+    def lies_in(named: Column):
+        def inside(w: Column) -> Column:  # most words are above or below a box
+            return F.exists(named["boxes"], lambda b: (w["y"] >= b["top"]) & (w["y"] < b["bottom"]) & (w["x"] >= b["left"]) & (w["x"] < b["right"]))
+        return inside
+
+    def texts(all_words: Column) -> Column:
+        def one(named: Column) -> Column:
+            found = F.transform(F.filter(all_words, lies_in(named)), lambda w: w["text"])
+            return F.struct(named["zone"].alias("zone"), F.array_join(found, " ").alias("text"), F.size(found).alias("words"))
+        return F.transform("named", one)
+
+    placed = F.filter(words, lambda w: (w["text"] != "") & w["x"].isNotNull() & w["y"].isNotNull())
+    return met.select("doc_id", "page_num", F.inline(let(F.coalesce(placed, F.array().cast("array<struct<x:double,y:double,text:string>>")), texts)))
+
+
 def words_in_zones(words: DataFrame, zones: DataFrame, grid: int = GRID) -> DataFrame:
     """(doc_id, page_num, zone, text, words) of every page and every zone of its document type.
 
@@ -48,7 +86,8 @@ def words_in_zones(words: DataFrame, zones: DataFrame, grid: int = GRID) -> Data
     give no rows; zones without words give empty text. Words without a place, and empty words, count for nothing.
 
     The only grouping is by (page, zone). A type or cell that holds much of the corpus is split by
-    adaptive execution: both sides of the join are plain exchanges, or the boxes are broadcast below Spark's threshold.
+    adaptive execution: both sides of the join are plain exchanges. The cells are never broadcast, as Spark takes them for as few as
+    the boxes. Words that are kept by page are placed by ``page_zone_text`` without shuffling them.
     """
     boxes = zones.select(F.col("document_type").alias("type"), "zone", *_BOUNDS).filter("left < right AND top < bottom")
     across = boxes.withColumn("cx", F.explode(F.sequence(_cell("left", grid), _cell("right", grid))))
@@ -57,7 +96,7 @@ def words_in_zones(words: DataFrame, zones: DataFrame, grid: int = GRID) -> Data
     meets = (placed["document_type"] == cells["type"]) & (placed["wx"] == cells["cx"]) & (placed["wy"] == cells["cy"])
     inside = (F.col("x") >= F.col("left")) & (F.col("x") < F.col("right")) & (F.col("y") >= F.col("top")) & (F.col("y") < F.col("bottom"))
     word = F.struct("word_no", "text")
-    found = placed.join(cells, meets & inside).select("doc_id", "page_num", "zone", word.alias("word"))
+    found = placed.join(cells.hint("merge"), meets & inside).select("doc_id", "page_num", "zone", word.alias("word"))
     every = words.select("doc_id", "page_num", F.col("document_type").alias("type")).distinct().join(boxes.select("type", "zone").distinct(), "type")
     rows = found.unionByName(every.select("doc_id", "page_num", "zone", F.lit(None).cast(found.schema["word"].dataType).alias("word")))
     text = rows.groupBy("doc_id", "page_num", "zone").agg(F.array_sort(F.collect_set("word")).alias("w"))

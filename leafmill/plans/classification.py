@@ -60,8 +60,8 @@ def template_zones(q: Inputs):
     FROM f LEFT JOIN k USING (doc_id, page_num, zone) GROUP BY doc_id, page_num, zone""")
 def template_zone_words(q: Inputs):
     layout = F.concat(F.lit("layout_"), F.floor(F.col("doc_id") / 4.0).cast("string"))
-    pages = q.view("triage_pages").select("doc_id", "page_num", layout.alias("document_type"), zones.page_words("text").alias("words"))
-    return zoning.words_in_zones(zoning.page_word_rows(pages), zoning.template_zones(q.view("zone_templates")))
+    pages = q.view("triage_pages").select("doc_id", "page_num", layout.alias("document_type"), "text")
+    return zoning.page_zone_text(pages, zoning.template_zones(q.view("zone_templates")), zones.page_words("text"))
 
 
 _TYPE_SCORES = ", ".join(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import zones
 from leafmill.operators import address_links, classification, zoning
 from leafmill.plans.graph import components
-from leafmill.registry import Inputs
+from leafmill.registry import Inputs, load_all
 
 BOXES = "document_type string, zone string, left double, top double, right double, bottom double"
 WORDS = "doc_id long, page_num int, document_type string, word_no int, x double, y double, text string"
@@ -100,3 +100,26 @@ def test_components_equal_union_find(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "x long, y long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
     assert components(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
+def test_cells_and_zones_are_never_broadcast(spark, data_dir):
+    """Spark takes the cells of the boxes, and zones in JSON, for as few bytes as the table behind them has."""
+    pages = spark.createDataFrame([(1, 1, "a", 0, 0.1, 0.1, "w")], WORDS)
+    rows = zoning.words_in_zones(pages, zoning.template_zones(Inputs(spark, data_dir).view("zone_templates")))
+    of_pages = load_all()["template_zone_words"].build(Inputs(spark, data_dir))
+    for plan in (f._jdf.queryExecution().executedPlan().toString() for f in (rows, of_pages)):
+        meeting = [line for line in plan.splitlines() if "Join [document_type#" in line]
+        assert meeting and "SortMergeJoin" in meeting[-1]
+
+
+@pytest.mark.parametrize("part", [1, 2, 256])
+def test_zone_text_by_page_equals_that_by_word(spark, data_dir, part):
+    draw = random.Random(part)
+    pages = Inputs(spark, data_dir).view("triage_pages").filter("doc_id % 5 = 0").select("doc_id", "page_num", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit(None)), (F.col("doc_id") / 5 % 3).cast("int") + 1).alias("document_type"), "text")
+    pages = pages.unionByName(pages.limit(20)).unionByName(pages.limit(5).withColumn("doc_id", -F.col("doc_id") - 1).withColumn("text", F.lit(None).cast("string")))
+    boxes = [(draw.choice("ab"), draw.choice(["z1", "z2", "z3", "z4", "z5"]), draw.random(), draw.random() / 2, 0.3 + draw.random(), 0.4 + draw.random() / 2) for _ in range(20)]
+    table = spark.createDataFrame(boxes, BOXES)
+    got = zoning.page_zone_text(pages, table, zones.page_words("text"), part)
+    words = pages.distinct().withColumn("words", zones.page_words("text"))
+    want = zoning.words_in_zones(zoning.page_word_rows(words), table)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and want.filter("words > 3").count() > 0
