@@ -152,3 +152,12 @@ def test_both_ways_to_near_addresses_agree(spark, monkeypatch, data_dir):
         monkeypatch.setattr(address_links, "PAIRS", pairs)
         results.append({tuple(r) for r in address_links.near_addresses(book).collect()})
     assert results[0] == results[1] and len(results[0]) == book.count()
+
+
+def test_families_by_blocks_equal_those_by_gram(spark, monkeypatch, data_dir):
+    book = Inputs(spark, data_dir).view("address_book")
+    results = []
+    for pairs in (0, 10 ** 9):
+        monkeypatch.setattr(address_links, "PAIRS", pairs)
+        results.append({tuple(r) for r in address_links.address_families(address_links.near_addresses(book)).collect()})
+    assert results[0] == results[1] and results[0]
