@@ -117,7 +117,7 @@ def near_addresses(q: Inputs):
            (SELECT (sum(links) / 2)::BIGINT FROM (SELECT DISTINCT class_id, links FROM s t WHERE t.component_id = s.component_id)) AS links
     FROM s GROUP BY component_id HAVING count(DISTINCT class_id) > 1""")
 def address_families(q: Inputs):
-    return address_links.address_families(address_links.near_addresses(q.view("address_book")))
+    return address_links.families(q.view("address_book"))
 
 
 # Parsing.

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import zones
-from leafmill.operators import address_links, classification, zoning
+from leafmill.operators import address_links, classification, edit_blocks, zoning
 from leafmill.plans.graph import components
 from leafmill.registry import Inputs, load_all
 
@@ -161,3 +161,19 @@ def test_families_by_blocks_equal_those_by_gram(spark, monkeypatch, data_dir):
         monkeypatch.setattr(address_links, "PAIRS", pairs)
         results.append({tuple(r) for r in address_links.address_families(address_links.near_addresses(book)).collect()})
     assert results[0] == results[1] and results[0]
+
+
+def test_families_come_from_classes_alone(spark, monkeypatch, data_dir):
+    """One row per match key gives the families of the records; blocks of any size fill the same columns."""
+    book = Inputs(spark, data_dir).view("address_book")
+    want = {tuple(r) for r in address_links.address_families(address_links.near_addresses(book)).collect()}
+    monkeypatch.setattr(address_links, "PAIRS", 10 ** 9)
+    monkeypatch.setattr(edit_blocks, "PAIRS", 50)
+    assert {tuple(r) for r in address_links.families(book).collect()} == want and want
+
+
+def test_columns_of_a_block_are_filled_side_by_side():
+    """A thousand keys with a common end take one step of numpy calls a character, not one a key."""
+    keys = [f"{n} RUE DE L EGLISE OUEST" for n in range(1, 1001)]
+    found = list(edit_blocks.near_in_block(keys, keys, 80, 0.2005))
+    assert sum(len(places) for places, _ in found) == 1_000_000 and len(found) < 100
