@@ -15,6 +15,9 @@ deficits cross partitions without being passed along.
 
 from __future__ import annotations
 
+import json
+import string
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +34,10 @@ LENGTH, QUANTUM = 1024, 128
 QUEUES = 255
 #: Parts of a queue's order, and resolution of the shares.
 PARTS, SHARES = 1024, 1 << 20
-#: Units that a worker remembers, and lines that are encoded at a time.
-CACHED, LINES = 250_000, 2000
+#: Units that a worker remembers since it last forgot some; it keeps as many of those before, if they are met again.
+CACHED = 300_000
+#: Letters that every version of Unicode of the last years knows as such come before this one.
+LETTERS = "\u0530"
 
 #: White space other than blanks and line ends, pairs of those, and the mark that texts are cut at.
 _ODD = [*map(chr, [0, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]), "  ", " \n", "\n ", "\n\n"]
@@ -43,6 +48,43 @@ def _is_odd(text: str) -> bool:
     return text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _ODD)
 
 
+class Units(dict):
+    """Ids by unit. A new unit is encoded when it is asked for; ``before`` has the units of the time before.
+
+    A unit of letters, with a blank before them or not, is one match of the pre-tokenizer, and goes to the
+    merges of the model itself; marks behind it are a match of their own. Other units take the whole way.
+    """
+
+    def __init__(self, model, plain: bool):
+        self.model, self.merges, self.plain = model, model.model, plain
+        self.before: dict[str, bytes] = {}
+        # Bytes as the characters that stand for them in the file: those that can be printed stand for themselves.
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [x for x in range(256) if x not in seen]
+        self.signs = "".join(chr(x) if x in seen else chr(256 + others.index(x)) for x in range(256))
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.before.get(unit)
+        if ids is None:
+            ids = self._ids(unit)
+        self[unit] = ids
+        return ids
+
+    def _ids(self, unit: str) -> bytes:
+        bare = unit.rstrip(string.punctuation)
+        word = bare[1:] if bare[:1] == " " else bare
+        if not (self.plain and word.isalpha() and (word.isascii() or max(word) < LETTERS)):
+            return pack_ids(self.model.encode_batch_fast([unit], add_special_tokens=False)[0].ids)
+        if len(bare) < len(unit):
+            return self[bare] + self[unit[len(bare):]]
+        signs = bare.replace(" ", self.signs[32]) if bare.isascii() else bare.encode().decode("latin-1").translate(self.signs)
+        return pack_ids([t.id for t in self.merges.tokenize(signs)])
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}H", *ids)
+
+
 class Encoder:
     """Ids of a byte-level BPE file for whole texts.
 
@@ -62,45 +104,28 @@ class Encoder:
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()] if added else []
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        line = self._encode(["\n"])[0]
-        self.line_id = int(np.frombuffer(line, "<u2")[0])
-        self.known: dict[str, bytes] = {"\n": line, "": b""}
-        self.marks = dict(zip(",.", self._encode([",", "."])))
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        first = parts.get("pre_tokenizer") or {}
+        plain = not parts.get("normalizer") and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+        self.known = Units(self.model, plain)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text on its own."""
-        return [np.array(e.ids, "<u2").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_lines(self, parts: list[str]) -> list[bytes]:
-        """Ids of units, many at a time: as the lines of one text."""
-        out: list[bytes] = []
-        for k in range(0, len(parts), LINES):
-            lines = parts[k:k + LINES]
-            ids = np.array(self.model.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u2")
-            ends = np.flatnonzero(ids == self.line_id)
-            if len(ends) != len(lines) - 1:
-                raise AssertionError("a line end was merged")
-            data = ids.tobytes()
-            starts = [0, *(2 * ends + 2).tolist()]
-            out += [data[a:b] for a, b in zip(starts, [*(2 * ends).tolist(), len(data)])]
-        return out
-
-    def _learn(self, wanted: set[str]) -> None:
-        missing = wanted - self.known.keys()
-        if len(self.known) + len(missing) > CACHED:
-            self.known = {u: self.known[u] for u in (wanted | {"\n", ""}) & self.known.keys()}
-        # A last mark after a letter is a token of its own.
-        marked = {u for u in missing if u[-1:] in self.marks and u[-2:-1].isalpha()}
-        bare = list(({u[:-1] for u in marked} | (missing - marked)) - self.known.keys())
-        self.known.update(zip(bare, self._encode_lines(bare)))
-        self.known.update({u: self.known[u[:-1]] + self.marks[u[-1]] for u in marked})
+        return [pack_ids(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit numbers."""
-        cut = [None if _is_odd(t) or any(a in t for a in self.added) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        self._learn(set().union(*(x for x in cut if x)))
-        odd = iter(self._encode([t for t, x in zip(texts, cut) if x is None]))
-        return [b"".join(map(self.known.__getitem__, x)) if x is not None else next(odd) for x in cut]
+        out, known = [], self.known
+        for text in texts:
+            if _is_odd(text) or any(a in text for a in self.added):
+                out += self._encode([text])
+                continue
+            if len(known) > CACHED:
+                known.before = dict(known)
+                known.clear()
+            out.append(b"".join(map(known.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))))
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

@@ -98,3 +98,14 @@ def test_added_tokens_have_their_ids(docs):
     assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     texts = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "no such token"), (4, "one line\nx<|endoftext|>y <|endoftext|"), (5, "a  b <|endoftext|>\n")]
     check(packing.pack(docs(texts)).collect(), texts, plain)
+
+
+def test_units_of_letters_go_to_the_merges_and_are_forgotten_late(monkeypatch):
+    """Words are encoded by the model's merges alone, with marks behind them apart; a full memory keeps what is met again."""
+    monkeypatch.setattr(packing, "CACHED", 6)
+    texts = ["the plain words, and *** marks... of the words", "l'été don't Straße— x̀ 한국 ½ 12th. the", "the plain! words?! again", "'s 'tis ʼn ǅ the", ""] * 3
+    model = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), added=True)
+    want, asked = model._encode(texts), []
+    whole, model.known.model = model.model, type("Asked", (), {"encode_batch_fast": lambda self, x, **k: asked.extend(x) or whole.encode_batch_fast(x, **k)})()
+    assert model.encode(texts) == want
+    assert not {" plain", " words", "the"} & set(asked) and " 12th." in asked and " the" in model.known.before.keys() | model.known.keys()
