@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leafmill.llm.graph import components
-from leafmill.llm.shared import salt, saved, whole, with_verdict
+from leafmill.llm.shared import salt, saved, whole, without
 from leafmill.llm.tokens import hashed_words, mix, portions, rolling
 
 PERMUTATIONS = 96
@@ -233,4 +233,5 @@ def _named(sets: DataFrame, roots: DataFrame, key: str) -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The first row of ``docs`` of each component, with all its columns: the one with the
     smallest key (then text hash). Texts without words stay."""
-    return with_verdict(docs, near_duplicates(docs, key, text, size, percent).filter("kept"), key, text)
+    gone = near_duplicates(docs, key, text, size, percent).filter(~F.col("kept")).select(F.col(key).alias("gone_id"), F.col("text_key").alias("gone_key"))
+    return without(docs, saved(gone.distinct(), "gone"), key, text)

@@ -111,3 +111,12 @@ def test_no_group_grows_with_a_cluster(docs, monkeypatch, crossing):
     monkeypatch.setattr(near, "band_rows", lambda *a: 4)
     got = ordered(result(docs(rows), 1, 80, block=block))
     assert got == ordered(brute(rows, 1, 80)) and len({r[2] for r in got}) == (1 if crossing else 2)
+
+
+def test_texts_are_not_shuffled_to_leave_out_few(spark):
+    """What goes is a small table whose size is known; the texts that stay are not shuffled to meet it."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " more"), (None, "of no key"), (None, "of no key"), (3, None)]
+    left = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "Exchange hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, left.collect())) == sorted(f"Row(doc_id={k}, text={t!r})" for k, t in rows if k != 2)
