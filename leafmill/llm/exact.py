@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from leafmill.llm.shared import fold_case, salt, saved, scratch, whole
+from leafmill.llm.shared import KeyMap, fold_case, salt, saved, scratch, whole
 from leafmill.sources.ledger import Folder
 
 COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING"
@@ -88,12 +88,18 @@ class DigestIndex:
 
 def drop_copies(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; see ``DigestIndex.add``.
-    Of rows with the same key and text one stays."""
+    Of rows with the same key and text one stays. Only the rows that may go are shuffled to meet their verdicts."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    kept = index.add(docs, key, text).filter("kept").select(F.col(key).alias("kept_id"), "text_sha256")
+    verdicts = index.add(docs, key, text)
+    verdicts = saved(verdicts.select(F.col(key).alias("id"), F.unhex("text_sha256").alias("sha"), "kept"), "verdicts")
     rows = docs.toDF(*names)
-    own = rows[names[docs.columns.index(key)]]
-    rows = rows.withColumns({"id": own.cast("long"), "sha": F.sha2(fold_case(whole(rows[names[docs.columns.index(text)]])), 256)})
-    stay = rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]) & (rows["sha"] == kept["text_sha256"]), "left_semi")
-    again = Window.partitionBy("id", "sha").orderBy("sha")
-    return stay.withColumn("again", F.row_number().over(again)).filter("again = 1").select(*names).toDF(*docs.columns)
+    own, body = (rows[names[docs.columns.index(c)]] for c in (key, text))
+    rows = rows.withColumns({"id": own.cast("long"), "sha": F.unhex(F.sha2(fold_case(whole(body)), 256))})
+    # Of repeated rows all but one have a verdict to go, so that all of them are inside.
+    going = KeyMap(verdicts.filter("NOT kept"), "id", "sha")
+    # A NULL key meets a NULL key; the same columns in the join and the window, so that texts are dealt once.
+    same = {"at": F.coalesce("id", F.lit(0)), "bare": F.col("id").isNull()}
+    stay = going.inside(rows, "id", "sha").withColumns(same).join(verdicts.filter("kept").withColumns(same).select("at", "bare", "sha"), ["at", "bare", "sha"], "left_semi")
+    again = Window.partitionBy("at", "bare", "sha").orderBy("sha")
+    one = stay.withColumn("again", F.row_number().over(again)).filter("again = 1").select(*names)
+    return going.outside(rows, "id", "sha").select(*names).union(one).toDF(*docs.columns)

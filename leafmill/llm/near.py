@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leafmill.llm.graph import components
-from leafmill.llm.shared import salt, saved, whole, without
+from leafmill.llm.shared import KeyMap, salt, saved, whole, without
 from leafmill.llm.tokens import hashed_words, mix, portions, rolling
 
 PERMUTATIONS = 96
@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
               .groupBy("cluster").agg(F.ceil(F.sum("sum") / block).alias("blocks"), F.sum("n").alias("texts"), F.collect_set("part").alias("parts"))
               .select("cluster", "blocks", "texts", F.explode("parts").alias("part")))
     placed = saved(sized.join(totals, ["cluster", "part"]).drop("part"), "clusters")
-    found = rows.join(placed, rows["id"].eqNullSafe(placed["rep.id"]) & (rows["text_key"] == placed["rep.text_key"]))
+    found = _texts(rows, placed)
     # Repeated rows bring their text again; the linker takes one of each digest.
     found = found.select("cluster", "digest", "blocks", "texts", "text")
     own = F.pmod(F.xxhash64("digest"), F.col("blocks"))
@@ -176,13 +176,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     meetings = saved(_meetings(unsettled.select("cluster", "digest", "n_shingles", "root", F.explode("bands").alias("bucket")), block), "meetings")
     # Kept as a table first: where few texts meet again, Spark knows so before it moves any text.
     wanted = saved(placed.select("digest", "rep").join(meetings, "digest"), "wanted")
-    again = rows.join(wanted, rows["id"].eqNullSafe(wanted["rep.id"]) & (rows["text_key"] == wanted["rep.text_key"]))
+    again = _texts(rows, wanted)
     joined_up = components(roots.union(link(again.select("bucket", "rest_part", "block", "digest", "text"), "bucket", "rest_part", "block")))
     # In a cluster of one block every link already leads to its component's first text.
     single = links.join(large, links["a"] == large["digest"], "left_anti").toDF("node", "root")
     return _named(sets, single.union(joined_up), key)
 
 
+def _texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``chosen`` with the texts of its ``rep``; other texts are not shuffled for that."""
+    may = KeyMap(chosen, "rep.id", "rep.text_key").inside(rows, "id", "text_key")
+    return may.join(chosen, may["id"].eqNullSafe(chosen["rep.id"]) & (may["text_key"] == chosen["rep.text_key"]))
+
+
 def _meetings(member: DataFrame, block: int) -> DataFrame:
     """(bucket, rest_part, block, digest): groups of at most about two ``block`` shingles (or one text), in which
     every two texts meet that share a bucket and have different roots. ``member`` has bucket, digest, root, cluster
